@@ -1,0 +1,214 @@
+"""Probability of reaching a profit target before a loss limit, over a leverage grid.
+
+Two evaluation phases and one payout window are bootstrapped per series. Profit adds up,
+so leverage k reaches a target T when the unlevered sum reaches T / k: every leverage
+reads the same draws in the same pass.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quantspan.config import BarrierRules, ResamplingParams
+from quantspan.functions.scalars import ratio
+from quantspan.operators.barrier import FAILED, PASSED, UNRESOLVED, outcome_of
+from quantspan.operators.bootstrap import (
+    block_draws,
+    finite_returns,
+    indexed_series,
+    path_ids,
+    wrapped_blocks,
+)
+from quantspan.session import materialize
+
+PAYOUT_PHASE = 3
+
+
+def block_profiles(returns: DataFrame, size: int, lengths: set[int]) -> DataFrame:
+    """What a path has to know about each block, for every length a block is cut to.
+
+    -> (panel, n, start, len, items, sums, total, top, bottom, worst): running sums from the
+    block's start, their last, highest and lowest, and the smallest single return.
+    """
+    indexed = indexed_series(finite_returns(returns), ["panel"])
+    blocks = wrapped_blocks(indexed, ["panel"], F.col("ret"), size)
+    running = F.transform(
+        F.sequence(F.lit(1), F.col("len")),
+        lambda i: F.aggregate(F.slice("items", F.lit(1), i), F.lit(0.0), lambda acc, x: acc + x),
+    )
+    return (
+        blocks.withColumn("len", F.explode(F.array(*[F.lit(int(v)) for v in sorted(lengths)])))
+        .withColumn("items", F.slice("items", F.lit(1), F.col("len")))
+        .withColumn("sums", running)
+        .withColumns(
+            {
+                "total": F.element_at("sums", -1),
+                "top": F.array_max("sums"),
+                "bottom": F.array_min("sums"),
+                "worst": F.array_min("items"),
+            }
+        )
+    )
+
+
+def passage_days(
+    returns: DataFrame, rules: BarrierRules, params: ResamplingParams, leverages: list[float]
+) -> DataFrame:
+    """First gain day and first loss day of each path at each leverage.
+
+    A window over a path's blocks gives the level at which each block starts and the
+    extremes seen before it; a barrier falls in the one block that crosses it first, and
+    only that block is searched for the day. -> (panel, phase, path, k, gain_day, loss_day)
+    """
+    size = params.block_size
+    horizons = {1: params.horizon_days, 2: params.horizon_days, PAYOUT_PHASE: rules.payout_interval_days}
+    tails = {h - (-(-h // size) - 1) * size for h in horizons.values()}
+    full = {size} if max(horizons.values()) > size else set()
+    profiles = materialize(block_profiles(returns, size, tails | full), "block-profiles")
+
+    sizes = profiles.where(F.col("start") == 0).select("panel", "n").distinct()
+    phases = F.array(
+        *[F.struct(F.lit(p).alias("phase"), F.lit(h).alias("horizon")) for p, h in horizons.items()]
+    )
+    paths = path_ids(sizes.select("panel", "n", F.inline(phases)), ["panel", "phase"], params.n_paths)
+    draws = block_draws(paths, size, F.lit(params.seed), F.col("phase")).drop("n", "horizon")
+
+    order = W.partitionBy("panel", "phase", "path").orderBy("block")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    stretched = (
+        draws.join(profiles.drop("n"), ["panel", "start", "len"])
+        .withColumn("level", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
+        .withColumns({"high": F.col("level") + F.col("top"), "low": F.col("level") + F.col("bottom")})
+        .withColumns(
+            {
+                "high_before": F.max("high").over(before),
+                "low_before": F.min("low").over(before),
+                "worst_before": F.min("worst").over(before),
+            }
+        )
+    )
+
+    target = (
+        F.when(F.col("phase") == 1, rules.phase1_target)
+        .when(F.col("phase") == 2, rules.phase2_target)
+    )
+
+    def day_of(hits):
+        return (F.col("block") * size + F.array_position(hits, True)).cast("int")
+
+    def crossings(k: float):
+        gain = target / k
+        drop = F.lit(-rules.max_drawdown / k)
+        daily = F.lit(-rules.daily_loss_limit / k)
+        level = F.col("level")
+        reached = (F.col("high") >= gain) & F.coalesce(F.col("high_before") < gain, F.lit(True))
+        fell = (F.col("low") <= drop) & F.coalesce(F.col("low_before") > drop, F.lit(True))
+        broke = (F.col("worst") <= daily) & F.coalesce(F.col("worst_before") > daily, F.lit(True))
+        return (
+            F.when(reached, day_of(F.transform("sums", lambda s: level + s >= gain))),
+            F.least(
+                F.when(fell, day_of(F.transform("sums", lambda s: level + s <= drop))),
+                F.when(broke, day_of(F.transform("items", lambda r: r <= daily))),
+            ),
+        )
+
+    found = []
+    for i, k in enumerate(leverages):
+        gain_day, loss_day = crossings(k)
+        found += [gain_day.alias(f"gain_{i}"), loss_day.alias(f"loss_{i}")]
+    firsts = [F.min(f"{side}_{i}").alias(f"{side}_{i}") for i in range(len(leverages)) for side in ("gain", "loss")]
+    per_leverage = F.array(
+        *[
+            F.struct(
+                F.lit(float(k)).alias("k"),
+                F.col(f"gain_{i}").alias("gain_day"),
+                F.col(f"loss_{i}").alias("loss_day"),
+            )
+            for i, k in enumerate(leverages)
+        ]
+    )
+    return (
+        stretched.select("panel", "phase", "path", *found)
+        .groupBy("panel", "phase", "path")
+        .agg(*firsts)
+        .select("panel", "phase", "path", F.inline(per_leverage))
+    )
+
+
+def outcome_shares(days: DataFrame) -> DataFrame:
+    """-> (panel, phase, k, p_pass, p_fail, p_unresolved, p_cond, mean_absorb_day)"""
+    outcome = outcome_of(F.col("gain_day"), F.col("loss_day"))
+    share = {
+        name: F.avg((F.col("outcome") == label).cast("double")).alias(name)
+        for name, label in (("p_pass", PASSED), ("p_fail", FAILED), ("p_unresolved", UNRESOLVED))
+    }
+    return (
+        days.withColumn("outcome", outcome)
+        .groupBy("panel", "phase", "k")
+        .agg(*share.values(), F.avg(F.least("gain_day", "loss_day")).alias("mean_absorb_day"))
+        .withColumn(
+            "p_cond",
+            F.coalesce(ratio(F.col("p_pass"), F.col("p_pass") + F.col("p_fail")), F.lit(0.0)),
+        )
+    )
+
+
+def leverage_curve(
+    returns: DataFrame,
+    rules: BarrierRules = BarrierRules(),
+    params: ResamplingParams = ResamplingParams(),
+    leverages: list[float] | None = None,
+) -> DataFrame:
+    """One row per (series, leverage) with everything the resampling says about it.
+
+    No leverage is singled out as the best one. The expected days are NULL when too many
+    paths reach no barrier within the horizon, or none passes.
+    """
+    leverages = params.leverages if leverages is None else leverages
+    shares = outcome_shares(passage_days(returns, rules, params, leverages))
+    names = ("p_pass", "p_fail", "p_unresolved", "p_cond", "mean_absorb_day")
+    per_phase = [
+        F.max(F.when(F.col("phase") == phase, F.col(name))).alias(f"{name}_{phase}")
+        for phase in (1, 2, PAYOUT_PHASE)
+        for name in names
+    ]
+    insufficient = (F.col("p_unresolved_1") > params.unresolved_threshold) | (
+        F.col("p_unresolved_2") > params.unresolved_threshold
+    )
+    attempt_days = F.col("mean_absorb_day_1") + F.col("p_cond_1") * F.coalesce(
+        "mean_absorb_day_2", F.lit(0.0)
+    )
+    survived = 1.0 - F.col(f"p_fail_{PAYOUT_PHASE}")
+    return (
+        shares.groupBy("panel", "k")
+        .agg(*per_phase)
+        .withColumn("p_pass_conditional", F.col("p_cond_1") * F.col("p_cond_2"))
+        .select(
+            "panel",
+            "k",
+            F.col("p_pass_1").alias("p_phase1"),
+            F.col("p_pass_2").alias("p_phase2"),
+            (F.col("p_pass_1") * F.col("p_pass_2")).alias("p_both"),
+            "p_pass_conditional",
+            F.col("p_fail_1").alias("p_fail"),
+            F.col("p_unresolved_1").alias("p_unresolved"),
+            insufficient.alias("insufficient_horizon"),
+            F.when(
+                (F.col("p_pass_conditional") > 0) & ~insufficient,
+                attempt_days / F.col("p_pass_conditional"),
+            ).alias("expected_days"),
+            (1.0 - F.pow(survived, F.lit(rules.n_payouts))).alias("p_burn"),
+        )
+    )
+
+
+def challenge_summary(
+    returns: DataFrame,
+    rules: BarrierRules = BarrierRules(),
+    params: ResamplingParams = ResamplingParams(),
+    leverage: float = 1.0,
+) -> DataFrame:
+    """The curve's row at a single leverage."""
+    return leverage_curve(returns, rules, params, [leverage])
