@@ -97,7 +97,7 @@ def daily_scale(
     settled after grouping by (dt, before_dt), since the grouped rows hold every frame
     date. The scalar uses deviations up to the day before. Relative weights sum to one in
     size, so capping the gross exposure means capping the scalar.
-    -> (*by, dt, port_ret, port_vol, scalar, scale, capped)
+    -> (*by, dt, gross, port_ret, port_vol, scalar, scale, capped)
     """
     series = W.partitionBy(*by).orderBy("dt")
     rolling = series.rowsBetween(1 - vol_window, 0)
@@ -129,6 +129,7 @@ def daily_scale(
         .select(
             *by,
             "dt",
+            "gross",
             "port_ret",
             "port_vol",
             "scalar",

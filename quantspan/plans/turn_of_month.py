@@ -71,9 +71,9 @@ def null_benchmark(
     calendar = materialize(frame_calendar(prices), "calendar")
     sized = inverse_vol(own_volatility(prices, vol_window), "always", {1: F.lit(1.0)})
     always = materialize(
-        daily_scale(sized, ["panel", "always"], vol_window, vol_target, max_gross)
-        .join(sized.groupBy("panel", "dt").agg(F.sum("raw").alias("gross")), ["panel", "dt"])
-        .select("panel", "dt", "port_ret", "gross"),
+        daily_scale(sized, ["panel", "always"], vol_window, vol_target, max_gross).select(
+            "panel", "dt", "port_ret", "gross"
+        ),
         "portfolio",
     )
     chosen = random_days(calendar, n_resamples, per_month, seed).withColumn("chosen", F.lit(True))
