@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 
 from quantspan.operators.calendars import frame_calendar
 
-OWN_DAYS = W.partitionBy("panel", "instrument").orderBy("dt")
+
+def own_days():
+    """The days of one instrument, in order."""
+    return W.partitionBy("panel", "instrument").orderBy("dt")
+
 
 
 def universe_filter(prices: DataFrame, samples: DataFrame) -> DataFrame:
@@ -75,7 +79,7 @@ def align_weights(prices: DataFrame, weights: DataFrame) -> DataFrame:
 def frame_ffill(prices: DataFrame, series: DataFrame, value: str) -> DataFrame:
     """Put a per-instrument series on the frame and carry its last value forward."""
     on_frame = price_frame(prices).select("panel", "instrument", "dt")
-    carried = F.last(value, ignorenulls=True).over(OWN_DAYS.rowsBetween(W.unboundedPreceding, 0))
+    carried = F.last(value, ignorenulls=True).over(own_days().rowsBetween(W.unboundedPreceding, 0))
     return on_frame.join(
         series.select("panel", "instrument", "dt", value), ["panel", "instrument", "dt"], "left"
     ).select("panel", "instrument", "dt", carried.alias(value))

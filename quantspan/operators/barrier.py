@@ -47,6 +47,47 @@ def first_passage(
     )
 
 
+def first_passage_grid(
+    steps: DataFrame,
+    path: list[str],
+    target: float,
+    daily_loss_limit: float,
+    max_drawdown: float,
+    leverages: list[float],
+) -> DataFrame:
+    """`first_passage` at every leverage k from one pass: k * pnl >= target is
+    pnl >= target / k, so each leverage is a pair of conditional minima.
+
+    -> (*path, k, outcome, day)
+    """
+    days = []
+    for i, k in enumerate(leverages):
+        lost = (F.col("r") <= -daily_loss_limit / k) | (F.col("pnl") <= -max_drawdown / k)
+        days += [
+            F.min(F.when(F.col("pnl") >= target / k, F.col("day"))).alias(f"gain_{i}"),
+            F.min(F.when(lost, F.col("day"))).alias(f"loss_{i}"),
+        ]
+    rows = [
+        F.struct(
+            F.lit(float(k)).alias("k"),
+            F.col(f"gain_{i}").alias("gain_day"),
+            F.col(f"loss_{i}").alias("loss_day"),
+        )
+        for i, k in enumerate(leverages)
+    ]
+    return (
+        steps.groupBy(*path)
+        .agg(*days, F.max("day").alias("horizon"))
+        .select(*path, "horizon", F.inline(F.array(*rows)))
+        .select(
+            *path,
+            "k",
+            outcome_of(F.col("gain_day"), F.col("loss_day")).alias("outcome"),
+            F.coalesce(F.least("gain_day", "loss_day"), F.col("horizon")).alias("day"),
+        )
+    )
+
+
 def phase_stats(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Shares of the three outcomes, share passed among the absorbed, mean absorption day.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quantspan.config import EXPOSURE_TOLERANCE, MAX_GROSS
 from quantspan.functions.scalars import ratio
-from quantspan.operators.align import OWN_DAYS
+from quantspan.operators.align import own_days
 
 
 def gross_exposure(weights: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def gross_cap(weights: DataFrame, max_gross: float = MAX_GROSS) -> DataFrame:
 
 def lag_one(weights: DataFrame) -> DataFrame:
     """Previous row's weight, 0 on the first -> adds held."""
-    return weights.withColumn("held", F.coalesce(F.lag("w").over(OWN_DAYS), F.lit(0.0)))
+    return weights.withColumn("held", F.coalesce(F.lag("w").over(own_days()), F.lit(0.0)))
 
 
 def turnover(weights: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def turnover(weights: DataFrame) -> DataFrame:
 
 def weight_change(weights: DataFrame) -> DataFrame:
     """Absolute change of the weight, NULL on the first row -> adds change."""
-    return weights.withColumn("change", F.abs(F.col("w") - F.lag("w").over(OWN_DAYS)))
+    return weights.withColumn("change", F.abs(F.col("w") - F.lag("w").over(own_days())))
 
 
 def live_start(weights: DataFrame, eval_start: str) -> DataFrame:

@@ -11,27 +11,32 @@ from quantspan.functions.scalars import positive_log
 from quantspan.operators.calendars import missing_weekdays
 from quantspan.operators.clean import duplicate_dates
 
-BY_DATE = W.partitionBy("instrument").orderBy("dt")
-WHOLE = W.partitionBy("instrument")
+
+def whole():
+    return W.partitionBy("instrument")
+
+
+def by_date():
+    return whole().orderBy("dt")
 
 
 def log_returns(bars: DataFrame) -> DataFrame:
     """Difference of guarded logs between consecutive bars -> adds log_ret."""
     log_close = positive_log(F.col("close"))
-    return bars.withColumn("log_ret", log_close - F.lag(log_close).over(BY_DATE))
+    return bars.withColumn("log_ret", log_close - F.lag(log_close).over(by_date()))
 
 
 def open_gaps(bars: DataFrame) -> DataFrame:
     """ln(open / previous close) where both are positive -> adds open_gap."""
     opened = F.when(F.col("open") > 0, F.col("open"))
-    before = F.lag("close").over(BY_DATE)
+    before = F.lag("close").over(by_date())
     return bars.withColumn("open_gap", F.ln(F.try_divide(opened, F.when(before > 0, before))))
 
 
 def _zscore(name: str) -> Column:
     """Distance from the instrument's mean in population deviations; NULL when flat."""
-    spread = F.stddev_pop(name).over(WHOLE)
-    return (F.col(name) - F.avg(name).over(WHOLE)) / F.when(spread > 0, spread)
+    spread = F.stddev_pop(name).over(whole())
+    return (F.col(name) - F.avg(name).over(whole())) / F.when(spread > 0, spread)
 
 
 def nonpositive_prices(bars: DataFrame) -> DataFrame:
@@ -154,7 +159,7 @@ def first_anomalies(found: DataFrame, per_instrument: int = 200) -> DataFrame:
     -> (instrument, rank, dt, kind, detail, more)
     """
     kind_rank = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
-    listing = WHOLE.orderBy(kind_rank, "dt")
+    listing = whole().orderBy(kind_rank, "dt")
     return (
         found.where(F.col("dt").isNotNull())
         .select(
@@ -163,7 +168,7 @@ def first_anomalies(found: DataFrame, per_instrument: int = 200) -> DataFrame:
             "dt",
             "kind",
             "detail",
-            F.greatest(F.count("*").over(WHOLE) - per_instrument, F.lit(0)).alias("more"),
+            F.greatest(F.count("*").over(whole()) - per_instrument, F.lit(0)).alias("more"),
         )
         .where(F.col("rank") <= per_instrument)
     )

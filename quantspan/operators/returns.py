@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantspan.config import DAYS_PER_YEAR, TRADING_DAYS_PER_YEAR
 from quantspan.functions.scalars import finite_or_zero, ratio
-from quantspan.operators.align import OWN_DAYS, frame_ffill, price_frame, traded
+from quantspan.operators.align import frame_ffill, own_days, price_frame, traded
 
 
 def observed_bars_per_year(n: Column, first: Column, last: Column) -> Column:
@@ -21,7 +21,7 @@ def observed_bars_per_year(n: Column, first: Column, last: Column) -> Column:
 
 def own_calendar_returns(prices: DataFrame) -> DataFrame:
     """Change since the instrument's own previous bar; NULL on its first -> adds own_ret."""
-    before = F.lag("close").over(OWN_DAYS)
+    before = F.lag("close").over(own_days())
     return traded(prices).withColumn("own_ret", ratio(F.col("close"), before) - 1.0)
 
 
@@ -38,7 +38,7 @@ def traded_day_returns(prices: DataFrame) -> DataFrame:
 
 def gap_safe_returns(prices: DataFrame) -> DataFrame:
     """`traded_day_returns` spread over the whole frame."""
-    before = F.lag("filled").over(OWN_DAYS)
+    before = F.lag("filled").over(own_days())
     return price_frame(prices).select(
         "panel",
         "instrument",
@@ -59,7 +59,7 @@ def own_volatility(
     given (a fixed number also keeps past values untouched when later dates arrive).
     -> prices plus (own_ret, vol)
     """
-    rolling = OWN_DAYS.rowsBetween(1 - window, 0)
+    rolling = own_days().rowsBetween(1 - window, 0)
     full = F.count("own_ret").over(rolling) == window
     if periods_per_year is None:
         whole = W.partitionBy("panel", "instrument")
@@ -73,7 +73,7 @@ def own_volatility(
         per_year = F.lit(float(periods_per_year))
     return (
         own_calendar_returns(prices)
-        .withColumn("before", F.lag("close").over(OWN_DAYS))
+        .withColumn("before", F.lag("close").over(own_days()))
         .withColumn(
             "vol", F.when(full, F.stddev_samp("own_ret").over(rolling)) * F.sqrt(per_year)
         )

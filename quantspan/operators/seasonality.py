@@ -77,10 +77,11 @@ def mean_contrast(
     item = F.struct("s1", "n1", "s0", "n0")
     tail = (F.col("n") - (F.ceil(F.col("n") / block_size) - 1) * block_size).cast("int")
     kept = F.slice("items", F.lit(1), F.col("len"))
-    totals = [
-        F.aggregate(kept, F.lit(0.0), lambda acc, x, c=c: acc + x[c]).alias(c)
-        for c in ("s1", "n1", "s0", "n0")
-    ]
+
+    def total(name: str):
+        return F.aggregate(kept, F.lit(0.0), lambda acc, x: acc + x[name]).alias(name)
+
+    totals = [total(c) for c in ("s1", "n1", "s0", "n0")]
     blocks = materialize(
         wrapped_blocks(indexed_series(days, by), by, item, block_size)
         .withColumn("len", F.explode(F.array_distinct(F.array(F.lit(block_size), tail))))

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantspan.config import MAX_GROSS
 from quantspan.functions.scalars import direction_sign, ratio
-from quantspan.operators.align import OWN_DAYS, asof_lookback, price_frame
+from quantspan.operators.align import asof_lookback, own_days, price_frame
 from quantspan.operators.calendars import frame_calendar, rebalance_calendar
 from quantspan.operators.returns import gap_safe_returns, observed_bars_per_year, own_volatility
 
@@ -37,13 +37,13 @@ def buy_and_hold(prices: DataFrame, weight: float = 1.0) -> DataFrame:
 
 def sign_of_next_return(prices: DataFrame) -> DataFrame:
     """A cheat that looks one frame day ahead; it exists to prove a guard catches it."""
-    ahead = F.coalesce(direction_sign(F.lead("ret").over(OWN_DAYS)), F.lit(0.0))
+    ahead = F.coalesce(direction_sign(F.lead("ret").over(own_days())), F.lit(0.0))
     return gap_safe_returns(prices).select("panel", "instrument", "dt", ahead.alias("w"))
 
 
 def sign_of_last_return(prices: DataFrame) -> DataFrame:
     """The honest counterpart: sign of the previous frame day's return."""
-    behind = F.coalesce(direction_sign(F.lag("ret").over(OWN_DAYS)), F.lit(0.0))
+    behind = F.coalesce(direction_sign(F.lag("ret").over(own_days())), F.lit(0.0))
     return gap_safe_returns(prices).select("panel", "instrument", "dt", behind.alias("w"))
 
 
@@ -63,7 +63,7 @@ def inverse_vol(rows: DataFrame, variant: str, directions: dict) -> DataFrame:
         for i, direction in enumerate(directions.values())
     }
     moved = {
-        f"carried_{i}": F.lag(f"raw_{i}").over(OWN_DAYS) * F.coalesce("own_ret", F.lit(0.0))
+        f"carried_{i}": F.lag(f"raw_{i}").over(own_days()) * F.coalesce("own_ret", F.lit(0.0))
         for i in range(len(raws))
     }
     choices = [
@@ -76,11 +76,16 @@ def inverse_vol(rows: DataFrame, variant: str, directions: dict) -> DataFrame:
     ]
     return (
         rows.withColumns(raws)
-        .withColumns({**moved, "before_dt": F.lag("dt").over(OWN_DAYS)})
+        .withColumns({**moved, "before_dt": F.lag("dt").over(own_days())})
         .select("panel", "instrument", "dt", "before_dt", F.inline(F.array(*choices)))
     )
 
 
+def capped_scalar(max_gross: float) -> Column:
+    """The scalar, at most `max_gross`; NULL stays NULL (`least` alone would skip it)."""
+    return F.when(F.col("scalar") > max_gross, F.lit(max_gross)).otherwise(F.col("scalar"))
+
+
 def daily_scale(
     sized: DataFrame,
     by: list[str],
@@ -133,7 +138,7 @@ def daily_scale(
             "port_ret",
             "port_vol",
             "scalar",
-            ratio(F.least("scalar", F.lit(max_gross)), F.col("gross")).alias("scale"),
+            ratio(capped_scalar(max_gross), F.col("gross")).alias("scale"),
             F.coalesce((F.col("scalar") > max_gross) & (F.col("gross") > 0), F.lit(False)).alias("capped"),
         )
     )

@@ -13,7 +13,7 @@ from quantspan.operators.backtest import daily_breakdown
 from quantspan.operators.calendars import frame_calendar
 from quantspan.operators.returns import observed_bars_per_year, own_volatility
 from quantspan.operators.seasonality import random_days, tom_flag
-from quantspan.plans.signals import daily_scale, inverse_vol, scaled_weights
+from quantspan.plans.signals import capped_scalar, daily_scale, inverse_vol, scaled_weights
 from quantspan.session import materialize
 
 VARIANT = ["panel", "after"]
@@ -102,9 +102,7 @@ def null_benchmark(
         )
         .withColumn("scalar", ratio(F.lit(vol_target), F.lag("vol").over(series)))
         .where("chosen")
-        .select(
-            *by, "dt", ratio(F.least("scalar", F.lit(max_gross)), F.col("gross")).alias("scale")
-        )
+        .select(*by, "dt", ratio(capped_scalar(max_gross), F.col("gross")).alias("scale"))
     )
     weights = (
         sized.where(F.col("raw") != 0)

@@ -57,6 +57,32 @@ def decode_candles(blobs: DataFrame) -> DataFrame:
     return rows.select("symbol", day.alias("dt"), *UNITS)
 
 
+def _pack(batches):
+    for batch in batches:
+        blobs = []
+        for records in batch["records"]:
+            packed = np.zeros(len(records), RECORD)
+            for name in ("offset_s", *UNITS):
+                packed[name] = [r[name] for r in records]
+            blobs.append(lzma.compress(packed.tobytes(), format=lzma.FORMAT_ALONE))
+        yield batch[["symbol", "month"]].assign(content=blobs)
+
+
+def pack_candles(bars: DataFrame, point: float = 100.0) -> DataFrame:
+    """Daily bars to monthly blobs, the inverse of `decode_candles`; a month is 31 rows at most.
+
+    bars(instrument, dt, open, high, low, close) -> (symbol, month, content)
+    """
+    units = [F.round(F.col(u) * point).cast("int").alias(u) for u in UNITS]
+    offset = (F.datediff("dt", F.trunc("dt", "MM")) * 86_400).alias("offset_s")
+    months = (
+        bars.select(F.col("instrument").alias("symbol"), F.trunc("dt", "MM").alias("month"), F.struct(offset, *units).alias("record"))
+        .groupBy("symbol", "month")
+        .agg(F.array_sort(F.collect_list("record")).alias("records"))
+    )
+    return months.mapInPandas(_pack, "symbol string, month date, content binary")
+
+
 def symbol_map(spark: SparkSession, symbols: dict[str, str] | None = None) -> DataFrame:
     """-> (instrument, symbol, point); point is NULL where the default scale holds"""
     symbols = VENDOR_SYMBOLS if symbols is None else symbols

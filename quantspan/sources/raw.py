@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quantspan.config import CLOSE_HEADERS, DATE_HEADERS, PRICE_HEADERS
 
+RAW_GLOB = "*.{[cC][sS][vV],[tT][xX][tT]}"
 EPOCH_MILLIS_ABOVE = 1e11
 # Tried in this order after the ISO forms a plain cast understands.
 DATE_PATTERNS = ("dd.MM.yyyy HH:mm:ss.SSS", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy", "MM/dd/yyyy", "yyyyMMdd HHmmss")
@@ -20,15 +21,20 @@ DATE_PATTERNS = ("dd.MM.yyyy HH:mm:ss.SSS", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy",
 
 def instrument_of(path: Column) -> Column:
     """File stem in upper case."""
-    name = F.element_at(F.split(path, "/"), -1)
+    name = F.element_at(F.split(plain_path(path), "/"), -1)
     return F.upper(F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
+def plain_path(path: Column) -> Column:
+    """File metadata carries paths as URIs; undo the escapes."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def raw_files(spark: SparkSession, folder: str) -> DataFrame:
     """The .csv and .txt files of a folder, sorted -> (path, instrument)"""
     listing = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{csv,CSV,Csv,txt,TXT,Txt}")
+        .option("pathGlobFilter", RAW_GLOB)
         .load(folder)
         .select("path")
     )
@@ -42,11 +48,12 @@ def layouts(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     within a task, so the smallest id of that block marks it.
     """
     lines = (
-        spark.read.option("pathGlobFilter", "*.{csv,CSV,Csv,txt,TXT,Txt}")
+        spark.read.option("pathGlobFilter", RAW_GLOB)
+        .option("recursiveFileLookup", "true")
         .text(folder)
         .select(
             "value",
-            F.col("_metadata.file_path").alias("path"),
+            plain_path(F.col("_metadata.file_path")).alias("path"),
             F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("line"),
         )
@@ -98,7 +105,7 @@ def parse_date(text: Column, is_epoch: Column, is_millis: Column, compact_dates:
     return F.when(is_epoch, epoch).otherwise(written)
 
 
-def _scan(spark: SparkSession, paths: list[str], compact_dates: bool) -> DataFrame:
+def _scan(spark: SparkSession, paths: list[str], compact_dates: bool, name_of) -> DataFrame:
     """One layout's files -> (instrument, dt, ord, prices)."""
     raw = spark.read.csv(paths, header=True)
     date = date_header(raw.columns)
@@ -123,7 +130,7 @@ def _scan(spark: SparkSession, paths: list[str], compact_dates: bool) -> DataFra
     day = parse_date(F.col("raw_date"), F.col("is_epoch"), F.col("is_millis"), compact_dates)
     prices = [n for n in PRICE_HEADERS if n in names.values()]
     return rows.join(kinds, "path").select(
-        instrument_of(F.col("path")).alias("instrument"), day.alias("dt"), "ord", *prices
+        name_of(F.col("path")).alias("instrument"), day.alias("dt"), "ord", *prices
     )
 
 
@@ -140,13 +147,17 @@ def first_numeric(raw: DataFrame, columns: list[str]) -> str:
     raise ValueError("no numeric price column found")
 
 
-def read_raw(spark: SparkSession, folder: str, compact_dates: bool = False) -> DataFrame:
-    """Every dump of a folder -> (instrument, dt, ord, open, high, low, close).
+def read_raw(
+    spark: SparkSession, folder: str, compact_dates: bool = False, name_of=instrument_of
+) -> DataFrame:
+    """Every dump below a folder -> (instrument, dt, ord, open, high, low, close).
 
-    Missing price columns are NULL. `ord` grows with the position in the file.
-    `compact_dates` reads eight-digit numbers as yyyyMMdd instead of as an epoch.
+    Price columns no file has are left out, those some files lack are NULL there. `ord`
+    grows with the position in the file. `compact_dates` reads eight-digit numbers as
+    yyyyMMdd instead of as an epoch. `name_of` turns a path into the instrument.
     """
-    scans = [_scan(spark, paths, compact_dates) for paths in layouts(spark, folder).values()]
+    found = layouts(spark, folder).values()
+    scans = [_scan(spark, paths, compact_dates, name_of) for paths in found]
     if not scans:
         raise ValueError(f"no .csv or .txt files in {folder}")
     bars = scans[0]
