@@ -132,4 +132,5 @@ def hashed_draw(n: Column, *parts: Column) -> Column:
     Unlike `rand(seed)` it does not move with the partitioning or with a task retry.
     """
     digest = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8)
-    return F.conv(digest, 16, 10).cast("bigint") % n
+    # Never NULL, and declared so: a join on the draw needs no extra filter that hashes again.
+    return F.coalesce(F.conv(digest, 16, 10).cast("bigint") % n, F.lit(0))

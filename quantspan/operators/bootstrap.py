@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantspan.functions.scalars import finite, hashed_draw
+from quantspan.session import join_side, materialize
 
 
 def indexed_series(series: DataFrame, by: list[str], order: str = "dt") -> DataFrame:
@@ -48,6 +49,13 @@ def wrapped_blocks(indexed: DataFrame, by: list[str], item: Column, size: int) -
     )
 
 
+def task_count(df: DataFrame) -> int:
+    """Partitions for rows that are few now and will be many: enough for every core."""
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, spark.sparkContext.defaultParallelism)
+
+
 def path_ids(sizes: DataFrame, by: list[str], n_paths: int) -> DataFrame:
     """One row per path, spread over the cluster: a handful of series still fills it.
 
@@ -55,12 +63,8 @@ def path_ids(sizes: DataFrame, by: list[str], n_paths: int) -> DataFrame:
     tiny rows into one task before they grow into blocks. Later windows over a path find
     its rows together already.
     """
-    spark = sizes.sparkSession
-    partitions = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
     paths = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
-    return paths.repartition(partitions, *by, "path")
+    return paths.repartition(task_count(sizes), *by, "path")
 
 
 def block_draws(paths: DataFrame, size: int, *seed: Column) -> DataFrame:
@@ -85,7 +89,7 @@ def block_bootstrap(
     if block_size < 1:
         raise ValueError("block_size must be >= 1")
     indexed = indexed_series(finite_returns(returns), ["panel"])
-    blocks = wrapped_blocks(indexed, ["panel"], F.col("ret"), block_size)
+    blocks = materialize(wrapped_blocks(indexed, ["panel"], F.col("ret"), block_size), "blocks")
     sizes = blocks.where(F.col("start") == 0).select("panel", "n")
     paths = path_ids(sizes, ["panel"], n_paths).withColumns(
         {"horizon": F.lit(horizon), "phase": F.lit(phase)}
@@ -93,7 +97,7 @@ def block_bootstrap(
     draws = block_draws(paths, block_size, F.lit(seed), F.col("phase"))
     return (
         draws.drop("n")
-        .join(blocks.drop("n"), ["panel", "start"])
+        .join(join_side(blocks.drop("n")), ["panel", "start"])
         .select("panel", "phase", "path", "block", F.posexplode(F.slice("items", 1, F.col("len"))))
         .select(
             "panel",

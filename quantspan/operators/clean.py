@@ -45,13 +45,9 @@ def merge_batches(*batches: DataFrame, order: str = "ord") -> DataFrame:
     """Append batches of bars; where a date comes twice the later batch wins."""
     merged = None
     for number, batch in enumerate(batches):
-        tagged = batch.withColumn("batch", F.lit(number))
+        tagged = dedup_keep_last(batch, order).withColumn("batch", F.lit(number))
         merged = tagged if merged is None else merged.unionByName(tagged)
-    rank = F.struct("batch", order)
-    values = [c for c in batches[0].columns if c not in ("instrument", "dt", order)]
-    return merged.groupBy("instrument", "dt").agg(
-        *[F.max_by(c, rank).alias(c) for c in values], F.max_by(order, rank).alias(order)
-    )
+    return dedup_keep_last(merged, "batch").drop("batch")
 
 
 def before_holdout(df: DataFrame, start=HOLDOUT_START) -> DataFrame:

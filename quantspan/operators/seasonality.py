@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 from quantspan.config import DAYS_PER_YEAR
 from quantspan.functions.scalars import hashed_draw, ratio
 from quantspan.operators.align import traded
-from quantspan.operators.bootstrap import block_draws, indexed_series, path_ids, wrapped_blocks
+from quantspan.operators.bootstrap import (
+    block_draws,
+    indexed_series,
+    path_ids,
+    task_count,
+    wrapped_blocks,
+)
 from quantspan.operators.returns import own_calendar_returns
-from quantspan.session import materialize
+from quantspan.session import join_side, materialize
 
 ALL = "ALL"
 
@@ -93,7 +99,7 @@ def mean_contrast(
     resampled = (
         block_draws(paths, block_size, F.lit(seed))
         .drop("n")
-        .join(blocks.drop("n"), [*by, "start", "len"])
+        .join(join_side(blocks.drop("n"), 500_000), [*by, "start", "len"])
         .groupBy(*by, "path")
         .agg(_contrast(F.sum("s1"), F.sum("n1"), F.sum("s0"), F.sum("n0")).alias("drawn"))
     )
@@ -112,21 +118,23 @@ def mean_contrast(
 
 
 def random_days(
-    calendar: DataFrame, n_resamples: int = 1000, per_month: int = 4, seed: int = 12345
+    days: DataFrame, n_resamples: int = 1000, per_month: int = 4, seed: int = 12345
 ) -> DataFrame:
-    """`per_month` frame dates of each month at random, per resample.
+    """Mark `per_month` dates of each month at random, in every resample.
 
-    -> (panel, resample, dt, pos)
+    days(panel, dt, ...) holds one row per frame date. The rows of a resample are put
+    together here, which later windows over (panel, resample) find already done.
+    -> adds (resample, chosen), a row per date and resample
     """
     order = W.partitionBy("panel", "resample", F.trunc("dt", "MM")).orderBy("draw", "dt")
     draw = hashed_draw(F.lit(1 << 32), F.lit(seed), F.col("resample"), F.date_format("dt", "yyyy-MM-dd"))
+    resamples = F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))
     return (
-        calendar.select("panel", "dt", "pos")
-        .withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
+        days.withColumn("resample", resamples)
+        .repartition(task_count(days), "panel", "resample")
         .withColumn("draw", draw)
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= per_month)
-        .select("panel", "resample", "dt", "pos")
+        .withColumn("chosen", F.row_number().over(order) <= per_month)
+        .drop("draw")
     )
 
 

@@ -486,8 +486,10 @@ def lag_one(spark, sf):
 
 @query
 def ffill(spark, sf):
-    balances = panels.balance_bars(spark, sf).withColumn("close", F.when(F.col("close") > 0, F.col("close")))
-    return rounded(exposure.ffill(balances, "close", ["instrument"], "ord").select("ord", "close"))
+    """Days that end on a non-positive balance take the last positive one."""
+    bars = clean.clean_bars(panels.balance_bars(spark, sf))
+    usable = bars.withColumn("close", F.when(F.col("close") > 0, F.col("close")))
+    return rounded(exposure.ffill(usable, "close", ["instrument"]).select("instrument", "dt", "close"))
 
 
 @query
@@ -567,7 +569,7 @@ def _event_clean(spark, sf) -> DataFrame:
 
 @query
 def anomalous_return(spark, sf):
-    return quality.anomalous_returns(clean.clean_bars(panels.balance_bars(spark, sf)))
+    return quality.anomalous_returns(clean.clean_bars(panels.balance_bars(spark, sf)), sigma=3.0)
 
 
 @query

@@ -21,7 +21,7 @@ from quantspan.operators.bootstrap import (
     path_ids,
     wrapped_blocks,
 )
-from quantspan.session import materialize
+from quantspan.session import join_side, materialize
 
 PAYOUT_PHASE = 3
 
@@ -60,7 +60,9 @@ def passage_days(
 
     A window over a path's blocks gives the level at which each block starts and the
     extremes seen before it; a barrier falls in the one block that crosses it first, and
-    only that block is searched for the day. -> (panel, phase, path, k, gain_day, loss_day)
+    only that block is searched for the day. Paths are laid out before they grow into
+    blocks, and every step after that keeps the layout.
+    -> (panel, phase, path, k, gain_day, loss_day)
     """
     size = params.block_size
     horizons = {1: params.horizon_days, 2: params.horizon_days, PAYOUT_PHASE: rules.payout_interval_days}
@@ -77,8 +79,9 @@ def passage_days(
 
     order = W.partitionBy("panel", "phase", "path").orderBy("block")
     before = order.rowsBetween(W.unboundedPreceding, -1)
+    outline = profiles.select("panel", "start", "len", "total", "top", "bottom", "worst")
     stretched = (
-        draws.join(profiles.drop("n"), ["panel", "start", "len"])
+        draws.join(join_side(outline, 500_000), ["panel", "start", "len"])
         .withColumn("level", F.coalesce(F.sum("total").over(before), F.lit(0.0)))
         .withColumns({"high": F.col("level") + F.col("top"), "low": F.col("level") + F.col("bottom")})
         .withColumns(
@@ -94,6 +97,28 @@ def passage_days(
         F.when(F.col("phase") == 1, rules.phase1_target)
         .when(F.col("phase") == 2, rules.phase2_target)
     )
+    # A barrier can only fall in a block that sets a new extreme beyond the nearest
+    # threshold. The day-by-day values join just those blocks, and the first block of each
+    # path, which keeps the paths that reach nothing.
+    most = max(leverages)
+
+    def first_or(condition, column):
+        return F.col(column).isNull() | condition
+
+    relevant = (
+        (F.col("block") == 0)
+        | ((F.col("high") >= target / most) & first_or(F.col("high") > F.col("high_before"), "high_before"))
+        | (
+            (F.col("low") <= -rules.max_drawdown / most)
+            & first_or(F.col("low") < F.col("low_before"), "low_before")
+        )
+        | (
+            (F.col("worst") <= -rules.daily_loss_limit / most)
+            & first_or(F.col("worst") < F.col("worst_before"), "worst_before")
+        )
+    )
+    inside = profiles.select("panel", "start", "len", "items", "sums")
+    searched = stretched.where(relevant).join(join_side(inside), ["panel", "start", "len"])
 
     def day_of(hits):
         return (F.col("block") * size + F.array_position(hits, True)).cast("int")
@@ -130,7 +155,7 @@ def passage_days(
         ]
     )
     return (
-        stretched.select("panel", "phase", "path", *found)
+        searched.select("panel", "phase", "path", *found)
         .groupBy("panel", "phase", "path")
         .agg(*firsts)
         .select("panel", "phase", "path", F.inline(per_leverage))

@@ -582,9 +582,9 @@ _put(
 _OWNW = "WINDOW w AS (PARTITION BY instrument ORDER BY dt)"
 _put("lag_one", PRIORITY, SHARE_W, f"SELECT instrument, dt, round(coalesce(lag(w) OVER w, 0), 6) + 0.0 AS held FROM wts {_OWNW}")
 _put(
-    "ffill", BALANCE_BARS,
-    """SELECT ord, round(last_value(CASE WHEN close > 0 THEN close END IGNORE NULLS) OVER
-      (PARTITION BY instrument ORDER BY ord ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS close FROM raw""",
+    "ffill", BALANCE_BARS, CLEAN,
+    """SELECT instrument, dt, round(last_value(CASE WHEN close > 0 THEN close END IGNORE NULLS) OVER
+      (PARTITION BY instrument ORDER BY dt ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS close FROM bars""",
 )
 _put("gap_safe_returns", PRIORITY, *FRAMED, final("instrument dt ret*", "rets"))
 _put("own_calendar_returns", BRAND, OWN, final("instrument dt own_ret*", "own"))
@@ -611,7 +611,7 @@ _put("weight_change", PRIORITY, SHARE_W, f"SELECT instrument, dt, round(abs(w -
 # --- aggregates ---------------------------------------------------------------------------------------------
 _put(
     "anomalous_return", BALANCE_BARS, CLEAN, ANOMALIES,
-    "SELECT instrument, dt, 'anomalous_return' AS kind, printf('z=%.1f', z) AS detail FROM zs WHERE abs(z) > 5",
+    "SELECT instrument, dt, 'anomalous_return' AS kind, printf('z=%.1f', z) AS detail FROM zs WHERE abs(z) > 3",
 )
 _put("session_gap", EVENT_OHLC, OPEN_GAPS, "SELECT instrument, dt, 'session_gap' AS kind, '' AS detail FROM gapz WHERE abs(z) > 2.5")
 _put("nonpositive_price", BALANCE_BARS, CLEAN, "SELECT instrument, dt, 'nonpositive_price' AS kind, '' AS detail FROM bars WHERE close <= 0 OR close IS NULL")

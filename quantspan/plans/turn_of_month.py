@@ -76,21 +76,14 @@ def null_benchmark(
         ),
         "portfolio",
     )
-    chosen = random_days(calendar, n_resamples, per_month, seed).withColumn("chosen", F.lit(True))
-
     series = W.partitionBy(*by).orderBy("dt")
     rolling = series.rowsBetween(1 - vol_window, 0)
     per_year = observed_bars_per_year(F.col("n"), F.col("first"), F.col("last"))
     spans = calendar.groupBy("panel").agg(
         F.count("*").alias("n"), F.min("dt").alias("first"), F.max("dt").alias("last")
     )
-    resamples = calendar.select("panel", "dt").withColumn(
-        "resample", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))
-    )
-    scale = (
-        resamples.join(chosen.drop("pos"), [*by, "dt"], "left")
-        .join(always, ["panel", "dt"])
-        .join(spans, "panel")
+    scale = materialize(
+        random_days(always.join(spans, "panel"), n_resamples, per_month, seed)
         .withColumn(
             "earned",
             F.when(F.lag("chosen").over(series), F.col("port_ret")).otherwise(0.0),
@@ -103,11 +96,13 @@ def null_benchmark(
         .withColumn("scalar", ratio(F.lit(vol_target), F.lag("vol").over(series)))
         .where("chosen")
         .select(*by, "dt", ratio(capped_scalar(max_gross), F.col("gross")).alias("scale"))
+        .where(F.col("scale").isNotNull()),
+        "random-days",
     )
     weights = (
         sized.where(F.col("raw") != 0)
         .select("panel", "instrument", "dt", "raw")
-        .join(scale.where(F.col("scale").isNotNull()), ["panel", "dt"])
+        .join(scale, ["panel", "dt"])
         .select(*by, "instrument", "dt", (F.col("raw") * F.col("scale")).alias("w"))
     )
     specs = calendar.select("panel").distinct().withColumn(

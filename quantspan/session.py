@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,12 +29,14 @@ def build_session(app: str = "quantspan", master: str | None = None, **extra: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private temporary one only where none is named."""
+    """The cluster's checkpoint folder; a private temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -53,3 +56,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_side(table: DataFrame, limit_rows: int = 200_000) -> DataFrame:
+    """A table on disk as the smaller side of a join: broadcast only if it is counted small.
+
+    Beyond the limit the join is a sort-merge. Said explicitly because the other side of
+    these joins is a generator, whose size the optimizer takes for that of its few seeds.
+    """
+    small = table.limit(limit_rows + 1).count() <= limit_rows
+    return F.broadcast(table) if small else table.hint("merge")
