@@ -68,17 +68,21 @@ def price_frame(prices: DataFrame, calendar: DataFrame | None = None) -> DataFra
     )
 
 
-def align_weights(prices: DataFrame, weights: DataFrame) -> DataFrame:
+def align_weights(
+    prices: DataFrame, weights: DataFrame, calendar: DataFrame | None = None
+) -> DataFrame:
     """Weights on every frame cell; a missing cell is flat, not held."""
-    cells = price_frame(prices).select("panel", "instrument", "dt")
+    cells = price_frame(prices, calendar).select("panel", "instrument", "dt")
     return cells.join(weights, ["panel", "instrument", "dt"], "left").select(
         "panel", "instrument", "dt", F.coalesce("w", F.lit(0.0)).alias("w")
     )
 
 
-def frame_ffill(prices: DataFrame, series: DataFrame, value: str) -> DataFrame:
+def frame_ffill(
+    prices: DataFrame, series: DataFrame, value: str, calendar: DataFrame | None = None
+) -> DataFrame:
     """Put a per-instrument series on the frame and carry its last value forward."""
-    on_frame = price_frame(prices).select("panel", "instrument", "dt")
+    on_frame = price_frame(prices, calendar).select("panel", "instrument", "dt")
     carried = F.last(value, ignorenulls=True).over(own_days().rowsBetween(W.unboundedPreceding, 0))
     return on_frame.join(
         series.select("panel", "instrument", "dt", value), ["panel", "instrument", "dt"], "left"

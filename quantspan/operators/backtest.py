@@ -69,7 +69,6 @@ def daily_breakdown(
         weights.where(F.col("w") != 0)
         .select(*by, "instrument", "dt", "w")
         .join(calendar.select("panel", "dt", "prev_dt", "next_dt"), ["panel", "dt"])
-        .repartition("panel", "instrument")
         .withColumns(
             {
                 "before": F.when(F.lag("dt").over(order) == F.col("prev_dt"), F.lag("w").over(order)),

@@ -36,10 +36,10 @@ def traded_day_returns(prices: DataFrame) -> DataFrame:
     )
 
 
-def gap_safe_returns(prices: DataFrame) -> DataFrame:
+def gap_safe_returns(prices: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """`traded_day_returns` spread over the whole frame."""
     before = F.lag("filled").over(own_days())
-    return price_frame(prices).select(
+    return price_frame(prices, calendar).select(
         "panel",
         "instrument",
         "dt",
@@ -82,7 +82,11 @@ def own_volatility(
 
 
 def rolling_vol(
-    prices: DataFrame, window: int = 63, periods_per_year: float | None = None
+    prices: DataFrame,
+    window: int = 63,
+    periods_per_year: float | None = None,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """`own_volatility` on the frame of the panel, carried over days without a trade."""
-    return frame_ffill(prices, own_volatility(prices, window, periods_per_year), "vol")
+    own = own_volatility(prices, window, periods_per_year)
+    return frame_ffill(prices, own, "vol", calendar)

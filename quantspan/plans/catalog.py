@@ -41,6 +41,7 @@ QUERIES: dict[str, Query] = {}
 SMALL = ResamplingParams(n_paths=1000, horizon_days=252)
 FULL = ResamplingParams()
 RULES = BarrierRules()
+RESAMPLES = 100
 SPLIT = "1998-06-30"
 EVAL_START = {"A": "1996-01-01", "B": "1997-01-01"}
 SAMPLE_A = ("1-URGENT", "2-HIGH", "3-MEDIUM")
@@ -69,14 +70,26 @@ def brand(spark, sf):
     return panels.brand_panel(spark, sf)
 
 
+def stored(prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A panel and its calendar as tables on disk, for queries that pass over them repeatedly.
+
+    The panel has a row per instrument and day, far fewer than the records behind it, which
+    are then read once. The calendar's true size lets the optimizer pick its joins.
+    """
+    prices = materialize(prices, "prices")
+    return prices, materialize(calendars.frame_calendar(prices), "calendar")
+
+
 def held_returns(spark, sf) -> DataFrame:
     """Net buy-and-hold returns of the priority panel, the series most reports start from."""
-    prices = priority(spark, sf)
-    return bt.backtest(prices, signals.buy_and_hold(prices))
+    prices, calendar = stored(priority(spark, sf))
+    weights = signals.buy_and_hold(prices, calendar=calendar)
+    return bt.backtest(prices, weights, calendar=calendar)
 
 
 def momentum_weights(spark, sf) -> DataFrame:
-    return signals.tsmom(priority(spark, sf))
+    prices, calendar = stored(priority(spark, sf))
+    return signals.tsmom(prices, calendar=calendar)
 
 
 # --- sources and sinks ------------------------------------------------------------------
@@ -473,10 +486,14 @@ def concat_rows(spark, sf):
 # --- windows --------------------------------------------------------------------------------------
 
 
-def _traded_weights(spark, sf) -> DataFrame:
+def _close_shares(prices) -> DataFrame:
     """Weights that change: the share of an instrument's close in its date's total."""
-    prices = priority(spark, sf).withColumn("w", F.col("close"))
-    return exposure.cross_section_normalise(prices).select("panel", "instrument", "dt", "w")
+    shares = exposure.cross_section_normalise(prices.withColumn("w", F.col("close")))
+    return shares.select("panel", "instrument", "dt", "w")
+
+
+def _traded_weights(spark, sf) -> DataFrame:
+    return _close_shares(materialize(priority(spark, sf), "prices"))
 
 
 @query
@@ -504,12 +521,13 @@ def own_calendar_returns(spark, sf):
 
 @query
 def rolling_vol(spark, sf):
-    return rounded(returns.rolling_vol(priority(spark, sf)).select("instrument", "dt", "vol"))
+    prices, calendar = stored(priority(spark, sf))
+    return rounded(returns.rolling_vol(prices, calendar=calendar).select("instrument", "dt", "vol"))
 
 
 @query
 def exante_scalar(spark, sf):
-    sized = signals.momentum_raw(priority(spark, sf), (12,))
+    sized = signals.momentum_raw(materialize(priority(spark, sf), "prices"), (12,))
     scale = signals.daily_scale(sized, ["panel", "lookback"])
     return rounded(scale.select("dt", "port_ret", "port_vol", "scalar"))
 
@@ -606,8 +624,13 @@ def counts_by_kind(spark, sf):
     return quality.counts_by_kind(quality.anomalies(panels.event_bars(spark, sf), _event_clean(spark, sf), 2.5))
 
 
+def _sign_weights(prices, calendar) -> DataFrame:
+    weights = signals.sign_of_last_return(prices, calendar)
+    return weights.withColumn("w", F.col("w") * 0.25)
+
+
 def _long_short(spark, sf) -> DataFrame:
-    return signals.sign_of_last_return(brand(spark, sf)).withColumn("w", F.col("w") * 0.25)
+    return _sign_weights(*stored(brand(spark, sf)))
 
 
 @query
@@ -639,8 +662,9 @@ def gross_cap(spark, sf):
 
 
 def _daily(spark, sf) -> DataFrame:
-    prices = priority(spark, sf)
-    return bt.daily_breakdown(prices, _traded_weights(spark, sf), _priority_costs(spark, sf))
+    prices, calendar = stored(priority(spark, sf))
+    weights = _close_shares(prices)
+    return bt.daily_breakdown(prices, weights, _priority_costs(spark, sf), calendar=calendar)
 
 
 @query
@@ -660,8 +684,9 @@ def swap_cost(spark, sf):
 
 @query
 def backtest(spark, sf):
-    prices = brand(spark, sf)
-    return rounded(bt.backtest(prices, _long_short(spark, sf)).select("dt", "ret"))
+    prices, calendar = stored(brand(spark, sf))
+    weights = _sign_weights(prices, calendar)
+    return rounded(bt.backtest(prices, weights, calendar=calendar).select("dt", "ret"))
 
 
 @query
@@ -731,8 +756,9 @@ def verdict(spark, sf):
 @query
 def reference_sharpe_check(spark, sf):
     """Gross buy-and-hold of each instrument alone against one published ratio."""
-    alone = brand(spark, sf).withColumn("panel", F.col("instrument"))
-    gross = bt.backtest(alone, signals.buy_and_hold(alone), apply_costs=False)
+    alone, calendar = stored(brand(spark, sf).withColumn("panel", F.col("instrument")))
+    weights = signals.buy_and_hold(alone, calendar=calendar)
+    gross = bt.backtest(alone, weights, apply_costs=False, calendar=calendar)
     return rounded(metrics.reference_sharpe_check(gross, SharpeReference(value=5.0, tolerance=0.5)))
 
 
@@ -746,30 +772,33 @@ def buy_and_hold(spark, sf):
 
 @query
 def tsmom(spark, sf):
-    prices = priority(spark, sf)
-    return rounded(align.align_weights(prices, signals.tsmom(prices)).select("instrument", "dt", "w"))
+    prices, calendar = stored(priority(spark, sf))
+    weights = signals.tsmom(prices, calendar=calendar)
+    return rounded(align.align_weights(prices, weights, calendar).select("instrument", "dt", "w"))
 
 
 @query
 def tsmom_fixed_year(spark, sf):
     """Six-month lookback, annualised with a constant so later data cannot move it."""
-    return rounded(
-        signals.tsmom(brand(spark, sf), 6, periods_per_year=252.0).select("instrument", "dt", "w")
-    )
+    prices, calendar = stored(brand(spark, sf))
+    weights = signals.tsmom(prices, 6, periods_per_year=252.0, calendar=calendar)
+    return rounded(weights.select("instrument", "dt", "w"))
 
 
 @query
 def tsmom_backtest(spark, sf):
-    prices = brand(spark, sf)
-    return rounded(metrics.metrics(bt.backtest(prices, signals.tsmom(prices))))
+    prices, calendar = stored(brand(spark, sf))
+    weights = signals.tsmom(prices, calendar=calendar)
+    return rounded(metrics.metrics(bt.backtest(prices, weights, calendar=calendar)))
 
 
 @query
 def lookahead_guard(spark, sf):
-    prices = priority(spark, sf)
+    prices, calendar = stored(priority(spark, sf))
     result = None
     for name, signal in (("cheat", signals.sign_of_next_return), ("honest", signals.sign_of_last_return)):
-        ratio = metrics.sharpe(bt.backtest(prices, signal(prices), apply_costs=False))
+        gross = bt.backtest(prices, signal(prices, calendar), apply_costs=False, calendar=calendar)
+        ratio = metrics.sharpe(gross)
         row = ratio.select(F.lit(name).alias("signal"), "sharpe", (F.col("sharpe") > 5).alias("caught"))
         result = row if result is None else result.unionByName(row)
     return rounded(result)
@@ -850,7 +879,7 @@ def tom_flag(spark, sf):
 
 @query
 def tom_signal(spark, sf):
-    found = turn_of_month.tom_weights(priority(spark, sf))
+    found = turn_of_month.tom_weights(materialize(priority(spark, sf), "prices"))
     return rounded(found.select("instrument", "dt", "w", "capped"))
 
 
@@ -862,14 +891,17 @@ def mean_contrast(spark, sf):
 
 @query
 def null_benchmark(spark, sf):
-    found = turn_of_month.null_benchmark(priority(spark, sf), 100)
+    prices, calendar = stored(priority(spark, sf))
+    found = turn_of_month.null_benchmark(prices, RESAMPLES, calendar=calendar)
     return rounded(found.select(F.col("resample").cast("bigint").alias("resample"), "sharpe"))
 
 
 def _tom_against_null(spark, sf) -> tuple[DataFrame, DataFrame]:
-    prices = priority(spark, sf)
-    earned = materialize(turn_of_month.tom_returns(prices, (3,)).drop("after"), "tom-returns")
-    null = turn_of_month.null_benchmark(prices, 100)
+    prices, calendar = stored(priority(spark, sf))
+    earned = materialize(
+        turn_of_month.tom_returns(prices, (3,), calendar=calendar).drop("after"), "tom-returns"
+    )
+    null = turn_of_month.null_benchmark(prices, RESAMPLES, calendar=calendar)
     return earned, seasonality.null_p_value(null, metrics.sharpe(earned))
 
 
@@ -880,7 +912,7 @@ def null_p_value(spark, sf):
 
 @query
 def sharpe_ci(spark, sf):
-    base = held_returns(spark, sf)
+    base = materialize(held_returns(spark, sf), "returns")
     ratios = metrics.sharpe(base).join(seasonality.years_observed(base), "panel")
     return rounded(seasonality.sharpe_ci(ratios))
 
@@ -888,7 +920,8 @@ def sharpe_ci(spark, sf):
 @query
 def window_variant(spark, sf):
     """The single pre-registered variant of the window, deflated for two trials."""
-    earned = turn_of_month.tom_returns(priority(spark, sf), (3, 4))
+    prices, calendar = stored(priority(spark, sf))
+    earned = turn_of_month.tom_returns(prices, (3, 4), calendar=calendar)
     return rounded(trials.deflated_sharpe(metrics.sharpe(earned, ("panel", "after")), ("panel",)))
 
 

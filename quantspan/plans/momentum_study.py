@@ -36,6 +36,7 @@ def daily_series(
     A strategy is live from the later of its sample's start and its first position.
     """
     panels = universe_filter(prices, samples)
+    panels = materialize(panels, "panels")
     calendar = materialize(frame_calendar(panels), "calendar")
     lookbacks = F.explode(F.array(*[F.lit(int(m)) for m in limits.lookbacks]))
     specs = calendar.select("panel").distinct().withColumn("lookback", lookbacks)

@@ -11,7 +11,7 @@ import math
 
 from quantspan.config import EULER_GAMMA, BarrierRules, ResamplingParams
 from quantspan.functions.scalars import PROBIT_A, PROBIT_B, PROBIT_C, PROBIT_D, PROBIT_TAIL
-from quantspan.plans.catalog import EVAL_START, FULL, RULES, SAMPLE_A, SMALL, SPLIT
+from quantspan.plans.catalog import EVAL_START, FULL, RESAMPLES, RULES, SAMPLE_A, SMALL, SPLIT
 from quantspan.plans.panels import BRAND_LEVEL, PNL_SCALE, PRIORITY_LEVEL
 
 KINDS = ("nonpositive_price", "anomalous_return", "session_gap")
@@ -778,9 +778,9 @@ _put(
 )
 _put("mean_contrast", PRIORITY, OWN, tom(), contrast(1000), final("instrument contrast_bp* se_bp* ci_low_bp* ci_high_bp*", "contrast"))
 _FRAMED_VOL = (PRIORITY, *FRAMED, OWN, own_vol())
-_put("null_benchmark", *_FRAMED_VOL, *random_portfolios(100), final("resample sharpe*", "nulls"))
+_put("null_benchmark", *_FRAMED_VOL, *random_portfolios(RESAMPLES), final("resample sharpe*", "nulls"))
 _PLACED = (
-    *tom_series(), *random_portfolios(100),
+    *tom_series(), *random_portfolios(RESAMPLES),
     f"seen AS (SELECT {SHARPE} AS sharpe, (max(dt) - min(dt)) / 365.25 AS years FROM series)",
     """placed AS (SELECT 'priority' AS panel, max(s.sharpe) AS sharpe, avg(n.sharpe) AS null_mean, quantile_cont(n.sharpe, 0.95) AS null_p95,
       count(*) FILTER (n.sharpe >= s.sharpe) / count(*) AS p_value FROM nulls n, seen s)""",

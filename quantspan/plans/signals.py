@@ -25,26 +25,28 @@ class Signal(Protocol):
     def __call__(self, prices: DataFrame, **params) -> DataFrame: ...
 
 
-def buy_and_hold(prices: DataFrame, weight: float = 1.0) -> DataFrame:
+def buy_and_hold(
+    prices: DataFrame, weight: float = 1.0, calendar: DataFrame | None = None
+) -> DataFrame:
     """The same share of `weight` for every instrument on every frame date."""
     members = prices.select("panel", "instrument").distinct().groupBy("panel").agg(
         F.count("*").alias("members")
     )
-    return price_frame(prices).join(members, "panel").select(
+    return price_frame(prices, calendar).join(members, "panel").select(
         "panel", "instrument", "dt", (F.lit(weight) / F.col("members")).alias("w")
     )
 
 
-def sign_of_next_return(prices: DataFrame) -> DataFrame:
+def sign_of_next_return(prices: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """A cheat that looks one frame day ahead; it exists to prove a guard catches it."""
     ahead = F.coalesce(direction_sign(F.lead("ret").over(own_days())), F.lit(0.0))
-    return gap_safe_returns(prices).select("panel", "instrument", "dt", ahead.alias("w"))
+    return gap_safe_returns(prices, calendar).select("panel", "instrument", "dt", ahead.alias("w"))
 
 
-def sign_of_last_return(prices: DataFrame) -> DataFrame:
+def sign_of_last_return(prices: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """The honest counterpart: sign of the previous frame day's return."""
     behind = F.coalesce(direction_sign(F.lag("ret").over(own_days())), F.lit(0.0))
-    return gap_safe_returns(prices).select("panel", "instrument", "dt", behind.alias("w"))
+    return gap_safe_returns(prices, calendar).select("panel", "instrument", "dt", behind.alias("w"))
 
 
 # --- inverse-volatility sizing, shared by the momentum and the turn-of-month signals ---

@@ -42,12 +42,20 @@ def tom_weights(
 
 
 def tom_returns(
-    prices: DataFrame, afters: tuple[int, ...] = (3,), costs: CostModel | None = None, **sizing
+    prices: DataFrame,
+    afters: tuple[int, ...] = (3,),
+    costs: CostModel | None = None,
+    calendar: DataFrame | None = None,
+    **sizing,
 ) -> DataFrame:
     """-> (panel, after, dt, ret), net"""
+    calendar = frame_calendar(prices) if calendar is None else calendar
+    specs = calendar.select("panel").distinct().withColumn(
+        "after", F.explode(F.array(*[F.lit(int(a)) for a in afters]))
+    )
     weights = tom_weights(prices, afters, **sizing)
     net = F.col("gross") - F.col("turnover_cost") - F.col("swap_cost")
-    daily = daily_breakdown(prices, weights, costs, tuple(VARIANT))
+    daily = daily_breakdown(prices, weights, costs, tuple(VARIANT), calendar, specs)
     return daily.select(*VARIANT, "dt", net.alias("ret"))
 
 
@@ -60,6 +68,7 @@ def null_benchmark(
     vol_target: float = 0.08,
     max_gross: float = MAX_GROSS,
     costs: CostModel | None = None,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Ratio of the same sizing on random days, per resample -> (panel, resample, sharpe)
 
@@ -68,7 +77,7 @@ def null_benchmark(
     matter of the daily series. Instrument rows are multiplied only for the chosen days.
     """
     by = ["panel", "resample"]
-    calendar = materialize(frame_calendar(prices), "calendar")
+    calendar = materialize(frame_calendar(prices), "calendar") if calendar is None else calendar
     sized = inverse_vol(own_volatility(prices, vol_window), "always", {1: F.lit(1.0)})
     always = materialize(
         daily_scale(sized, ["panel", "always"], vol_window, vol_target, max_gross).select(
