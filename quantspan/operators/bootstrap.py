@@ -56,15 +56,19 @@ def task_count(df: DataFrame) -> int:
     return max(configured, spark.sparkContext.defaultParallelism)
 
 
-def path_ids(sizes: DataFrame, by: list[str], n_paths: int) -> DataFrame:
-    """One row per path, spread over the cluster: a handful of series still fills it.
-
-    The partition count is explicit, which keeps adaptive execution from folding these
-    tiny rows into one task before they grow into blocks. Later windows over a path find
-    its rows together already.
+def path_ids(sizes: DataFrame, series: list[str], within: list[str], n_paths: int) -> DataFrame:
+    """One row per path, laid out over the cluster before it grows into blocks.
+
+    A path is identified by its `series` and the columns `within` it, `path` among them. A
+    handful of series is spread path by path so that it still fills every core. With many
+    series each stays whole, next to its table of blocks, and joining the two moves
+    nothing. The partition count is explicit, which keeps adaptive execution from folding
+    the rows into few tasks while they are tiny; windows over a path need no other layout.
     """
+    tasks = task_count(sizes)
+    many = sizes.select(*series).distinct().limit(8 * tasks).count() >= 8 * tasks
     paths = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
-    return paths.repartition(task_count(sizes), *by, "path")
+    return paths.repartition(tasks, *series, *([] if many else within))
 
 
 def block_draws(paths: DataFrame, size: int, *seed: Column) -> DataFrame:
@@ -91,7 +95,7 @@ def block_bootstrap(
     indexed = indexed_series(finite_returns(returns), ["panel"])
     blocks = materialize(wrapped_blocks(indexed, ["panel"], F.col("ret"), block_size), "blocks")
     sizes = blocks.where(F.col("start") == 0).select("panel", "n")
-    paths = path_ids(sizes, ["panel"], n_paths).withColumns(
+    paths = path_ids(sizes, ["panel"], ["path"], n_paths).withColumns(
         {"horizon": F.lit(horizon), "phase": F.lit(phase)}
     )
     draws = block_draws(paths, block_size, F.lit(seed), F.col("phase"))

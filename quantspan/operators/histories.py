@@ -7,17 +7,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+BUSY_ROWS = 1_000_000
+
+
+def minute_of(ts: Column) -> Column:
+    """Minutes since 1970, by the clock reading, whatever the session's time zone."""
+    days = F.datediff(ts, F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
 def running_pnl(
-    events: DataFrame, path: list[str], order: list[str], chunk: Column, value: str = "r"
+    events: DataFrame,
+    path: list[str],
+    order: list[str],
+    chunk: Column,
+    value: str = "r",
+    busy_rows: int = BUSY_ROWS,
 ) -> DataFrame:
     """Number the rows of each path and accumulate `value` -> adds (day, pnl).
 
-    A window over a whole path would put a dominant path into one task. Rows are split by
-    `chunk`, which has to grow with `order` (a truncated time, say): the window runs per
-    (path, chunk), the chunks' counts and sums come from a map-side aggregation, and a
-    second window over those few rows gives every chunk what came before it.
+    A window over a whole path would put a dominant path into one task. Paths of more than
+    `busy_rows` rows are therefore cut by `chunk`, an integer that grows with `order`: the
+    window runs per (path, chunk), the chunks' counts and sums come from a map-side
+    aggregation, and a second window over those few rows gives every chunk what came
+    before it. All other paths are a single chunk.
     """
-    rows = events.withColumn("chunk", chunk)
+    busy = (
+        events.groupBy(*path)
+        .agg(F.count("*").alias("rows"))
+        .where(F.col("rows") > busy_rows)
+        .select(*path, F.lit(True).alias("busy"))
+    )
+    rows = (
+        events.join(busy, path, "left")
+        .withColumn("chunk", F.when(F.col("busy"), chunk.cast("bigint")).otherwise(F.lit(0)))
+        .drop("busy")
+    )
     inside = W.partitionBy(*path, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumns(
         {
@@ -35,13 +60,14 @@ def running_pnl(
             F.coalesce(F.sum("n").over(before), F.lit(0)).alias("days_before"),
             F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("pnl_before"),
         )
+        .where(F.col("days_before") > 0)
     )
     return (
-        local.join(earlier, [*path, "chunk"])
+        local.join(earlier, [*path, "chunk"], "left")
         .withColumns(
             {
-                "day": F.col("day") + F.col("days_before"),
-                "pnl": F.coalesce("pnl", F.lit(0.0)) + F.col("pnl_before"),
+                "day": F.col("day") + F.coalesce("days_before", F.lit(0)),
+                "pnl": F.coalesce("pnl", F.lit(0.0)) + F.coalesce("pnl_before", F.lit(0.0)),
             }
         )
         .drop("chunk", "days_before", "pnl_before")

@@ -95,7 +95,7 @@ def mean_contrast(
         "contrast-blocks",
     )
     sizes = blocks.where(F.col("start") == 0).select(*by, "n").distinct()
-    paths = path_ids(sizes, by, n_paths).withColumn("horizon", F.col("n"))
+    paths = path_ids(sizes, by, ["path"], n_paths).withColumn("horizon", F.col("n"))
     resampled = (
         block_draws(paths, block_size, F.lit(seed))
         .drop("n")

@@ -205,6 +205,56 @@ def ingest_merge(spark, sf):
     return rounded(clean.merge_batches(first, then).select("instrument", "dt", "close"))
 
 
+@query
+def instrument_from_path(spark, sf):
+    pages = panels.table(spark, sf, "pages")
+    return pages.select("page_id", raw.instrument_of(F.col("url")).alias("instrument"))
+
+
+@query
+def raw_glob(spark, sf):
+    """Dump files found next to the writer's own marker files."""
+    files = raw.raw_files(spark, _write_dumps(spark, sf))
+    return files.select(_folder_name(F.col("path")).alias("instrument"))
+
+
+def _write_adjusted(spark, sf) -> str:
+    """Dumps with other header names: an upper-case open and only an adjusted close."""
+    path = scratch_path(spark, "dumps")
+    (
+        panels.table(spark, sf, "orders")
+        .select(
+            F.lit("x").alias("Vendor"),
+            (F.unix_date(F.to_date("o_orderdate")).cast("bigint") * 86_400_000).alias("Timestamp"),
+            (F.col("o_totalprice") + 1.0).alias("OPEN"),
+            F.col("o_totalprice").alias("Adj Close"),
+        )
+        .write.csv(path, header=True)
+    )
+    return path
+
+
+@query
+def price_column_normalise(spark, sf):
+    dumps = raw.read_raw(spark, _write_adjusted(spark, sf), name_of=lambda path: F.lit("X"))
+    return rounded(dumps.select("instrument", "dt", "open", "close"))
+
+
+@query
+def close_resolve(spark, sf):
+    """No close by any name: the first column that is all numbers stands in for it."""
+    path = scratch_path(spark, "dumps")
+    parts = panels.table(spark, sf, "lineitem").select(
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("Gmt time"),
+        F.col("l_returnflag").alias("flag"),
+        F.col("l_extendedprice").alias("amount"),
+        F.col("l_quantity").alias("quantity"),
+    )
+    parts.write.csv(path, header=True)
+    dumps = raw.read_raw(spark, path, name_of=lambda path: F.lit("X"))
+    return rounded(dumps.groupBy("instrument", "dt").agg(F.count("*").alias("n"), F.sum("close").alias("total")))
+
+
 # --- projections, filters and scalar functions ---------------------------------------------
 
 
@@ -549,7 +599,8 @@ def drawdown(spark, sf):
 
 @query
 def additive_pnl(spark, sf):
-    return rounded(panels.user_steps(spark, sf).select("user_id", "day", "r", "pnl"))
+    """With a low limit, so that many histories are cut into chunks and put together again."""
+    return rounded(panels.user_steps(spark, sf, busy_rows=60).select("user_id", "day", "r", "pnl"))
 
 
 @query

@@ -74,7 +74,9 @@ def passage_days(
     phases = F.array(
         *[F.struct(F.lit(p).alias("phase"), F.lit(h).alias("horizon")) for p, h in horizons.items()]
     )
-    paths = path_ids(sizes.select("panel", "n", F.inline(phases)), ["panel", "phase"], params.n_paths)
+    paths = path_ids(
+        sizes.select("panel", "n", F.inline(phases)), ["panel"], ["phase", "path"], params.n_paths
+    )
     draws = block_draws(paths, size, F.lit(params.seed), F.col("phase")).drop("n", "horizon")
 
     order = W.partitionBy("panel", "phase", "path").orderBy("block")

@@ -467,6 +467,17 @@ _put(
     QUALIFY row_number() OVER (PARTITION BY dt ORDER BY batch DESC, ord DESC) = 1""",
 )
 
+_put("instrument_from_path", "SELECT page_id, upper(regexp_replace(regexp_extract(url, '[^/]*$'), '[.][^.]*$', '')) AS instrument FROM pages")
+_put("raw_glob", "SELECT DISTINCT o_orderpriority AS instrument FROM orders")
+_put(
+    "price_column_normalise",
+    "SELECT 'X' AS instrument, CAST(o_orderdate AS DATE) AS dt, round(o_totalprice + 1, 6) + 0.0 AS open, round(o_totalprice, 6) + 0.0 AS close FROM orders",
+)
+_put(
+    "close_resolve",
+    "SELECT 'X' AS instrument, CAST(l_shipdate AS DATE) AS dt, count(*) AS n, round(sum(l_extendedprice), 6) + 0.0 AS total FROM lineitem GROUP BY 2",
+)
+
 # --- projections -----------------------------------------------------------------------------------
 _put("weekday_filter", ORDER_BARS, final("instrument dt ord close*", "raw", "isodow(dt) <= 5"))
 _put("positive_log", BALANCE_BARS, "SELECT ord, round(ln(CASE WHEN close > 0 THEN close END), 6) + 0.0 AS log_close FROM raw")

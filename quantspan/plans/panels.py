@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.operators.histories import centred_returns, running_pnl
+from quantspan.operators.histories import BUSY_ROWS, centred_returns, minute_of, running_pnl
 
 # Lifts the averaged amounts to an index level with daily moves of a few percent.
 PRIORITY_LEVEL = 5_000_000.0
@@ -96,10 +96,10 @@ def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def user_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_steps(spark: SparkSession, sf_dir: str, busy_rows: int = BUSY_ROWS) -> DataFrame:
     """Each user's events as a history of gains and losses -> (user_id, ts, day, r, pnl)"""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     returns = centred_returns(events, ["user_id"], "value", PNL_SCALE)
     return running_pnl(
-        returns, ["user_id"], ["ts", "event_id"], F.date_trunc("day", F.col("ts"))
+        returns, ["user_id"], ["ts", "event_id"], minute_of(F.col("ts")), busy_rows=busy_rows
     ).select("user_id", "ts", "day", "r", "pnl")
