@@ -102,9 +102,20 @@ def return_histogram(returns: DataFrame, by=PANEL, bins: int = 10) -> DataFrame:
         (F.max("ret") + F.when(flat, 0.5).otherwise(0.0)).alias("hi"),
     )
     width = (F.col("hi") - F.col("lo")) / bins
+    guess = F.least(F.floor((F.col("ret") - F.col("lo")) / width), F.lit(bins - 1))
+    # A quotient can round across an edge; the edges themselves decide.
+    settled = (
+        F.when(F.col("ret") < F.col("lo") + F.col("guess") * width, F.col("guess") - 1)
+        .when(
+            (F.col("guess") < bins - 1) & (F.col("ret") >= F.col("lo") + (F.col("guess") + 1) * width),
+            F.col("guess") + 1,
+        )
+        .otherwise(F.col("guess"))
+    )
     counts = (
         usable.join(ranges, by)
-        .withColumn("bin", F.least(F.floor((F.col("ret") - F.col("lo")) / width), F.lit(bins - 1)))
+        .withColumn("guess", guess)
+        .withColumn("bin", settled)
         .groupBy(*by, "bin")
         .agg(F.count("*").alias("n"))
     )

@@ -737,7 +737,7 @@ def swap_cost(spark, sf):
 def backtest(spark, sf):
     prices, calendar = stored(brand(spark, sf))
     weights = _sign_weights(prices, calendar)
-    return rounded(bt.backtest(prices, weights, calendar=calendar).select("dt", "ret"))
+    return rounded(bt.backtest(prices, weights, calendar=calendar).select("dt", (F.col("ret") * 1e4).alias("ret_bp")))
 
 
 @query

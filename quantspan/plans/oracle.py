@@ -664,7 +664,7 @@ _SHARES = backtest_of(PRIORITY, SHARE_W, COSTS)
 _put("portfolio_return", *_SHARES, final("dt gross*", "daily"))
 _put("turnover_cost", *_SHARES, "SELECT dt, round(turnover, 6) + 0.0 AS turnover, round(turnover_cost * 1e4, 6) + 0.0 AS cost_bp FROM daily")
 _put("swap_cost", *_SHARES, "SELECT dt, round(held, 6) + 0.0 AS held, round(swap_cost * 1e4, 6) + 0.0 AS cost_bp FROM daily")
-_put("backtest", *backtest_of(BRAND, LAST_SIGN_W), final("dt ret*", "series"))
+_put("backtest", *backtest_of(BRAND, LAST_SIGN_W), "SELECT dt, round(ret * 1e4, 6) + 0.0 AS ret_bp FROM series")
 _OWNSERIES = (BRAND, OWN, "s AS (SELECT instrument, dt, own_ret AS ret FROM own)")
 _put("bars_per_year", *_OWNSERIES, f"SELECT instrument, round({PER_YEAR}, 6) + 0.0 AS bars_per_year FROM s GROUP BY 1")
 _put("sharpe", *_OWNSERIES, f"SELECT instrument, round({SHARPE}, 6) + 0.0 AS sharpe FROM s GROUP BY 1")
