@@ -37,6 +37,12 @@ def is_weekday(day: Column) -> Column:
     return F.weekday(day) < 5
 
 
+def weekdays_before(day: Column) -> Column:
+    """Mondays to Fridays since a fixed Monday, `day` itself not counted."""
+    days = F.datediff(day, F.lit("1900-01-01").cast("date"))
+    return F.floor(days / 7) * 5 + F.least(F.pmod(days, F.lit(7)), F.lit(5))
+
+
 def months_before(day: Column, months: int) -> Column:
     """`months` calendar months earlier, clamped to the end of the month."""
     return F.add_months(day, -months)

@@ -8,7 +8,7 @@ join of all dates with all instruments.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,8 +95,12 @@ def asof_lookback(prices: DataFrame, months: int) -> DataFrame:
     A RANGE frame ending `months` before the current date does the as-of match inside the
     sort the other own-day windows already need: no second copy of the prices, no join.
     """
-    past = F.expr(
+    return traded(prices).withColumn("past", past_close(months))
+
+
+def past_close(months: int) -> Column:
+    """The window column behind `asof_lookback`."""
+    return F.expr(
         "last_value(close) over (partition by panel, instrument order by dt "
         f"range between unbounded preceding and interval '{int(months)}' month preceding)"
     )
-    return traded(prices).withColumn("past", past)

@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantspan.config import ANOMALY_SIGMA
-from quantspan.functions.scalars import positive_log
-from quantspan.operators.calendars import missing_weekdays
+from quantspan.functions.scalars import positive_log, weekdays_before
 from quantspan.operators.clean import duplicate_dates
 
 
@@ -64,18 +63,26 @@ def session_gaps(bars: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
     )
 
 
+def _skipped() -> Column:
+    """Weekdays between a bar and the next one, by arithmetic on the two dates."""
+    after = F.lead("dt").over(by_date())
+    skipped = weekdays_before(after) - weekdays_before(F.date_add("dt", 1))
+    return F.when(after.isNotNull(), F.greatest(skipped, F.lit(0)))
+
+
 def calendar_gaps(bars: DataFrame) -> DataFrame:
     """Number of missing weekdays, for instruments that miss any."""
-    return (
-        missing_weekdays(bars)
-        .groupBy("instrument")
-        .agg(F.count("*").alias("missing"))
-        .select(
-            "instrument",
-            F.lit(None).cast("date").alias("dt"),
-            F.lit("calendar_gap").alias("kind"),
-            F.format_string("%d weekdays", "missing").alias("detail"),
-        )
+    return _gap_anomalies(
+        bars.withColumn("skipped", _skipped()).groupBy("instrument").agg(F.sum("skipped").alias("missing"))
+    )
+
+
+def _gap_anomalies(missing: DataFrame) -> DataFrame:
+    return missing.where(F.col("missing") > 0).select(
+        "instrument",
+        F.lit(None).cast("date").alias("dt"),
+        F.lit("calendar_gap").alias("kind"),
+        F.format_string("%d weekdays", "missing").alias("detail"),
     )
 
 
@@ -92,30 +99,43 @@ def duplicate_date_anomalies(raw: DataFrame) -> DataFrame:
     )
 
 
-def anomalies(raw: DataFrame | None, bars: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
-    """Every check at once -> (instrument, dt, kind, detail).
+# Dated checks, in the order a report lists them.
+KIND_ORDER = ("nonpositive_price", "anomalous_return", "session_gap")
+
 
-    The dated checks share one pass over the bars: one shuffle on the instrument, whose
-    rows are bounded by the days of the calendar once the bars are clean.
+def checked_bars(bars: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
+    """Every check on every bar in one pass -> adds (z, skipped, one flag per dated kind).
+
+    One shuffle on the instrument, whose rows are bounded by the days of the calendar once
+    the bars are clean.
     """
-    scored = log_returns(bars).withColumn("z", _zscore("log_ret"))
     has_open = "open" in bars.columns
-    if has_open:
-        scored = open_gaps(scored).withColumn("gap_z", _zscore("open_gap"))
-    gap = F.abs("gap_z") > sigma if has_open else F.lit(False)
-    bad_price = (F.col("close") <= 0) | F.col("close").isNull()
-
-    def tag(condition: Column, kind: str, detail: Column) -> Column:
-        return F.when(condition, F.struct(F.lit(kind).alias("kind"), detail.alias("detail")))
-
-    found = F.array_compact(
-        F.array(
-            tag(bad_price, "nonpositive_price", F.lit("")),
-            tag(F.abs("z") > sigma, "anomalous_return", F.format_string("z=%.1f", "z")),
-            tag(gap, "session_gap", F.lit("")),
+    scored = bars.withColumn("skipped", _skipped())
+    scored = log_returns(open_gaps(scored) if has_open else scored)
+    scored = scored.withColumn("z", _zscore("log_ret"))
+    gap = F.abs(_zscore("open_gap")) > sigma if has_open else F.lit(False)
+    flags = {
+        "nonpositive_price": (F.col("close") <= 0) | F.col("close").isNull(),
+        "anomalous_return": F.abs("z") > sigma,
+        "session_gap": gap,
+    }
+    return scored.withColumns({k: F.coalesce(flags[k], F.lit(False)) for k in KIND_ORDER})
+
+
+def anomalies(raw: DataFrame | None, bars: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
+    """Every check at once -> (instrument, dt, kind, detail)."""
+    checked = checked_bars(bars, sigma)
+    found = [
+        F.when(
+            F.col(kind),
+            F.struct(
+                F.lit(kind).alias("kind"),
+                (F.format_string("z=%.1f", "z") if kind == "anomalous_return" else F.lit("")).alias("detail"),
+            ),
         )
-    )
-    dated = scored.select("instrument", "dt", F.inline(found))
+        for kind in KIND_ORDER
+    ]
+    dated = checked.select("instrument", "dt", F.inline(F.array_compact(F.array(*found))))
     result = dated.unionByName(calendar_gaps(bars))
     return result if raw is None else result.unionByName(duplicate_date_anomalies(raw))
 
@@ -126,33 +146,37 @@ def counts_by_kind(found: DataFrame) -> DataFrame:
 
 def quality_summary(raw: DataFrame | None, bars: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
     """-> (instrument, n_obs, start, end, missing_days, counts MAP<kind, n>)"""
-    spans = bars.groupBy("instrument").agg(
-        F.count("*").alias("n_obs"), F.min("dt").alias("start"), F.max("dt").alias("end")
-    )
-    missing = missing_weekdays(bars).groupBy("instrument").agg(F.count("*").alias("missing_days"))
-    kinds = (
-        counts_by_kind(anomalies(raw, bars, sigma))
+    totals = (
+        checked_bars(bars, sigma)
         .groupBy("instrument")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("counts"))
+        .agg(
+            F.count("*").alias("n_obs"),
+            F.min("dt").alias("start"),
+            F.max("dt").alias("end"),
+            F.coalesce(F.sum("skipped"), F.lit(0)).alias("missing_days"),
+            *[F.count_if(F.col(k)).alias(k) for k in KIND_ORDER],
+        )
+        .withColumn("calendar_gap", (F.col("missing_days") > 0).cast("bigint"))
     )
-    return (
-        spans.join(missing, "instrument", "left")
-        .join(kinds, "instrument", "left")
-        .select(
-            "instrument",
-            "n_obs",
-            "start",
-            "end",
-            F.coalesce("missing_days", F.lit(0)).alias("missing_days"),
-            F.coalesce("counts", F.create_map().cast("map<string,bigint>")).alias("counts"),
+    if raw is None:
+        totals = totals.withColumn("duplicate_dates", F.lit(0).cast("bigint"))
+    else:
+        repeated = F.coalesce(F.col("has_duplicates"), F.lit(False)).cast("bigint")
+        totals = totals.join(duplicate_dates(raw), "instrument", "left").withColumn(
+            "duplicate_dates", repeated
         )
+    kinds = (*KIND_ORDER, "calendar_gap", "duplicate_dates")
+    counts = F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*[F.col(k) for k in kinds]))
+    return totals.select(
+        "instrument",
+        "n_obs",
+        "start",
+        "end",
+        "missing_days",
+        F.map_filter(counts, lambda kind, n: n > 0).alias("counts"),
     )
 
 
-# Listing order of the dated kinds in a report.
-KIND_ORDER = ("nonpositive_price", "anomalous_return", "session_gap")
-
-
 def first_anomalies(found: DataFrame, per_instrument: int = 200) -> DataFrame:
     """The first dated anomalies of each instrument and how many more there are.
 

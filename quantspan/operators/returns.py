@@ -50,19 +50,25 @@ def gap_safe_returns(prices: DataFrame, calendar: DataFrame | None = None) -> Da
 
 
 def own_volatility(
-    prices: DataFrame, window: int = 63, periods_per_year: float | None = None
+    prices: DataFrame,
+    window: int = 63,
+    periods_per_year: float | None = None,
+    also: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Annualised rolling deviation of own-day returns, NULL until the window is full.
 
     Days without a trade take no part, so sparse calendars are not under-estimated.
     The instrument's own observed bars per year annualise it unless a fixed number is
     given (a fixed number also keeps past values untouched when later dates arrive).
-    -> prices plus (own_ret, vol)
+    `also` names further window columns over own days to take along. Every frame shares
+    one order, so all of it is two passes over one sort.
+    -> prices plus (before_dt, own_ret, vol, *also)
     """
-    rolling = own_days().rowsBetween(1 - window, 0)
+    days = own_days()
+    rolling = days.rowsBetween(1 - window, 0)
     full = F.count("own_ret").over(rolling) == window
     if periods_per_year is None:
-        whole = W.partitionBy("panel", "instrument")
+        whole = days.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         # A rise from zero is infinite: a bar of the calendar, but not a usable return.
         counted = F.col("before").isNotNull() & ~((F.col("before") == 0) & (F.col("close") == 0))
         dated = F.when(counted, F.col("dt"))
@@ -71,9 +77,11 @@ def own_volatility(
         )
     else:
         per_year = F.lit(float(periods_per_year))
+    lagged = {"before": F.lag("close").over(days), "before_dt": F.lag("dt").over(days)}
     return (
-        own_calendar_returns(prices)
-        .withColumn("before", F.lag("close").over(own_days()))
+        traded(prices)
+        .withColumns({**lagged, **(also or {})})
+        .withColumn("own_ret", ratio(F.col("close"), F.col("before")) - 1.0)
         .withColumn(
             "vol", F.when(full, F.stddev_samp("own_ret").over(rolling)) * F.sqrt(per_year)
         )

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quantspan.config import MAX_GROSS
 from quantspan.functions.scalars import direction_sign, ratio
-from quantspan.operators.align import asof_lookback, own_days, price_frame
+from quantspan.operators.align import own_days, past_close, price_frame
 from quantspan.operators.calendars import frame_calendar, rebalance_calendar
 from quantspan.operators.returns import gap_safe_returns, observed_bars_per_year, own_volatility
 
@@ -55,7 +55,7 @@ def sign_of_last_return(prices: DataFrame, calendar: DataFrame | None = None) ->
 def inverse_vol(rows: DataFrame, variant: str, directions: dict) -> DataFrame:
     """raw = direction / vol on own days, one row per variant of the direction.
 
-    rows(panel, instrument, dt, own_ret, vol); `directions` maps a variant's key to its
+    rows(panel, instrument, dt, before_dt, own_ret, vol); `directions` maps a variant's key to its
     direction column. All variants share one window pass, so more of them add no shuffle.
     -> (panel, instrument, dt, before_dt, <variant>, raw, carried) where `carried` is the
     previous own day's raw times the return since.
@@ -78,7 +78,7 @@ def inverse_vol(rows: DataFrame, variant: str, directions: dict) -> DataFrame:
     ]
     return (
         rows.withColumns(raws)
-        .withColumns({**moved, "before_dt": F.lag("dt").over(own_days())})
+        .withColumns(moved)
         .select("panel", "instrument", "dt", "before_dt", F.inline(F.array(*choices)))
     )
 
@@ -184,9 +184,8 @@ def momentum_raw(
     periods_per_year: float | None = None,
 ) -> DataFrame:
     """Direction by calendar-month lookback over own-day volatility, one row per lookback."""
-    rows = own_volatility(prices, vol_window, periods_per_year)
-    for months in lookbacks:
-        rows = asof_lookback(rows, months).withColumnRenamed("past", f"past_{months}")
+    pasts = {f"past_{m}": past_close(m) for m in lookbacks}
+    rows = own_volatility(prices, vol_window, periods_per_year, pasts)
     directions = {
         int(m): direction_sign(ratio(F.col("close"), F.col(f"past_{m}")) - 1.0) for m in lookbacks
     }
