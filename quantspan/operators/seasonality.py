@@ -122,16 +122,18 @@ def random_days(
 ) -> DataFrame:
     """Mark `per_month` dates of each month at random, in every resample.
 
-    days(panel, dt, ...) holds one row per frame date. The rows of a resample are put
-    together here, which later windows over (panel, resample) find already done.
+    days(panel, dt, ...) holds one row per frame date, best as a table on disk. Resamples
+    are laid out as bare ids and take the days in afterwards, so the many rows are never
+    shuffled and later windows over (panel, resample) find them in place.
     -> adds (resample, chosen), a row per date and resample
     """
     order = W.partitionBy("panel", "resample", F.trunc("dt", "MM")).orderBy("draw", "dt")
-    draw = hashed_draw(F.lit(1 << 32), F.lit(seed), F.col("resample"), F.date_format("dt", "yyyy-MM-dd"))
+    draw = hashed_draw(F.lit(1 << 32), F.lit(seed), F.col("resample"), F.col("dt"))
     resamples = F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))
+    seeds = days.select("panel").distinct().withColumn("resample", resamples)
     return (
-        days.withColumn("resample", resamples)
-        .repartition(task_count(days), "panel", "resample")
+        seeds.repartition(task_count(days), "panel", "resample")
+        .join(join_side(days), "panel")
         .withColumn("draw", draw)
         .withColumn("chosen", F.row_number().over(order) <= per_month)
         .drop("draw")

@@ -41,7 +41,7 @@ QUERIES: dict[str, Query] = {}
 SMALL = ResamplingParams(n_paths=1000, horizon_days=252)
 FULL = ResamplingParams()
 RULES = BarrierRules()
-RESAMPLES = 100
+RESAMPLES = 250
 SPLIT = "1998-06-30"
 EVAL_START = {"A": "1996-01-01", "B": "1997-01-01"}
 SAMPLE_A = ("1-URGENT", "2-HIGH", "3-MEDIUM")

@@ -79,31 +79,31 @@ def null_benchmark(
     by = ["panel", "resample"]
     calendar = materialize(frame_calendar(prices), "calendar") if calendar is None else calendar
     sized = inverse_vol(own_volatility(prices, vol_window), "always", {1: F.lit(1.0)})
-    always = materialize(
-        daily_scale(sized, ["panel", "always"], vol_window, vol_target, max_gross).select(
-            "panel", "dt", "port_ret", "gross"
-        ),
-        "portfolio",
-    )
-    series = W.partitionBy(*by).orderBy("dt")
-    rolling = series.rowsBetween(1 - vol_window, 0)
-    per_year = observed_bars_per_year(F.col("n"), F.col("first"), F.col("last"))
     spans = calendar.groupBy("panel").agg(
-        F.count("*").alias("n"), F.min("dt").alias("first"), F.max("dt").alias("last")
+        observed_bars_per_year(F.count("*"), F.min("dt"), F.max("dt")).alias("per_year")
+    )
+    days = materialize(
+        daily_scale(sized, ["panel", "always"], vol_window, vol_target, max_gross)
+        .select("panel", "dt", "port_ret", "gross")
+        .join(calendar.select("panel", "dt", "pos"), ["panel", "dt"])
+        .join(spans, "panel"),
+        "portfolio",
     )
+    # A resample earns something on few days, and zeros add nothing to a sum: the rolling
+    # deviation is taken over the other days by position, up to the day before.
+    series = W.partitionBy(*by).orderBy("pos")
+    recent = series.rangeBetween(-vol_window, -1)
+    total, squares = F.sum("earned").over(recent), F.sum(F.col("earned") * F.col("earned")).over(recent)
+    variance = (squares - total * total / vol_window) / (vol_window - 1)
     scale = materialize(
-        random_days(always.join(spans, "panel"), n_resamples, per_month, seed)
-        .withColumn(
-            "earned",
-            F.when(F.lag("chosen").over(series), F.col("port_ret")).otherwise(0.0),
-        )
+        random_days(days, n_resamples, per_month, seed)
         .withColumn(
-            "vol",
-            F.when(F.count("earned").over(rolling) == vol_window, F.stddev_samp("earned").over(rolling))
-            * F.sqrt(per_year),
+            "earned", F.when(F.lag("chosen").over(series), F.col("port_ret")).otherwise(0.0)
         )
-        .withColumn("scalar", ratio(F.lit(vol_target), F.lag("vol").over(series)))
-        .where("chosen")
+        .where(F.col("chosen") | (F.col("earned") != 0))
+        .withColumn("variance", variance)
+        .where(F.col("chosen") & (F.col("variance") > 0) & (F.col("pos") >= vol_window))
+        .withColumn("scalar", vol_target / F.sqrt(F.col("variance") * F.col("per_year")))
         .select(*by, "dt", ratio(capped_scalar(max_gross), F.col("gross")).alias("scale"))
         .where(F.col("scale").isNotNull()),
         "random-days",
