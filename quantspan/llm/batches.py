@@ -106,19 +106,19 @@ class Rolling:
 class Words:
     """Words and lines of several texts, in one array of code points.
 
-    `starts`, `ends` and `doc` describe the words (runs without ASCII white space); each text
-    is followed by one line feed that belongs to no text. `base` is where each text starts.
+    `starts`, `ends` and `doc` describe the words (runs without ASCII white space, or runs of
+    what `inside` accepts, which must leave out the line feed); each text is followed by one line feed that belongs to no text. `base` is where each text starts.
     """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], inside: Callable[[np.ndarray], np.ndarray] | None = None):
         self.n_docs = len(texts)
         self.codes = codes_of("\n".join(texts) + "\n")
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.base = np.cumsum(lengths) - lengths
         self.sizes = lengths - 1
         c = self.codes
-        inside = (c != 32) & ((c < 9) | (c > 13))
-        edge = np.diff(np.concatenate([[False], inside]).astype(np.int8))
+        within = inside(c) if inside else (c != 32) & ((c < 9) | (c > 13))
+        edge = np.diff(np.concatenate([[False], within]).astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.doc = np.searchsorted(self.base, self.starts, "right") - 1
         self._chars = None
@@ -156,3 +156,14 @@ def arrow_map(
 
     bounded(df.sparkSession)
     return df.mapInArrow(run, ", ".join([x for x in (fields, schema) if x]))
+
+
+def arrow_filter(df: DataFrame, fn: Callable[[list[str]], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of `df`, unchanged, for whose texts `fn` is true."""
+
+    def run(batches):
+        for batch, texts in pieces(batches, text):
+            yield batch.filter(pa.array(fn(texts)))
+
+    bounded(df.sparkSession)
+    return df.mapInArrow(run, df.schema)

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import nbsvm, pieces_bpe, repetition
+from quantspan.llm import nbsvm, pieces_bpe, repetition, toxicity
 from quantspan.llm.samples import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+TOXIC = 0.3
 
 
 def query(fn):
@@ -38,6 +39,18 @@ def token_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", modulus=4, held_out=2)
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
