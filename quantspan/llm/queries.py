@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import nbsvm, pieces_bpe, repetition, toxicity
+from quantspan.llm import html_blocks, nbsvm, pieces_bpe, repetition, toxicity
 from quantspan.llm.samples import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,12 @@ def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(docs)
 
 
+@query
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_blocks.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -40,7 +40,7 @@ EDITED = 0.7  # weight of a hit with edits, before the trust in its term
 class Settings:
     per_class: int = 3_000
     min_share: float = 0.05  # of the toxic sample that must hold a term
-    min_count: int = 6
+    min_count: int = 4
     precision: float = 0.98
     min_letters: int = 4
     max_letters: int = 12  # of a stem
