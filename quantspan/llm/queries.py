@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import html_blocks, nbsvm, pieces_bpe, repetition, toxicity
+from quantspan.llm import html_blocks, line_windows, nbsvm, pieces_bpe, repetition, toxicity
 from quantspan.llm.samples import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_windows.dedup(docs, counts=True)
+
+
+ORACLE["op4_line_dedup"] = line_windows.oracle()
+
+
 @query
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
