@@ -1,7 +1,8 @@
 """Line dedup by overlapping windows of three lines.
 
 A line is a physical line; where one holds several sentences each of them counts as a line,
-so that a paragraph on one physical line is covered too. Every three consecutive lines are
+and a sentence beyond `LONG` characters is cut after every `PIECE_WORDS` words, so that a
+passage on one physical line is covered too. Every three consecutive lines are
 hashed; a window found again anywhere, in another document or further on in the same one, is
 a repeat. Its first place (the smallest doc_id, then the smallest position) stays. In all
 later places the covered lines go; overlapping windows merge into one removed range.
@@ -25,10 +26,19 @@ from quantspan.llm.batches import fresh, quoted
 
 WINDOW = 3
 MIN_CHARS = 40
+SPACE = " \t\r\n\f"
 BREAK = r"(?<=\n)(?=[^\n])|(?<=[.!?] )(?=\S)"
+LONG, PIECE_WORDS = 120, 8
+PIECE = rf"[ \t\n\r\f]*(?:[^ \t\n\r\f]+[ \t\n\r\f]*){{1,{PIECE_WORDS}}}"
 LAST = 1 << 62
 
 
+def _lines(text: Column) -> Column:
+    """The lines of a text; joined they give the text again."""
+    cut = lambda x: F.when(F.length(F.btrim(x, F.lit(SPACE))) > LONG, F.regexp_extract_all(x, F.lit(PIECE), F.lit(0))).otherwise(F.array(x))
+    return F.flatten(F.transform(F.split(text, BREAK), cut))
+
+
 def _order(doc_id: Column, text: Column) -> Column:
     """A place in the order of documents; null ids after the others."""
     return F.coalesce(doc_id.cast("long"), F.lit(LAST) + F.xxhash64(text).bitwiseAND(F.lit(LAST // 2 - 1)))
@@ -40,13 +50,13 @@ def windows(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFram
     lines = docs.select(
         _order(F.col(quoted(doc_id)), source).alias("o"),
         F.xxhash64(source).alias("k"),
-        F.split(source, BREAK).alias("lines"),
+        _lines(source).alias("lines"),
     )
     hashed = lines.where(F.size("lines") >= WINDOW).select(
         "o",
         "k",
         F.expr(
-            r"transform(lines, x -> named_struct('h', xxhash64(btrim(x, ' \t\r\n')), 'g', hash(btrim(x, ' \t\r\n')), 'n', length(x)))"
+            r"transform(lines, x -> named_struct('h', xxhash64(btrim(x, ' \t\r\n\f')), 'g', hash(btrim(x, ' \t\r\n\f')), 'n', length(x)))"
         ).alias("a"),
     )
     found = F.expr(
@@ -106,7 +116,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
     source = F.col(quoted(text))
     keyed = docs.withColumns({o: _order(F.col(quoted(doc_id)), source), k: F.xxhash64(source)})
     joined = keyed.join(later.select(F.col("o").alias(o), F.col("k").alias(k), F.col("starts").alias(starts)), [o, k], "left")
-    lines = F.split(source, BREAK)
+    lines = _lines(source)
     # The stretches between removed ranges; where ranges touch or overlap, a stretch is empty.
     begin = F.concat(F.array(F.lit(0)), F.transform(starts, lambda s: s + WINDOW))
     stop = F.concat(F.col(starts), F.array(F.size(lines)))
@@ -125,13 +135,19 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
 
 def oracle(min_chars: int = MIN_CHARS) -> str:
     """The same over `documents` with unique ids, in SQL."""
+    blank = "' ' || chr(9) || chr(10) || chr(12) || chr(13)"
     return rf"""
-WITH units AS (
-  SELECT doc_id, unnest(string_split(marked, chr(1))) AS unit, generate_subscripts(string_split(marked, chr(1)), 1) AS i
+WITH sentences AS (
+  SELECT doc_id, unnest(string_split(marked, chr(1))) AS unit, generate_subscripts(string_split(marked, chr(1)), 1) AS s
   FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '(\n)([^\n])', '\1' || chr(1) || '\2', 'g'),
           '([.!?] )([^ \t\n\r\f\v])', '\1' || chr(1) || '\2', 'g') AS marked
         FROM documents WHERE text IS NOT NULL)),
-keyed AS (SELECT doc_id, i, unit, trim(unit, ' ' || chr(9) || chr(10) || chr(13)) AS line FROM units),
+cut AS (
+  SELECT doc_id, s, CASE WHEN length(trim(unit, {blank})) > {LONG}
+    THEN regexp_extract_all(unit, '{PIECE}') ELSE [unit] END AS parts FROM sentences),
+parted AS (SELECT doc_id, s, unnest(parts) AS unit, generate_subscripts(parts, 1) AS p FROM cut),
+units AS (SELECT doc_id, unit, row_number() OVER (PARTITION BY doc_id ORDER BY s, p) AS i FROM parted),
+keyed AS (SELECT doc_id, i, unit, trim(unit, {blank}) AS line FROM units),
 w AS (
   SELECT doc_id, i, line AS a, lead(line) OVER p AS b, lead(line, 2) OVER p AS c,
          length(unit) + lead(length(unit)) OVER p + lead(length(unit), 2) OVER p AS n
