@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import html_blocks, line_windows, nbsvm, pieces_bpe, repetition, toxicity
+from quantspan.llm import html_blocks, line_windows, nbsvm, pieces_bpe, repetition, secrets, toxicity
 from quantspan.llm.samples import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,20 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    count = lambda rank: F.expr(f"size(filter(base, x -> x.r = {rank}))").cast("long")
+    return secrets.scan(docs).select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(F.expr(secrets.listed("base")), 256).alias("base_sha256"),
+        F.expr(secrets.listed("concat(base, random)")).alias("spans"),
+    )
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
