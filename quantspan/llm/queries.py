@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import html_blocks, line_windows, nbsvm, pieces_bpe, repetition, secrets, toxicity
+from quantspan.llm import html_blocks, line_windows, lsh_forest, nbsvm, pieces_bpe, repetition, secrets, toxicity
 from quantspan.llm.samples import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op4_line_dedup"] = line_windows.oracle()
 
 
+@query
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lsh_forest.join(docs).select("doc_id", "class_id", "n_links")
+
+
 @query
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
