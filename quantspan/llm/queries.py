@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.llm import html_blocks, line_windows, lsh_forest, nbsvm, pieces_bpe, repetition, secrets, toxicity
+from quantspan.llm import html_blocks, latent, line_windows, lsh_forest, nbsvm, pieces_bpe, repetition, secrets, toxicity
 from quantspan.llm.samples import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def token_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return latent.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
