@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantspan.llm import html_blocks, latent, line_windows, lsh_forest, nbsvm, pieces_bpe, repetition, secrets, toxicity
+from quantspan.llm import html_blocks, latent, line_windows, lsh_forest, merkle, nbsvm, pieces_bpe, repetition, secrets, toxicity
 from quantspan.llm.samples import remainder
+from quantspan.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,6 +94,48 @@ def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rules(docs)
 
 
+FILE_PAGES = 500
+
+
+def page_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC records in files of at most 500 -> (page_id, url, file, offset, record)"""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    record = pages.select("page_id", "url", merkle.record_bytes(F.col("url"), F.col("html")).alias("record"))
+    file = F.format_string("pages-%06d.warc", F.floor(F.col("page_id") / FILE_PAGES))
+    before = W.partitionBy("file").orderBy("page_id").rowsBetween(W.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.octet_length("record").cast("long")).over(before), F.lit(0))
+    return record.withColumn("file", file).withColumn("offset", offset)
+
+
+@query
+def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replica with decayed records: every 97th page has changed, every 211th is gone."""
+    archive = page_archive(spark, sf_dir)
+    # A byte is turned in every 97th record; offsets stay, as in a file that decays in place.
+    turned = F.concat(F.expr("substring(record, 1, octet_length(record) - 5)"), F.lit(b"?"), F.expr("substring(record, -4, 4)"))
+    replica = archive.where("page_id % 211 != 7").withColumn(
+        "record", F.when(F.col("page_id") % 97 == 11, turned).otherwise(F.col("record"))
+    )
+    left = materialize(merkle.digests(archive, keep=("page_id", "url")), "digests")
+    right = materialize(merkle.digests(replica), "digests")
+    names = left.select("page_id", "url", "file", "offset")
+    return merkle.audit(left, right).join(names, ["file", "offset"]).select("page_id", "url", "file", "offset", "status")
+
+
+ORACLE["op7_merkle_audit"] = r"""
+WITH sized AS (
+  SELECT page_id, url, printf('pages-%06d.warc', CAST(page_id // 500 AS BIGINT)) AS file,
+    strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ')
+    + strlen(coalesce(url, '')) + strlen('Content-Type: text/html') + strlen('Content-Length: ') + 6
+    + strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) + strlen(coalesce(html, '')) + 6 AS size
+  FROM pages),
+placed AS (
+  SELECT page_id, url, file, CAST(coalesce(sum(size) OVER (PARTITION BY file ORDER BY page_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM sized)
+SELECT page_id, url, file, "offset", CASE WHEN page_id % 211 = 7 THEN 'missing' ELSE 'changed' END AS status
+FROM placed WHERE page_id % 211 = 7 OR page_id % 97 = 11"""
+
+
 @query
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
