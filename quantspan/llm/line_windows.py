@@ -3,7 +3,7 @@
 A line is a physical line; where one holds several sentences each of them counts as a line,
 and a sentence beyond `LONG` characters is cut after every `PIECE_WORDS` words, so that a
 passage on one physical line is covered too. Every three consecutive lines are
-hashed; a window found again anywhere, in another document or further on in the same one, is
+hashed (64 bits); a window found again anywhere, in another document or further on in the same one, is
 a repeat. Its first place (the smallest doc_id, then the smallest position) stays. In all
 later places the covered lines go; overlapping windows merge into one removed range.
 
@@ -12,7 +12,7 @@ costs one row per task. The join with the repeated windows can be split by AQE.
 document gathers is bounded by its own number of windows.
 
 Defined results: null texts stay null; texts of fewer than three lines, and windows below
-`min_chars` characters, stay as they are. Rows with equal doc_id and text are one document:
+`min_bytes` bytes of UTF-8, stay as they are. Rows with equal doc_id and text are one document:
 all of them lose the same lines. Rows with a null doc_id come after all others, in the order
 of their hashed text; rows that share a doc_id but not the text count as one place.
 """
@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantspan.llm.batches import fresh, quoted
+from quantspan.session import materialize
 
 WINDOW = 3
-MIN_CHARS = 40
-SPACE = " \t\r\n\f"
+MIN_BYTES = 40
 BREAK = r"(?<=\n)(?=[^\n])|(?<=[.!?] )(?=\S)"
 LONG, PIECE_WORDS = 120, 8
 PIECE = rf"[ \t\n\r\f]*(?:[^ \t\n\r\f]+[ \t\n\r\f]*){{1,{PIECE_WORDS}}}"
@@ -35,7 +35,7 @@ LAST = 1 << 62
 
 def _lines(text: Column) -> Column:
     """The lines of a text; joined they give the text again."""
-    cut = lambda x: F.when(F.length(F.btrim(x, F.lit(SPACE))) > LONG, F.regexp_extract_all(x, F.lit(PIECE), F.lit(0))).otherwise(F.array(x))
+    cut = lambda x: F.when(F.octet_length(x) > LONG, F.regexp_extract_all(x, F.lit(PIECE), F.lit(0))).otherwise(F.array(x))
     return F.flatten(F.transform(F.split(text, BREAK), cut))
 
 
@@ -44,42 +44,48 @@ def _order(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(LAST) + F.xxhash64(text).bitwiseAND(F.lit(LAST // 2 - 1)))
 
 
-def windows(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """-> (o, k, pos, h, g): document, position, and 96 bits of hash of each window of lines."""
+def windows(docs: DataFrame, doc_id: str, text: str, min_bytes: int) -> DataFrame:
+    """-> (o, k, windows): of each document the hashes of its windows, null for short ones.
+
+    Written once, because it is read by the count and by the join.
+    """
     source = F.col(quoted(text))
     lines = docs.select(
         _order(F.col(quoted(doc_id)), source).alias("o"),
         F.xxhash64(source).alias("k"),
         _lines(source).alias("lines"),
-    )
-    hashed = lines.where(F.size("lines") >= WINDOW).select(
+    ).where(F.size("lines") >= WINDOW)
+    hashed = lines.select(
         "o",
         "k",
-        F.expr(
-            r"transform(lines, x -> named_struct('h', xxhash64(btrim(x, ' \t\r\n\f')), 'g', hash(btrim(x, ' \t\r\n\f')), 'n', length(x)))"
-        ).alias("a"),
+        F.expr(r"transform(lines, x -> xxhash64(rtrim(substring_index(x, '\n', 1))))").alias("h"),
+        F.expr("transform(lines, x -> octet_length(x))").alias("n"),
     )
     found = F.expr(
-        f"""filter(transform(sequence(0, size(a) - {WINDOW}), i -> named_struct(
-            'pos', i,
-            'h', xxhash64(a[i].h, a[i + 1].h, a[i + 2].h),
-            'g', hash(a[i].g, a[i + 1].g, a[i + 2].g),
-            'n', a[i].n + a[i + 1].n + a[i + 2].n)), x -> x.n >= {min_chars})"""
+        f"""transform(sequence(0, size(h) - {WINDOW}),
+            i -> CASE WHEN n[i] + n[i + 1] + n[i + 2] >= {min_bytes} THEN xxhash64(h[i], h[i + 1], h[i + 2]) END)"""
     )
-    return hashed.select("o", "k", F.explode(found).alias("w")).select("o", "k", "w.pos", "w.h", "w.g")
+    return materialize(hashed.select("o", "k", found.alias("windows")), "windows")
 
 
 def later_places(found: DataFrame) -> DataFrame:
     """-> (o, k, starts): the sorted window positions to remove from each document."""
     repeated = (
-        found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("o").alias("first")).where("n > 1").drop("n")
+        found.select("o", F.explode("windows").alias("h"))
+        .where("h IS NOT NULL")
+        .groupBy("h")
+        .agg(F.count("*").alias("n"), F.min("o").alias("first"))
+        .where("n > 1")
+        .drop("n")
     )
     places = (
-        found.join(repeated, ["h", "g"])
+        found.select("o", "k", F.posexplode("windows").alias("pos", "h"))
+        .where("h IS NOT NULL")
+        .join(repeated, "h")
         .groupBy("o", "k")
         .agg(
             F.collect_set(F.when(F.col("o") > F.col("first"), F.col("pos"))).alias("later"),
-            F.collect_set(F.when(F.col("o") == F.col("first"), F.struct("h", "g", "pos"))).alias("own"),
+            F.collect_set(F.when(F.col("o") == F.col("first"), F.struct("h", "pos"))).alias("own"),
         )
     )
     # In the first document of a window all positions but the smallest go.
@@ -98,44 +104,47 @@ def _again() -> Column:
         F.transform(
             F.filter(
                 pairs,
-                lambda p: (p["x"]["h"] == p["y"]["h"]) & (p["x"]["g"] == p["y"]["g"]),
+                lambda p: p["x"]["h"] == p["y"]["h"],
             ),
             lambda p: p["x"]["pos"],
         ),
     ).otherwise(F.array().cast("array<int>"))
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES, counts: bool = False) -> DataFrame:
     """`docs` with the repeated lines of its texts removed; with `counts` also n_lines, n_removed.
 
     With `counts`, columns of `docs` with these two names are replaced.
     """
-    later = later_places(windows(docs, doc_id, text, min_chars))
+    later = later_places(windows(docs, doc_id, text, min_bytes))
     names = {n: fresh(docs, n) for n in ("place_order", "place_key", "place_starts")}
     o, k, starts = names.values()
     source = F.col(quoted(text))
     keyed = docs.withColumns({o: _order(F.col(quoted(doc_id)), source), k: F.xxhash64(source)})
     joined = keyed.join(later.select(F.col("o").alias(o), F.col("k").alias(k), F.col("starts").alias(starts)), [o, k], "left")
-    lines = _lines(source)
+    # A column of its own: within the lambda below it would be made anew for every stretch.
+    own = fresh(docs, "own_lines")
+    cut_texts = F.col(starts).isNotNull()
+    joined = joined.withColumn(own, _lines(source) if counts else F.when(cut_texts, _lines(source)))
+    lines = F.col(own)
     # The stretches between removed ranges; where ranges touch or overlap, a stretch is empty.
     begin = F.concat(F.array(F.lit(0)), F.transform(starts, lambda s: s + WINDOW))
     stop = F.concat(F.col(starts), F.array(F.size(lines)))
     stretches = F.arrays_zip(begin.alias("a"), stop.alias("b"))
     size = lambda p: F.greatest(p["b"] - p["a"], F.lit(0))
     kept = F.flatten(F.transform(stretches, lambda p: F.slice(lines, p["a"] + 1, size(p))))
-    cut = F.when(F.col(starts).isNull(), source).otherwise(F.array_join(kept, ""))
+    cut = F.when(cut_texts, F.array_join(kept, "")).otherwise(source)
     new = {text: cut}
     if counts:
         n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
         n_left = F.aggregate(stretches, F.lit(0), lambda n, p: n + size(p))
-        n_kept = F.when(F.col(starts).isNull(), n_lines).otherwise(n_left).cast("long")
+        n_kept = F.when(cut_texts, n_left).otherwise(n_lines).cast("long")
         new |= {"n_lines": n_lines, "n_removed": n_lines - n_kept}
-    return joined.withColumns(new).drop(o, k, starts)
+    return joined.withColumns(new).drop(o, k, starts, own)
 
 
-def oracle(min_chars: int = MIN_CHARS) -> str:
+def oracle(min_bytes: int = MIN_BYTES) -> str:
     """The same over `documents` with unique ids, in SQL."""
-    blank = "' ' || chr(9) || chr(10) || chr(12) || chr(13)"
     return rf"""
 WITH sentences AS (
   SELECT doc_id, unnest(string_split(marked, chr(1))) AS unit, generate_subscripts(string_split(marked, chr(1)), 1) AS s
@@ -143,19 +152,19 @@ WITH sentences AS (
           '([.!?] )([^ \t\n\r\f\v])', '\1' || chr(1) || '\2', 'g') AS marked
         FROM documents WHERE text IS NOT NULL)),
 cut AS (
-  SELECT doc_id, s, CASE WHEN length(trim(unit, {blank})) > {LONG}
+  SELECT doc_id, s, CASE WHEN strlen(unit) > {LONG}
     THEN regexp_extract_all(unit, '{PIECE}') ELSE [unit] END AS parts FROM sentences),
 parted AS (SELECT doc_id, s, unnest(parts) AS unit, generate_subscripts(parts, 1) AS p FROM cut),
 units AS (SELECT doc_id, unit, row_number() OVER (PARTITION BY doc_id ORDER BY s, p) AS i FROM parted),
-keyed AS (SELECT doc_id, i, unit, trim(unit, {blank}) AS line FROM units),
+keyed AS (SELECT doc_id, i, unit, rtrim(split_part(unit, chr(10), 1), ' ') AS line FROM units),
 w AS (
   SELECT doc_id, i, line AS a, lead(line) OVER p AS b, lead(line, 2) OVER p AS c,
-         length(unit) + lead(length(unit)) OVER p + lead(length(unit), 2) OVER p AS n
+         strlen(unit) + lead(strlen(unit)) OVER p + lead(strlen(unit), 2) OVER p AS n
   FROM keyed WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 later AS (
   SELECT doc_id, i FROM (
     SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS r
-    FROM w WHERE c IS NOT NULL AND n >= {min_chars}) WHERE r > 1),
+    FROM w WHERE c IS NOT NULL AND n >= {min_bytes}) WHERE r > 1),
 gone AS (SELECT DISTINCT doc_id, i + d.d AS i FROM later, (VALUES (0), (1), (2)) d(d)),
 kept AS (
   SELECT k.doc_id, string_agg(CASE WHEN g.i IS NULL THEN unit ELSE '' END, '' ORDER BY k.i) AS text,
