@@ -35,8 +35,6 @@ HEADLINE = (
     "leverage_grid",
     "funded_survival",
     "block_bootstrap",
-    "leverage_curve",
-    "challenge_summary",
     "tom_signal",
     "mean_contrast",
     "null_benchmark",
@@ -72,8 +70,7 @@ def main() -> None:
                 "queries": times,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
                 "cpus": cpus,
-                "bootstrap_cells": 10_000 * (756 * 2 + 21),
-                "leverages": 12,
+                "bootstrap_days": 10_000 * 756 if "block_bootstrap" in times else 0,
             }
         )
     )

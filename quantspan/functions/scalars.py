@@ -25,8 +25,8 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def positive_log(x: Column) -> Column:
-    """Natural logarithm of positive values, NULL otherwise."""
-    return F.ln(F.when(x > 0, x))
+    """Natural logarithm of finite positive values, NULL otherwise."""
+    return F.ln(F.when(finite(x) > 0, x))
 
 
 def direction_sign(x: Column) -> Column:

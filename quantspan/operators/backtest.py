@@ -59,14 +59,17 @@ def daily_breakdown(
 
     `by` names the columns that identify a strategy; it includes `panel`, which says whose
     prices it trades. `specs` lists the strategies where that is known without reading the
-    weights. -> (*by, dt, gross, turnover, turnover_cost, held, swap_cost), one row per
+    weights. Weights of instruments without any price in the panel are left out.
+    -> (*by, dt, gross, turnover, turnover_cost, held, swap_cost), one row per
     frame date.
     """
     by = list(by)
     calendar = frame_calendar(prices) if calendar is None else calendar
     order = W.partitionBy(*by, "instrument").orderBy("dt")
+    priced = prices.select("panel", "instrument").distinct()
     positions = (
         weights.where(F.col("w") != 0)
+        .join(priced, ["panel", "instrument"], "left_semi")
         .select(*by, "instrument", "dt", "w")
         .join(calendar.select("panel", "dt", "prev_dt", "next_dt"), ["panel", "dt"])
         .withColumns(

@@ -59,16 +59,13 @@ def task_count(df: DataFrame) -> int:
 def path_ids(sizes: DataFrame, series: list[str], within: list[str], n_paths: int) -> DataFrame:
     """One row per path, laid out over the cluster before it grows into blocks.
 
-    A path is identified by its `series` and the columns `within` it, `path` among them. A
-    handful of series is spread path by path so that it still fills every core. With many
-    series each stays whole, next to its table of blocks, and joining the two moves
-    nothing. The partition count is explicit, which keeps adaptive execution from folding
-    the rows into few tasks while they are tiny; windows over a path need no other layout.
+    A path is identified by its `series` and the columns `within` it, `path` among them, and
+    is laid out by all of them, so that no series stays in one task. The partition count is
+    explicit, which keeps adaptive execution from folding the rows into few tasks while they
+    are tiny; windows over a path need no other layout.
     """
-    tasks = task_count(sizes)
-    many = sizes.select(*series).distinct().limit(8 * tasks).count() >= 8 * tasks
     paths = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
-    return paths.repartition(tasks, *series, *([] if many else within))
+    return paths.repartition(task_count(sizes), *series, *within)
 
 
 def block_draws(paths: DataFrame, size: int, *seed: Column) -> DataFrame:
@@ -92,7 +89,10 @@ def block_bootstrap(
     """Resampled paths, a row per day -> (panel, phase, path, day, r), day from 1."""
     if block_size < 1:
         raise ValueError("block_size must be >= 1")
-    indexed = indexed_series(finite_returns(returns), ["panel"])
+    usable = finite_returns(returns)
+    if usable.limit(1).count() == 0:
+        raise ValueError("no finite returns to resample")
+    indexed = indexed_series(usable, ["panel"])
     blocks = materialize(wrapped_blocks(indexed, ["panel"], F.col("ret"), block_size), "blocks")
     sizes = blocks.where(F.col("start") == 0).select("panel", "n")
     paths = path_ids(sizes, ["panel"], ["path"], n_paths).withColumns(

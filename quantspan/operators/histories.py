@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-BUSY_ROWS = 1_000_000
+def hour_of(ts: Column) -> Column:
+    """Hours since 1970, by the clock reading."""
+    return F.floor(minute_of(ts) / 60)
 
 
 def minute_of(ts: Column) -> Column:
@@ -22,27 +24,16 @@ def running_pnl(
     order: list[str],
     chunk: Column,
     value: str = "r",
-    busy_rows: int = BUSY_ROWS,
 ) -> DataFrame:
     """Number the rows of each path and accumulate `value` -> adds (day, pnl).
 
-    A window over a whole path would put a dominant path into one task. Paths of more than
-    `busy_rows` rows are therefore cut by `chunk`, an integer that grows with `order`: the
-    window runs per (path, chunk), the chunks' counts and sums come from a map-side
-    aggregation, and a second window over those few rows gives every chunk what came
-    before it. All other paths are a single chunk.
+    A window over a whole path would put a dominant path into one task. Paths are therefore
+    cut by `chunk`, an integer that grows with `order`: the window runs per (path, chunk),
+    the chunks' counts and sums come from a map-side aggregation, and a second window over
+    those few rows gives every chunk what came before it. The cut does not depend on how
+    many rows there are, so neither do the sums.
     """
-    busy = (
-        events.groupBy(*path)
-        .agg(F.count("*").alias("rows"))
-        .where(F.col("rows") > busy_rows)
-        .select(*path, F.lit(True).alias("busy"))
-    )
-    rows = (
-        events.join(busy, path, "left")
-        .withColumn("chunk", F.when(F.col("busy"), chunk.cast("bigint")).otherwise(F.lit(0)))
-        .drop("busy")
-    )
+    rows = events.withColumn("chunk", chunk.cast("bigint"))
     inside = W.partitionBy(*path, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = rows.withColumns(
         {

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantspan.config import ANOMALY_SIGMA
-from quantspan.functions.scalars import positive_log, weekdays_before
+from quantspan.functions.scalars import finite, positive_log, weekdays_before
 from quantspan.operators.clean import duplicate_dates
 
 
@@ -27,8 +27,8 @@ def log_returns(bars: DataFrame) -> DataFrame:
 
 def open_gaps(bars: DataFrame) -> DataFrame:
     """ln(open / previous close) where both are positive -> adds open_gap."""
-    opened = F.when(F.col("open") > 0, F.col("open"))
-    before = F.lag("close").over(by_date())
+    opened = F.when(finite(F.col("open")) > 0, F.col("open"))
+    before = F.lag(finite(F.col("close"))).over(by_date())
     return bars.withColumn("open_gap", F.ln(F.try_divide(opened, F.when(before > 0, before))))
 
 
@@ -39,7 +39,8 @@ def _zscore(name: str) -> Column:
 
 
 def nonpositive_prices(bars: DataFrame) -> DataFrame:
-    bad = bars.where((F.col("close") <= 0) | F.col("close").isNull())
+    close = finite(F.col("close"))
+    bad = bars.where((close <= 0) | close.isNull())
     return bad.select("instrument", "dt", F.lit("nonpositive_price").alias("kind"), F.lit("").alias("detail"))
 
 
@@ -114,8 +115,9 @@ def checked_bars(bars: DataFrame, sigma: float = ANOMALY_SIGMA) -> DataFrame:
     scored = log_returns(open_gaps(scored) if has_open else scored)
     scored = scored.withColumn("z", _zscore("log_ret"))
     gap = F.abs(_zscore("open_gap")) > sigma if has_open else F.lit(False)
+    close = finite(F.col("close"))
     flags = {
-        "nonpositive_price": (F.col("close") <= 0) | F.col("close").isNull(),
+        "nonpositive_price": (close <= 0) | close.isNull(),
         "anomalous_return": F.abs("z") > sigma,
         "session_gap": gap,
     }
@@ -177,8 +179,8 @@ def quality_summary(raw: DataFrame | None, bars: DataFrame, sigma: float = ANOMA
     )
 
 
-def first_anomalies(found: DataFrame, per_instrument: int = 200) -> DataFrame:
-    """The first dated anomalies of each instrument and how many more there are.
+def ranked_anomalies(found: DataFrame, per_instrument: int = 200) -> DataFrame:
+    """All dated anomalies, numbered per instrument, and how many there are beyond a listing.
 
     -> (instrument, rank, dt, kind, detail, more)
     """
@@ -194,5 +196,9 @@ def first_anomalies(found: DataFrame, per_instrument: int = 200) -> DataFrame:
             "detail",
             F.greatest(F.count("*").over(whole()) - per_instrument, F.lit(0)).alias("more"),
         )
-        .where(F.col("rank") <= per_instrument)
     )
+
+
+def first_anomalies(found: DataFrame, per_instrument: int = 200) -> DataFrame:
+    """The listing of a report: the first `per_instrument` rows of `ranked_anomalies`."""
+    return ranked_anomalies(found, per_instrument).where(F.col("rank") <= per_instrument)

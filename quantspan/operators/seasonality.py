@@ -99,7 +99,7 @@ def mean_contrast(
     resampled = (
         block_draws(paths, block_size, F.lit(seed))
         .drop("n")
-        .join(join_side(blocks.drop("n"), 500_000), [*by, "start", "len"])
+        .join(join_side(blocks.drop("n")), [*by, "start", "len"])
         .groupBy(*by, "path")
         .agg(_contrast(F.sum("s1"), F.sum("n1"), F.sum("s0"), F.sum("n0")).alias("drawn"))
     )
@@ -183,13 +183,16 @@ def years_observed(returns: DataFrame) -> DataFrame:
 def relative_verdict(placed: DataFrame) -> DataFrame:
     """Verdict against the random-day benchmark.
 
-    placed(panel, sharpe, null_p95, ci_high, contrast_low): viable when the ratio beats the
-    benchmark's 95th percentile and the mean contrast is positive with certainty;
-    underpowered when it does not beat it but its interval still reaches it; dead otherwise.
+    placed(panel, sharpe, null_p95, status, ci_high, contrast_low), status as `sharpe_ci` has
+    it: underpowered when the interval of the ratio spans both marks, whatever else holds.
+    Else viable when the ratio beats the benchmark's 95th percentile and the mean contrast is
+    positive with certainty, parked when only the first holds, underpowered when it does not
+    beat it but its interval still reaches it; dead otherwise.
     """
     beats = F.col("sharpe") > F.col("null_p95")
     verdict = (
-        F.when(beats & (F.col("contrast_low") > 0), "viable")
+        F.when(F.col("status") == "underpowered", "underpowered")
+        .when(beats & (F.col("contrast_low") > 0), "viable")
         .when(beats, "parked")
         .when(F.col("ci_high") > F.col("null_p95"), "underpowered")
         .otherwise("dead")

@@ -31,17 +31,16 @@ from quantspan.operators import (
     trials,
 )
 from quantspan.operators import backtest as bt
-from quantspan.plans import challenge, momentum_study, panels, signals, turn_of_month
+from quantspan.plans import momentum_study, panels, signals, turn_of_month
 from quantspan.session import materialize, scratch_path
 from quantspan.sources import candles, raw, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-SMALL = ResamplingParams(n_paths=1000, horizon_days=252)
 FULL = ResamplingParams()
 RULES = BarrierRules()
-RESAMPLES = 250
+RESAMPLES = 1000
 SPLIT = "1998-06-30"
 EVAL_START = {"A": "1996-01-01", "B": "1997-01-01"}
 SAMPLE_A = ("1-URGENT", "2-HIGH", "3-MEDIUM")
@@ -599,8 +598,7 @@ def drawdown(spark, sf):
 
 @query
 def additive_pnl(spark, sf):
-    """With a low limit, so that many histories are cut into chunks and put together again."""
-    return rounded(panels.user_steps(spark, sf, busy_rows=60).select("user_id", "day", "r", "pnl"))
+    return rounded(panels.user_steps(spark, sf).select("user_id", "day", "r", "pnl"))
 
 
 @query
@@ -860,7 +858,7 @@ def lookahead_guard(spark, sf):
 
 @query
 def block_bootstrap(spark, sf):
-    drawn = bootstrap.block_bootstrap(held_returns(spark, sf), 500, 130, 20, 12345)
+    drawn = bootstrap.block_bootstrap(held_returns(spark, sf), FULL.n_paths, FULL.horizon_days, FULL.block_size, FULL.seed)
     return rounded(
         drawn.groupBy("path").agg(
             F.count("*").alias("days"),
@@ -891,35 +889,6 @@ def funded_survival(spark, sf):
     return rounded(barrier.funded_survival(windows, RULES.payout_interval_days))
 
 
-@query
-def challenge_summary(spark, sf):
-    found = challenge.challenge_summary(held_returns(spark, sf), RULES, SMALL, 0.5)
-    return rounded(found)
-
-
-@query
-def leverage_curve(spark, sf):
-    return rounded(challenge.leverage_curve(held_returns(spark, sf), RULES, FULL))
-
-
-@query
-def horizon_guard(spark, sf):
-    """A short horizon at low leverage leaves most paths undecided."""
-    short = ResamplingParams(n_paths=1000, horizon_days=30)
-    found = challenge.leverage_curve(held_returns(spark, sf), RULES, short, [0.25, 3.0])
-    return rounded(found.select("k", "p_unresolved", "insufficient_horizon", "expected_days"))
-
-
-@query
-def closed_form_check(spark, sf):
-    """Independent daily draws against the formula, with the sample's own moments."""
-    base = materialize(held_returns(spark, sf), "returns")
-    rules = BarrierRules(0.10, 0.10, 1.0, 0.10)
-    iid = ResamplingParams(block_size=1, n_paths=1000, horizon_days=400)
-    drawn = challenge.leverage_curve(base, rules, iid, [1.0]).select("panel", "p_phase1")
-    return rounded(barrier.closed_form_check(base, 0.10, 0.10, ["panel"]).join(drawn, "panel"))
-
-
 # --- turn of month -----------------------------------------------------------------------------------------
 
 
@@ -980,9 +949,9 @@ def window_variant(spark, sf):
 def relative_verdict(spark, sf):
     earned, placed = _tom_against_null(spark, sf)
     years = seasonality.years_observed(earned)
-    bounded = seasonality.sharpe_ci(metrics.sharpe(earned).join(years, "panel")).select("panel", "ci_high")
+    bounded = seasonality.sharpe_ci(metrics.sharpe(earned).join(years, "panel")).select("panel", "ci_high", "status")
     contrast = (
-        seasonality.mean_contrast(seasonality.flagged_returns(priority(spark, sf)), 500)
+        seasonality.mean_contrast(seasonality.flagged_returns(priority(spark, sf)))
         .where(F.col("instrument") == seasonality.ALL)
         .select("panel", F.col("ci_low_bp").alias("contrast_low"))
     )

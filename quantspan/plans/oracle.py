@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import math
 
-from quantspan.config import EULER_GAMMA, BarrierRules, ResamplingParams
+from quantspan.config import EULER_GAMMA
 from quantspan.functions.scalars import PROBIT_A, PROBIT_B, PROBIT_C, PROBIT_D, PROBIT_TAIL
-from quantspan.plans.catalog import EVAL_START, FULL, RESAMPLES, RULES, SAMPLE_A, SMALL, SPLIT
+from quantspan.plans.catalog import SAMPLE_A, SPLIT
 from quantspan.plans.panels import BRAND_LEVEL, PNL_SCALE, PRIORITY_LEVEL
 
 KINDS = ("nonpositive_price", "anomalous_return", "session_gap")
@@ -132,10 +132,13 @@ def own_vol(per_year: str | None = None) -> str:
         " WHERE x.instrument = own.instrument AND x.before IS NOT NULL)"
     )
     return f"""ann AS (SELECT DISTINCT instrument, {own_year} AS per_year FROM own),
-ownvol AS (
-  SELECT o.*, CASE WHEN count(own_ret) OVER w = 63 THEN stddev_samp(own_ret) OVER w END * sqrt(per_year) AS vol
+fullvol AS (
+  SELECT o.*, CASE WHEN count(own_ret) OVER w = 63 THEN stddev_samp(own_ret) OVER w END * sqrt(per_year) AS now_vol
   FROM own o JOIN ann USING (instrument)
-  WINDOW w AS (PARTITION BY instrument ORDER BY dt ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))"""
+  WINDOW w AS (PARTITION BY instrument ORDER BY dt ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
+ownvol AS (
+  SELECT * EXCLUDE (now_vol), last_value(now_vol IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY dt ROWS UNBOUNDED PRECEDING) AS vol
+  FROM fullvol)"""
 
 
 def sized(direction: str, per_year: str | None = None) -> str:
@@ -196,64 +199,33 @@ STEPS = f"""steps AS (
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
 
 
+# Values that the queries must use, spelled out.
+LEVERAGES = (0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 2.75, 3.0)
+EVAL_START = {"A": "1996-01-01", "B": "1997-01-01"}
+
+
 def passage(target: float, k: float = 1.0, source: str = "steps", key: str = "user_id") -> str:
     return f"""SELECT {key}, {k}::DOUBLE AS k,
   CASE WHEN loss <= coalesce(gain, loss) THEN 'FAILED' WHEN gain IS NOT NULL THEN 'PASSED' ELSE 'UNRESOLVED' END AS outcome,
   coalesce(least(gain, loss), horizon) AS day
   FROM (SELECT {key}, max(day) AS horizon, min(day) FILTER (pnl * {k} >= {target}) AS gain,
-    min(day) FILTER (r * {k} <= -{RULES.daily_loss_limit} OR pnl * {k} <= -{RULES.max_drawdown}) AS loss
+    min(day) FILTER (r * {k} <= -0.05 OR pnl * {k} <= -0.10) AS loss
     FROM {source} GROUP BY {key})"""
 
 
-def resampled(params: ResamplingParams, rules: BarrierRules = RULES) -> str:
-    """Every day of every path of every phase, from `series`."""
+def resampled(n_paths: int, horizon: int) -> str:
+    """Every day of every path, from `series`, in blocks of 20 with seed 12345."""
     return f"""ser AS (
   SELECT row_number() OVER (ORDER BY dt) - 1 AS idx, count(*) OVER () AS n, ret FROM series),
-phases AS (SELECT * FROM (VALUES (1, {params.horizon_days}), (2, {params.horizon_days}), (3, {rules.payout_interval_days})) t(phase, horizon)),
 days AS (
-  SELECT phase, path, day, (('0x' || substr(md5(concat_ws('|', {params.seed}, phase, path, (day - 1) // {params.block_size})), 1, 8))::BIGINT
-      + (day - 1) % {params.block_size}) % (SELECT count(*) FROM series) AS idx
-  FROM phases, range({params.n_paths}) p(path), LATERAL (SELECT unnest(range(1, horizon + 1)) AS day)),
+  SELECT 1 AS phase, path, day, (('0x' || substr(md5(concat_ws('|', 12345, 1, path, (day - 1) // 20)), 1, 8))::BIGINT
+      + (day - 1) % 20) % (SELECT count(*) FROM series) AS idx
+  FROM range({n_paths}) p(path), range(1, {horizon} + 1) d(day)),
 walks AS (
   SELECT phase, path, day, ret AS r, sum(ret) OVER (PARTITION BY phase, path ORDER BY day ROWS UNBOUNDED PRECEDING) AS pnl
   FROM days JOIN ser USING (idx))"""
 
 
-def curve(params: ResamplingParams, leverages: list[float], rules: BarrierRules = RULES) -> str:
-    hits, rows = [], []
-    for i, k in enumerate(leverages):
-        hits.append(
-            f"min(day) FILTER (pnl * {k} >= CASE phase WHEN 1 THEN {rules.phase1_target}"
-            f" WHEN 2 THEN {rules.phase2_target} END) AS g{i},"
-            f" min(day) FILTER (r * {k} <= -{rules.daily_loss_limit} OR pnl * {k} <= -{rules.max_drawdown}) AS l{i}"
-        )
-        rows.append(f"SELECT phase, path, {k}::DOUBLE AS k, g{i} AS g, l{i} AS l FROM hits")
-    return f"""hits AS (SELECT phase, path, {', '.join(hits)} FROM walks GROUP BY phase, path),
-verdicts AS (
-  SELECT phase, k, least(g, l) AS day,
-         CASE WHEN l <= coalesce(g, l) THEN 'F' WHEN g IS NOT NULL THEN 'P' ELSE 'U' END AS o
-  FROM ({' UNION ALL '.join(rows)})),
-shares AS (
-  SELECT phase, k, count(*) FILTER (o = 'P') / count(*) AS p, count(*) FILTER (o = 'F') / count(*) AS f,
-         count(*) FILTER (o = 'U') / count(*) AS u,
-         coalesce(count(*) FILTER (o = 'P') / nullif(count(*) FILTER (o <> 'U'), 0), 0) AS c,
-         avg(day) AS days FROM verdicts GROUP BY 1, 2),
-curve AS (
-  SELECT 'priority' AS panel, k, a.p AS p_phase1, b.p AS p_phase2, a.p * b.p AS p_both,
-         a.c * b.c AS p_pass_conditional, a.f AS p_fail, a.u AS p_unresolved,
-         (a.u > {params.unresolved_threshold} OR b.u > {params.unresolved_threshold}) AS insufficient_horizon,
-         CASE WHEN a.c * b.c > 0 AND a.u <= {params.unresolved_threshold} AND b.u <= {params.unresolved_threshold}
-           THEN (a.days + a.c * coalesce(b.days, 0)) / (a.c * b.c) END AS expected_days,
-         1 - (1 - z.f) ** {rules.n_payouts} AS p_burn
-  FROM shares a JOIN shares b USING (k) JOIN shares z USING (k) WHERE a.phase = 1 AND b.phase = 2 AND z.phase = 3)"""
-
-
-CURVE_COLUMNS = (
-    "panel k* p_phase1* p_phase2* p_both* p_pass_conditional* p_fail* p_unresolved*"
-    " insufficient_horizon expected_days* p_burn*"
-)
-
-
 # --- study: one set of frames per sample and lookback -----------------------------------------
 def study() -> str:
     """Daily series per sample and lookback from the live start, as `daily_all`."""
@@ -438,7 +410,7 @@ _put(
     "quality_sink", BALANCE_BARS, CLEAN, ANOMALIES, MISSING, FOUND.format(sigma=5.0),
     """SELECT b.instrument, count(*) AS n_obs, min(b.dt) AS start, max(b.dt) AS "end",
       (SELECT count(*) FROM missing m WHERE m.instrument = b.instrument) AS missing_days,
-      least(200, (SELECT count(*) FROM found f WHERE f.instrument = b.instrument)) AS listed,
+      (SELECT count(*) FROM found f WHERE f.instrument = b.instrument) AS listed,
       greatest(0, (SELECT count(*) FROM found f WHERE f.instrument = b.instrument) - 200) AS more
     FROM bars b GROUP BY b.instrument""",
 )
@@ -521,7 +493,7 @@ _put("holdout_filter", PRIORITY, "SELECT instrument, count(*) AS n, max(dt) AS l
 _put(
     "phase_rules", STEPS,
     f"""SELECT phase, outcome, count(*) AS n FROM (
-      SELECT 1 AS phase, outcome FROM ({passage(RULES.phase1_target)}) UNION ALL SELECT 2, outcome FROM ({passage(RULES.phase2_target)}))
+      SELECT 1 AS phase, outcome FROM ({passage(0.10)}) UNION ALL SELECT 2, outcome FROM ({passage(0.05)}))
     GROUP BY 1, 2""",
 )
 _A = ", ".join(f"'{m}'" for m in SAMPLE_A)
@@ -551,7 +523,7 @@ _put("rebalance_hold", PRIORITY, CAL, MONTH_STARTS, "SELECT dt, rebalance_dt, so
 _put(
     "leverage_grid", STEPS,
     "SELECT k, outcome, count(*) AS n, round(avg(day), 6) + 0.0 AS mean_day FROM ("
-    + " UNION ALL ".join(passage(RULES.phase1_target, k) for k in FULL.leverages)
+    + " UNION ALL ".join(passage(0.10, k) for k in LEVERAGES)
     + ") GROUP BY 1, 2",
 )
 _put(
@@ -749,13 +721,13 @@ _put(
 
 # --- resampling -------------------------------------------------------------------------------------------------
 _put(
-    "block_bootstrap", *HELD, resampled(ResamplingParams(n_paths=500, horizon_days=130)),
+    "block_bootstrap", *HELD, resampled(10_000, 756),
     """SELECT CAST(path AS INTEGER) AS path, count(*) AS days, round(sum(r), 6) + 0.0 AS total,
       round(arg_max(r, day), 6) + 0.0 AS last, round(sum(r * day), 6) + 0.0 AS weighted FROM walks WHERE phase = 1 GROUP BY path""",
 )
-_put("first_passage", STEPS, f"SELECT user_id, outcome, day FROM ({passage(RULES.phase1_target)})")
+_put("first_passage", STEPS, f"SELECT user_id, outcome, day FROM ({passage(0.10)})")
 _put(
-    "phase_stats", STEPS, f"o AS ({passage(RULES.phase1_target)})",
+    "phase_stats", STEPS, f"o AS ({passage(0.10)})",
     """SELECT round(count(*) FILTER (outcome = 'PASSED') / count(*), 6) + 0.0 AS p_pass, round(count(*) FILTER (outcome = 'FAILED') / count(*), 6) + 0.0 AS p_fail,
       round(count(*) FILTER (outcome = 'UNRESOLVED') / count(*), 6) + 0.0 AS p_unresolved,
       round(avg(day) FILTER (outcome <> 'UNRESOLVED'), 6) + 0.0 AS mean_absorb_day,
@@ -764,22 +736,9 @@ _put(
 _put(
     "funded_survival", STEPS,
     "lv AS (SELECT *, (day - 1) // 21 AS cycle, sum(r) OVER (PARTITION BY user_id, (day - 1) // 21 ORDER BY day) AS level FROM steps)",
-    f"cy AS (SELECT user_id, cycle, count(*) AS days, bool_and(r > -{RULES.daily_loss_limit} AND level > -{RULES.max_drawdown}) AS survived FROM lv GROUP BY 1, 2)",
+    f"cy AS (SELECT user_id, cycle, count(*) AS days, bool_and(r > -0.05 AND level > -0.10) AS survived FROM lv GROUP BY 1, 2)",
     "SELECT round(count(*) FILTER (survived) / count(*), 6) + 0.0 AS p_survive FROM cy WHERE days = 21",
 )
-_put("challenge_summary", *HELD, resampled(SMALL), curve(SMALL, [0.5]), final(CURVE_COLUMNS, "curve"))
-_put("leverage_curve", *HELD, resampled(FULL), curve(FULL, FULL.leverages), final(CURVE_COLUMNS, "curve"))
-_SHORT = ResamplingParams(n_paths=1000, horizon_days=30)
-_put("horizon_guard", *HELD, resampled(_SHORT), curve(_SHORT, [0.25, 3.0]), final("k* p_unresolved* insufficient_horizon expected_days*", "curve"))
-_IID = ResamplingParams(block_size=1, n_paths=1000, horizon_days=400)
-_SYM = BarrierRules(0.10, 0.10, 1.0, 0.10)
-_put(
-    "closed_form_check", *HELD, resampled(_IID, _SYM), curve(_IID, [1.0], _SYM),
-    "m AS (SELECT avg(ret) AS mu, stddev_pop(ret) AS sigma FROM series)",
-    """SELECT 'priority' AS panel, round(mu, 6) + 0.0 AS mu, round(sigma, 6) + 0.0 AS sigma,
-      round((1 - exp(-2 * mu / sigma ** 2 * 0.1)) / (1 - exp(-2 * mu / sigma ** 2 * 0.2)), 6) + 0.0 AS p_closed,
-      round(p_phase1, 6) + 0.0 AS p_phase1 FROM m, curve""",
-)
 
 # --- turn of month ------------------------------------------------------------------------------------------------
 _put("tom_flag", BRAND, tom(), "SELECT instrument, dt, tom FROM flags")
@@ -789,9 +748,9 @@ _put(
 )
 _put("mean_contrast", PRIORITY, OWN, tom(), contrast(1000), final("instrument contrast_bp* se_bp* ci_low_bp* ci_high_bp*", "contrast"))
 _FRAMED_VOL = (PRIORITY, *FRAMED, OWN, own_vol())
-_put("null_benchmark", *_FRAMED_VOL, *random_portfolios(RESAMPLES), final("resample sharpe*", "nulls"))
+_put("null_benchmark", *_FRAMED_VOL, *random_portfolios(1000), final("resample sharpe*", "nulls"))
 _PLACED = (
-    *tom_series(), *random_portfolios(RESAMPLES),
+    *tom_series(), *random_portfolios(1000),
     f"seen AS (SELECT {SHARPE} AS sharpe, (max(dt) - min(dt)) / 365.25 AS years FROM series)",
     """placed AS (SELECT 'priority' AS panel, max(s.sharpe) AS sharpe, avg(n.sharpe) AS null_mean, quantile_cont(n.sharpe, 0.95) AS null_p95,
       count(*) FILTER (n.sharpe >= s.sharpe) / count(*) AS p_value FROM nulls n, seen s)""",
@@ -814,10 +773,11 @@ _put(
     final("panel n_trials best* expected_max* deflated*", "deflated"),
 )
 _put(
-    "relative_verdict", *_PLACED, contrast(500),
+    "relative_verdict", *_PLACED, contrast(1000),
     """j AS (SELECT p.panel, p.sharpe, p.null_p95, p.sharpe + 1.96 * sqrt((1 + p.sharpe * p.sharpe / 2) / s.years) AS ci_high,
+      p.sharpe - 1.96 * sqrt((1 + p.sharpe * p.sharpe / 2) / s.years) AS ci_low,
       (SELECT ci_low_bp FROM contrast WHERE instrument = 'ALL') AS contrast_low FROM placed p, seen s)""",
-    """k AS (SELECT *, CASE WHEN sharpe > null_p95 AND contrast_low > 0 THEN 'viable' WHEN sharpe > null_p95 THEN 'parked'
+    """k AS (SELECT *, CASE WHEN ci_low < 0.2 AND ci_high > 0.4 THEN 'underpowered' WHEN sharpe > null_p95 AND contrast_low > 0 THEN 'viable' WHEN sharpe > null_p95 THEN 'parked'
       WHEN ci_high > null_p95 THEN 'underpowered' ELSE 'dead' END AS verdict FROM j)""",
     final("panel sharpe* null_p95* ci_high* contrast_low* verdict", "k"),
 )

@@ -60,6 +60,9 @@ def inverse_vol(rows: DataFrame, variant: str, directions: dict) -> DataFrame:
     -> (panel, instrument, dt, before_dt, <variant>, raw, carried) where `carried` is the
     previous own day's raw times the return since.
     """
+    # A window with an undefined return, as after a zero price, keeps the last deviation.
+    known = F.last("vol", ignorenulls=True).over(own_days().rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("vol", known)
     raws = {
         f"raw_{i}": F.coalesce(ratio(direction, F.col("vol")), F.lit(0.0))
         for i, direction in enumerate(directions.values())
@@ -186,8 +189,13 @@ def momentum_raw(
     """Direction by calendar-month lookback over own-day volatility, one row per lookback."""
     pasts = {f"past_{m}": past_close(m) for m in lookbacks}
     rows = own_volatility(prices, vol_window, periods_per_year, pasts)
+    close = F.col("close")
     directions = {
-        int(m): direction_sign(ratio(F.col("close"), F.col(f"past_{m}")) - 1.0) for m in lookbacks
+        # From zero every price has risen.
+        int(m): F.when((F.col(f"past_{m}") == 0) & (close > 0), 1.0).otherwise(
+            direction_sign(ratio(close, F.col(f"past_{m}")) - 1.0)
+        )
+        for m in lookbacks
     }
     return inverse_vol(rows, "lookback", directions)
 

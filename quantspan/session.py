@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -58,11 +59,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_side(table: DataFrame, limit_rows: int = 200_000) -> DataFrame:
-    """A table on disk as the smaller side of a join: broadcast only if it is counted small.
+def join_side(table: DataFrame) -> DataFrame:
+    """A table on disk as the smaller side of a join: broadcast if its bytes allow it.
 
-    Beyond the limit the join is a sort-merge. Said explicitly because the other side of
-    these joins is a generator, whose size the optimizer takes for that of its few seeds.
+    The limit is Spark's own (spark.sql.autoBroadcastJoinThreshold) and the size that of the
+    optimizer's statistics. Said explicitly because the other side of these joins is a
+    generator, whose size the optimizer takes for that of its few seeds.
     """
-    small = table.limit(limit_rows + 1).count() <= limit_rows
-    return F.broadcast(table) if small else table.hint("merge")
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= broadcast_limit(table.sparkSession) else table.hint("merge")
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """spark.sql.autoBroadcastJoinThreshold in bytes."""
+    text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")).strip().lower()
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", text).groups()
+    return int(number) * 1024 ** " kmgt".index(unit or " ")

@@ -111,7 +111,10 @@ def price_candles(candles: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def read_candles(spark: SparkSession, folder: str, symbols: dict[str, str] | None = None) -> DataFrame:
-    """Blobs below `folder`, laid out as symbol/year/month/file -> clean-layer columns."""
+    """Blobs below `folder`, laid out as symbol/year/month/file -> clean-layer columns.
+
+    Raises, naming them, when folders have no instrument.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -124,4 +127,9 @@ def read_candles(spark: SparkSession, folder: str, symbols: dict[str, str] | Non
         F.make_date(part[1].cast("int"), part[2].cast("int") + 1, F.lit(1)).alias("month"),
         "content",
     )
-    return price_candles(decode_candles(blobs), symbol_map(spark, symbols))
+    known = symbol_map(spark, symbols)
+    unknown = blobs.select("symbol").distinct().join(known, "symbol", "left_anti").orderBy("symbol")
+    names = [r.symbol for r in unknown.collect()]  # folders of the feed, not rows
+    if names:
+        raise KeyError(f"no instrument for the feed symbols {names}")
+    return price_candles(decode_candles(blobs), known)

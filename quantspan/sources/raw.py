@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantspan.config import CLOSE_HEADERS, DATE_HEADERS, PRICE_HEADERS
+from quantspan.functions.scalars import finite
 
 RAW_GLOB = "*.{[cC][sS][vV],[tT][xX][tT]}"
+# Cells without a value, in any case.
+MISSING = ("", "nan", "nat", "na", "n/a", "#n/a", "<na>", "null", "none")
 EPOCH_MILLIS_ABOVE = 1e11
 # Tried in this order after the ISO forms a plain cast understands.
 DATE_PATTERNS = ("dd.MM.yyyy HH:mm:ss.SSS", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy", "MM/dd/yyyy", "yyyyMMdd HHmmss")
@@ -88,9 +91,14 @@ def price_names(columns: Iterable[str]) -> dict[str, str]:
     return names
 
 
+def date_number() -> Column:
+    """The date column as a finite number, NULL where it is none."""
+    return finite(F.expr("try_cast(raw_date as double)"))
+
+
 def parse_date(text: Column, is_epoch: Column, is_millis: Column, compact_dates: bool = False) -> Column:
     """Text to a date: an epoch in a numeric column, a date or timestamp otherwise."""
-    number = F.expr("try_cast(raw_date as double)")
+    number = date_number()
     days = F.floor(F.when(is_millis, number / 86_400_000.0).otherwise(number / 86_400.0))
     # A number too far out for a date is as unreadable as text.
     days = F.when(F.abs(days) < 1e8, days).cast("int")
@@ -119,10 +127,10 @@ def _scan(spark: SparkSession, paths: list[str], compact_dates: bool, name_of) -
     rows = raw.select(
         F.col("_metadata.file_path").alias("path"),
         (F.col("_metadata.file_block_start") + in_task).alias("ord"),
-        F.col(f"`{date}`").alias("raw_date"),
-        *[F.expr(f"try_cast(`{c}` as double)").alias(n) for c, n in names.items()],
+        F.when(~F.lower(F.trim(F.col(f"`{date}`"))).isin(*MISSING), F.col(f"`{date}`")).alias("raw_date"),
+        *[finite(F.expr(f"try_cast(`{c}` as double)")).alias(n) for c, n in names.items()],
     )
-    number = F.expr("try_cast(raw_date as double)")
+    number = date_number()
     kinds = rows.groupBy("path").agg(
         (F.count("raw_date") == F.count(number)).alias("is_epoch"),
         (F.max(F.abs(number)) > EPOCH_MILLIS_ABOVE).alias("is_millis"),
@@ -130,7 +138,7 @@ def _scan(spark: SparkSession, paths: list[str], compact_dates: bool, name_of) -
     day = parse_date(F.col("raw_date"), F.col("is_epoch"), F.col("is_millis"), compact_dates)
     prices = [n for n in PRICE_HEADERS if n in names.values()]
     return rows.join(kinds, "path").select(
-        name_of(F.col("path")).alias("instrument"), day.alias("dt"), "ord", *prices
+        name_of(F.col("path")).alias("instrument"), day.alias("dt"), "ord", *prices, "path", "raw_date"
     )
 
 
@@ -147,15 +155,8 @@ def first_numeric(raw: DataFrame, columns: list[str]) -> str:
     raise ValueError("no numeric price column found")
 
 
-def read_raw(
-    spark: SparkSession, folder: str, compact_dates: bool = False, name_of=instrument_of
-) -> DataFrame:
-    """Every dump below a folder -> (instrument, dt, ord, open, high, low, close).
-
-    Price columns no file has are left out, those some files lack are NULL there. `ord`
-    grows with the position in the file. `compact_dates` reads eight-digit numbers as
-    yyyyMMdd instead of as an epoch. `name_of` turns a path into the instrument.
-    """
+def _scans(spark: SparkSession, folder: str, compact_dates: bool, name_of) -> DataFrame:
+    """Every dump, with (path, raw_date) beside the columns of `read_raw`."""
     found = layouts(spark, folder).values()
     scans = [_scan(spark, paths, compact_dates, name_of) for paths in found]
     if not scans:
@@ -164,3 +165,31 @@ def read_raw(
     for other in scans[1:]:
         bars = bars.unionByName(other, allowMissingColumns=True)
     return bars
+
+
+def unparsed_dates(
+    spark: SparkSession, folder: str, compact_dates: bool = False, name_of=instrument_of
+) -> DataFrame:
+    """Rows of each file, how many lack a date, and how many have one that is not understood.
+
+    -> (path, instrument, n_rows, n_missing, n_unparsed)
+    """
+    bars = _scans(spark, folder, compact_dates, name_of)
+    return bars.groupBy(plain_path(F.col("path")).alias("path"), "instrument").agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.col("raw_date").isNull()).alias("n_missing"),
+        F.count_if(F.col("raw_date").isNotNull() & F.col("dt").isNull()).alias("n_unparsed"),
+    )
+
+
+def read_raw(
+    spark: SparkSession, folder: str, compact_dates: bool = False, name_of=instrument_of
+) -> DataFrame:
+    """Every dump below a folder -> (instrument, dt, ord, open, high, low, close).
+
+    Price columns no file has are left out, those some files lack are NULL there. `ord`
+    grows with the position in the file. `compact_dates` reads eight-digit numbers as
+    yyyyMMdd instead of as an epoch. NaN, infinite and empty cells are missing;
+    `unparsed_dates` counts dates that are not understood. `name_of` turns a path into the instrument.
+    """
+    return _scans(spark, folder, compact_dates, name_of).drop("path", "raw_date")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quantspan.functions.scalars import finite
 from quantspan.operators.clean import clean_bars
 from quantspan.operators.metrics import metrics, return_histogram, sampled_equity
-from quantspan.operators.quality import anomalies, first_anomalies, quality_summary
+from quantspan.operators.quality import anomalies, ranked_anomalies, quality_summary
 from quantspan.sources.raw import read_raw
 
+from quantspan.session import materialize
 
 def write_clean(bars: DataFrame, path: str) -> None:
     """Clean bars, partitioned by instrument, each file sorted by date.
@@ -26,7 +27,6 @@ def write_clean(bars: DataFrame, path: str) -> None:
         .parquet(path)
     )
 
-
 def read_prices(spark: SparkSession, path: str, panel: str = "all") -> DataFrame:
     """Closes of the clean store as one panel; only the needed columns are read.
 
@@ -42,12 +42,10 @@ def read_prices(spark: SparkSession, path: str, panel: str = "all") -> DataFrame
         finite(F.col(close).cast("double")).alias("close"),
     )
 
-
 def write_quality(raw: DataFrame, bars: DataFrame, path: str) -> None:
-    """Summary per instrument and the first dated anomalies of each."""
+    """Summary per instrument and every dated anomaly, numbered; readers limit by `rank`."""
     quality_summary(raw, bars).write.mode("overwrite").parquet(f"{path}/summary")
-    first_anomalies(anomalies(raw, bars)).write.mode("overwrite").parquet(f"{path}/detail")
-
+    ranked_anomalies(anomalies(raw, bars)).write.mode("overwrite").parquet(f"{path}/detail")
 
 def process_raw(spark: SparkSession, raw_folder: str, clean_path: str, report_path: str) -> DataFrame:
     """Raw dumps to clean store and quality report in one run over all instruments."""
@@ -57,9 +55,9 @@ def process_raw(spark: SparkSession, raw_folder: str, clean_path: str, report_pa
     write_quality(raw, stored, report_path)
     return stored
 
-
 def write_report(returns: DataFrame, path: str, curve: DataFrame | None = None) -> None:
-    """Metrics, sampled equity, histogram and, if given, the leverage curve of each strategy."""
+    """Metrics, sampled equity, histogram and, if given, a curve of each strategy."""
+    returns = materialize(returns, "returns")  # three tables read it
     tables = {
         "metrics": metrics(returns),
         "equity": sampled_equity(returns),

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 from quantspan.config import BarrierRules, ResamplingParams
 from quantspan.functions.scalars import first_passage_probability, normal_ppf
 from quantspan.operators import barrier, bootstrap, metrics
-from quantspan.operators.histories import minute_of, running_pnl
-from quantspan.plans import challenge
+from quantspan.operators.histories import hour_of, minute_of, running_pnl
 
 
 def gaussian(mu, sigma, n, seed):
@@ -82,8 +81,8 @@ def test_chunked_totals_equal_a_single_window(spark):
         "window w as (partition by u order by ts)", e=events
     )
     want = plain.orderBy("i").toPandas()
-    for limit in (0, 150, 10_000):
-        got = running_pnl(events, ["u"], ["ts"], minute_of(F.col("ts")), busy_rows=limit).orderBy("i").toPandas()
+    for chunk in (minute_of(F.col("ts")), hour_of(F.col("ts")), F.lit(0)):
+        got = running_pnl(events, ["u"], ["ts"], chunk).orderBy("i").toPandas()
         assert got.day.tolist() == want.day.tolist()
         np.testing.assert_allclose(got.pnl, want.pnl, atol=1e-12)
 
@@ -173,118 +172,3 @@ def test_block_size_must_be_positive(spark):
         bootstrap.block_bootstrap(to_returns(spark, [0.1]), 1, 1, 0, 1)
     with pytest.raises(ValueError):
         ResamplingParams(block_size=0)
-
-
-# --- challenge --------------------------------------------------------------------------------
-
-
-def test_curve_equals_walking_every_resampled_path(spark):
-    r = gaussian(0.0006, 0.012, 400, 6)
-    returns = to_returns(spark, r)
-    params = ResamplingParams(n_paths=60, horizon_days=90, block_size=20, seed=4)
-    rules = BarrierRules()
-    grid = [0.5, 1.0, 2.5]
-    got = {x.k: x for x in challenge.leverage_curve(returns, rules, params, grid).collect()}
-    phases = {
-        phase: drawn(spark, r, n_paths=60, horizon=h, block_size=20, seed=4, phase=phase)
-        for phase, h in ((1, 90), (2, 90), (3, 21))
-    }
-    for k in grid:
-        stats = {}
-        for phase, target in ((1, 0.10), (2, 0.05), (3, None)):
-            ends = [walk_through(path * k, target, 0.05, 0.10) for path in phases[phase]]
-            share = {o: np.mean([e[0] == o for e in ends]) for o in ("PASSED", "FAILED", "UNRESOLVED")}
-            days = [d for o, d in ends if o != "UNRESOLVED"]
-            absorbed = share["PASSED"] + share["FAILED"]
-            stats[phase] = (share, share["PASSED"] / absorbed if absorbed else 0.0, np.mean(days) if days else 0.0)
-        row = got[k]
-        (s1, c1, d1), (s2, c2, d2), (s3, _, _) = stats[1], stats[2], stats[3]
-        assert row.p_phase1 == pytest.approx(s1["PASSED"]) and row.p_phase2 == pytest.approx(s2["PASSED"])
-        assert row.p_fail == pytest.approx(s1["FAILED"]) and row.p_unresolved == pytest.approx(s1["UNRESOLVED"])
-        assert row.p_pass_conditional == pytest.approx(c1 * c2)
-        assert row.p_burn == pytest.approx(1 - (1 - s3["FAILED"]) ** 4)
-        short = s1["UNRESOLVED"] > 0.05 or s2["UNRESOLVED"] > 0.05
-        assert row.insufficient_horizon == short
-        if c1 * c2 > 0 and not short:
-            assert row.expected_days == pytest.approx((d1 + c1 * d2) / (c1 * c2))
-        else:
-            assert row.expected_days is None
-
-
-def symmetric(barrier_):
-    return BarrierRules(barrier_, barrier_, 1.0, barrier_, 1)
-
-
-def test_no_drift_and_symmetric_barriers_give_one_half(spark):
-    r = gaussian(0.0, 0.02, 8000, 1)
-    r = to_returns(spark, r - r.mean(), "1990-01-01")
-    p = ResamplingParams(block_size=1, n_paths=12000, horizon_days=600, seed=7)
-    assert challenge.challenge_summary(r, symmetric(0.10), p).first().p_phase1 == pytest.approx(0.5, abs=0.03)
-
-
-def test_drift_matches_the_closed_form(spark):
-    r = to_returns(spark, gaussian(0.0004, 0.01, 12000, 2), "1980-01-01")
-    p = ResamplingParams(block_size=1, n_paths=6000, horizon_days=1500, seed=3)
-    want = barrier.closed_form_check(r, 0.10, 0.10, ["panel"]).first().p_closed
-    assert challenge.challenge_summary(r, symmetric(0.10), p).first().p_phase1 == pytest.approx(want, abs=0.04)
-
-
-def test_leverage_lowers_passing_and_raises_burning(spark):
-    r = to_returns(spark, gaussian(0.0008, 0.015, 4000, 11))
-    p = ResamplingParams(n_paths=2500, seed=1)
-    rows = challenge.leverage_curve(r, params=p).orderBy("k").collect()
-    assert [x.k for x in rows] == p.leverages
-    assert rows[0].p_pass_conditional > rows[-1].p_pass_conditional
-    assert rows[0].p_pass_conditional > 0.5
-    burned = [x.p_burn for x in rows]
-    assert burned == sorted(burned) and burned[-1] > burned[0]
-
-
-def test_conditional_share_hardly_depends_on_the_horizon(spark):
-    r = to_returns(spark, gaussian(0.0006, 0.01, 6000, 16))
-    short, long = (
-        challenge.challenge_summary(
-            r, params=ResamplingParams(n_paths=4000, horizon_days=h, seed=1), leverage=0.4
-        ).first()
-        for h in (250, 2500)
-    )
-    assert abs(short.p_pass_conditional - long.p_pass_conditional) < 0.05
-    assert short.p_unresolved > 0.2 and long.p_both - short.p_both > 0.05
-
-
-def test_short_horizon_is_flagged(spark):
-    r = to_returns(spark, gaussian(0.00005, 0.01, 4000, 15))
-    p = ResamplingParams(n_paths=1000, horizon_days=120, seed=1)
-    row = challenge.challenge_summary(r, params=p, leverage=0.25).first()
-    assert row.insufficient_horizon and row.expected_days is None
-    assert row.p_phase1 + row.p_fail + row.p_unresolved == pytest.approx(1.0)
-
-
-def test_undefined_returns_are_left_out(spark):
-    r = list(gaussian(0.001, 0.01, 200, 8))
-    p = ResamplingParams(n_paths=50, horizon_days=40)
-    clean = challenge.challenge_summary(to_returns(spark, r), params=p).first()
-    dirty = challenge.challenge_summary(
-        to_returns(spark, r + [float("nan"), float("inf"), None]), params=p
-    ).first()
-    assert clean == dirty
-
-
-def test_stricter_rules_pass_less(spark):
-    r = to_returns(spark, gaussian(0.0005, 0.01, 3000, 6))
-    p = ResamplingParams(n_paths=1000, horizon_days=252, seed=1)
-    easy = challenge.challenge_summary(r, BarrierRules(0.05, 0.03, 0.10, 0.15), p).first()
-    hard = challenge.challenge_summary(r, BarrierRules(0.15, 0.10, 0.02, 0.05), p).first()
-    assert easy.p_phase1 > hard.p_phase1
-
-
-def test_many_series_at_once_equal_single_runs(spark):
-    frames = [to_returns(spark, gaussian(0.0005, 0.01, 150, s), panel=f"s{s:02d}") for s in range(40)]
-    together = frames[0]
-    for f in frames[1:]:
-        together = together.unionByName(f)
-    p = ResamplingParams(n_paths=20, horizon_days=45)
-    got = {r.panel: r for r in challenge.challenge_summary(together, params=p).collect()}
-    assert len(got) == 40
-    for s in (0, 17, 39):
-        assert got[f"s{s:02d}"] == challenge.challenge_summary(frames[s], params=p).first()

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,10 +11,9 @@ from quantspan.plans import signals, turn_of_month
 
 
 def trending(n=900):
-    t = np.arange(n)
-    return pd.DataFrame(
-        {"UP": 100 * 1.0008**t, "DOWN": 100 * 0.9994**t}, index=business_days("2018-01-01", n)
-    )
+    """One line that climbs by five cents a day and one that loses ten."""
+    days = business_days("2018-01-01", n)
+    return pd.DataFrame({"UP": [50 + 0.05 * i for i in range(n)], "DOWN": [200 - 0.1 * i for i in range(n)]}, index=days)
 
 
 def noisy(n=700, seed=11):
@@ -32,49 +33,87 @@ def dense(spark, prices, weights):
     return got.reindex(columns=sorted(prices.columns)).to_numpy(dtype=float)
 
 
+def bars_a_year(dates, fixed):
+    return fixed or len(dates) * 365.25 / (dates[-1] - dates[0]).days
+
+
+def own_sizes(quotes, months, fixed):
+    """Per own day of one instrument: direction over the last known volatility."""
+    dates, values = [d for d, _ in quotes], [v for _, v in quotes]
+    moves = [b / a - 1 if a else None for a, b in zip(values, values[1:])]
+    year = bars_a_year(dates[1:], fixed)
+    sizes, vol = {}, None
+    for i, (d, v) in enumerate(quotes):
+        window = moves[i - 63 : i] if i >= 63 else []
+        if window and None not in window:
+            vol = float(np.std(window, ddof=1)) * year**0.5
+        probe = (pd.Timestamp(d) - pd.DateOffset(months=months)).date()
+        past = [q for e, q in quotes if e <= probe]
+        if past and vol:
+            change = v - past[-1]
+            sizes[d] = (change > 0) / vol - (change < 0) / vol
+    return sizes
+
+
+def rebalance_due(first, last):
+    """First Monday-to-Friday day of each month within the frame."""
+    out = []
+    for month in pd.period_range(first, last, freq="M"):
+        d = month.start_time.date()
+        while d.weekday() > 4:
+            d += dt.timedelta(days=1)
+        if first <= d <= last:
+            out.append(d)
+    return out
+
+
 def plain_momentum(prices, months=12, per_year=None, cap=MAX_GROSS):
-    """The same recipe on a wide frame, written day by day."""
-    prices = prices.copy()
-    prices.index = pd.to_datetime(prices.index)
-    years = (prices.index[-1] - prices.index[0]).days / 365.25
-    frame_year = per_year or len(prices) / years
-    raw = pd.DataFrame(0.0, index=prices.index, columns=prices.columns)
-    for c in prices:
-        own = prices[c].dropna()
-        r = own.pct_change()
-        seen = r.dropna().index
-        year = per_year or len(seen) / ((seen[-1] - seen[0]).days / 365.25)
-        vol = r.rolling(63).std() * np.sqrt(year)
-        for d in own.index:
-            earlier = own[own.index <= d - pd.DateOffset(months=months)]
-            if len(earlier) and vol[d] > 0:
-                raw.loc[d, c] = np.sign(own[d] / earlier.iloc[-1] - 1) / vol[d]
-    gross = raw.abs().sum(axis=1)
-    rel = raw.div(gross.where(gross > 0), axis=0).fillna(0.0)
-    ret = prices.ffill().pct_change().fillna(0.0)
-    port = (rel.shift(1).fillna(0.0) * ret).sum(axis=1)
-    # Exact zeros before the first position: a plain deviation, not an updated one.
-    vol = port.rolling(63).apply(lambda x: np.std(x, ddof=1), raw=True) * np.sqrt(frame_year)
-    scalar = (0.08 / vol.shift(1).where(vol.shift(1) > 0)).clip(upper=cap)
-    target = rel.mul(scalar, axis=0).fillna(0.0)
-    out = pd.DataFrame(0.0, index=prices.index, columns=prices.columns)
-    due = pd.date_range(prices.index[0], prices.index[-1], freq="BMS")
-    for d in prices.index:
-        past = due[due <= d]
-        if len(past):
-            out.loc[d] = target[target.index <= past[-1]].iloc[-1]
-    return out[sorted(out.columns)]
+    """Weights of every frame date, in dicts: size, scale to the target, sample, hold."""
+    names, days = sorted(prices.columns), list(prices.index)
+    quotes = {c: [(d, float(v)) for d, v in prices[c].items() if v == v] for c in names}
+    sizes = {c: own_sizes(quotes[c], months, per_year) for c in names}
+    year = bars_a_year(days, per_year) if per_year else len(days) * 365.25 / (days[-1] - days[0]).days
+    known = {c: dict(quotes[c]) for c in names}
+    last, held, earned, targets = {}, dict.fromkeys(names, 0.0), [], {}
+    for i, d in enumerate(days):
+        total = 0.0
+        for c in names:
+            if d in known[c]:
+                if last.get(c):
+                    total += held[c] * (known[c][d] / last[c] - 1)
+                last[c] = known[c][d]
+        vol = float(np.std(earned[-63:], ddof=1)) * year**0.5 if i >= 63 else 0.0
+        earned.append(total)
+        size = {c: sizes[c].get(d, 0.0) for c in names}
+        gross = sum(abs(x) for x in size.values())
+        held = {c: x / gross if gross else 0.0 for c, x in size.items()}
+        scale = min(0.08 / vol, cap) if vol else 0.0
+        targets[d] = [held[c] * scale for c in names]
+    due, rows = rebalance_due(days[0], days[-1]), []
+    for d in days:
+        passed = [x for x in due if x <= d]
+        source = [x for x in days if passed and x <= passed[-1]]
+        rows.append(targets[source[-1]] if source else [0.0] * len(names))
+    return np.array(rows)
 
 
 @pytest.mark.parametrize("months, per_year", [(12, None), (6, 252.0)])
 def test_momentum_against_a_day_by_day_version(spark, months, per_year):
     prices = noisy()
     got = dense(spark, prices, signals.tsmom(to_prices(spark, prices), months, periods_per_year=per_year))
-    want = plain_momentum(prices, months, per_year).to_numpy()
+    want = plain_momentum(prices, months, per_year)
     assert np.abs(want).sum() > 10
     np.testing.assert_allclose(got, want, atol=1e-9)
 
 
+def test_a_zero_price_keeps_the_last_volatility(spark):
+    prices = noisy(650, seed=3)
+    prices.iloc[450, 2] = 0.0
+    got = dense(spark, prices, signals.tsmom(to_prices(spark, prices), 6, periods_per_year=252.0))
+    np.testing.assert_allclose(got, plain_momentum(prices, 6, 252.0), atol=1e-9)
+    assert np.abs(got[480:500, 2]).min() > 0
+
+
 def test_direction_follows_the_trend(spark):
     prices = trending()
     got = dense(spark, prices, signals.tsmom(to_prices(spark, prices)))[-1]
