@@ -138,6 +138,11 @@ class Words:
         return np.bincount(self.doc, minlength=self.n_docs)
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """The same columns by position: mapInArrow cannot resolve names that hold dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def arrow_map(
     df: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array]], schema: str, text: str = "text"
 ) -> DataFrame:
@@ -145,25 +150,30 @@ def arrow_map(
 
     The name of a new column must be free in `df`.
     """
-    kept = [c for c in df.columns if c != text]
-    fields = ", ".join([f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema if f.name != text])
+    at = df.columns.index(text)
+    kept = [f for f in df.schema if f.name != text]
+    fields = [f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)]
+    names = [f"k{i}" for i in range(len(kept))]
 
     def run(batches):
-        for batch, texts in pieces(batches, text):
+        for batch, texts in pieces(batches, f"c{at}"):
             new = fn(texts)
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, *new.values()], [*kept, *new])
+            columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*columns, *new.values()], [*names, *new])
 
     bounded(df.sparkSession)
-    return df.mapInArrow(run, ", ".join([x for x in (fields, schema) if x]))
+    out = plain_names(df).mapInArrow(run, ", ".join([*fields, schema]))
+    return out.toDF(*[f.name for f in kept], *out.columns[len(kept) :])
 
 
 def arrow_filter(df: DataFrame, fn: Callable[[list[str]], np.ndarray], text: str = "text") -> DataFrame:
     """The rows of `df`, unchanged, for whose texts `fn` is true."""
+    at = df.columns.index(text)
 
     def run(batches):
-        for batch, texts in pieces(batches, text):
-            yield batch.filter(pa.array(fn(texts)))
+        for batch, texts in pieces(batches, f"c{at}"):
+            yield batch.filter(pa.array(fn(texts), pa.bool_()))
 
     bounded(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    plain = plain_names(df)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
