@@ -43,8 +43,8 @@ def odd_rows():
         (9, "▁ é 日本語 \U0001f600 \x01\x02 \x00 end"),
         (None, prose(2)),
         (None, None),
-        (10, prose(3)),
-        (10, prose(3)),
+        (10, prose(303)),
+        (10, prose(303)),
         (11, "\n".join(prose(k, 30) for k in range(5))),
     ]
 
