@@ -71,3 +71,42 @@ def centred_returns(events: DataFrame, path: list[str], value: str, scale: float
     return events.join(means, path).withColumn(
         "r", (F.col(value) - F.col("mean_value")) / scale
     ).drop("mean_value")
+
+
+def centred_pnl(
+    events: DataFrame, path: list[str], order: list[str], chunk: Column, value: str, scale: float
+) -> DataFrame:
+    """`running_pnl` of `centred_returns`, from one aggregate and one more scan.
+
+    The counts and sums of a path's chunks give its mean as well as what came before each
+    chunk. -> adds (r, day, pnl)
+    """
+    rows = events.withColumn("chunk", chunk.cast("bigint"))
+    whole = W.partitionBy(*path)
+    before = whole.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0.0)
+    chunks = (
+        rows.groupBy(*path, "chunk")
+        .agg(F.count("*").alias("n"), F.count(value).alias("n_values"), F.sum(value).alias("total"))
+        .select(
+            *path,
+            "chunk",
+            (F.sum("total").over(whole) / F.sum("n_values").over(whole)).alias("mean_value"),
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("days_before"),
+            F.coalesce(F.sum("n_values").over(before), F.lit(0)).alias("values_before"),
+            F.coalesce(F.sum("total").over(before), zero).alias("total_before"),
+        )
+    )
+    inside = W.partitionBy(*path, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    pnl_before = (F.col("total_before") - F.col("mean_value") * F.col("values_before")) / scale
+    return (
+        rows.join(chunks, [*path, "chunk"])
+        .withColumn("r", (F.col(value) - F.col("mean_value")) / scale)
+        .withColumns(
+            {
+                "day": F.row_number().over(inside).cast("bigint") + F.col("days_before"),
+                "pnl": F.coalesce(F.sum("r").over(inside), zero) + pnl_before,
+            }
+        )
+        .drop("chunk", "mean_value", "days_before", "values_before", "total_before")
+    )

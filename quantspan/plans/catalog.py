@@ -51,11 +51,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals; adding zero turns -0.0 into 0.0."""
+def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
+    """Doubles to so many decimals; adding zero turns -0.0 into 0.0."""
     return df.select(
         *[
-            (F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
+            (F.round(c, decimals) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -598,7 +598,8 @@ def drawdown(spark, sf):
 
 @query
 def additive_pnl(spark, sf):
-    return rounded(panels.user_steps(spark, sf).select("user_id", "day", "r", "pnl"))
+    """To nine decimals: some of these values lie halfway between two sixth ones."""
+    return rounded(panels.user_steps(spark, sf).select("user_id", "day", "r", "pnl"), 9)
 
 
 @query

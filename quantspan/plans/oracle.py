@@ -580,7 +580,7 @@ _put("exante_scalar", *momentum(PRIORITY), final("dt port_ret* port_vol* scalar*
 _put("turnover", PRIORITY, SHARE_W, f"SELECT instrument, dt, round(abs(w - coalesce(lag(w) OVER w, 0)), 6) + 0.0 AS turnover FROM wts {_OWNW}")
 _put("equity_curve", *HELD, EQUITY, final("dt equity*", "eq"))
 _put("drawdown", *HELD, EQUITY, DD, final("dt drawdown*", "dd"))
-_put("additive_pnl", STEPS, final("user_id day r* pnl*", "steps"))
+_put("additive_pnl", STEPS, "SELECT user_id, day, round(r, 9) + 0.0 AS r, round(pnl, 9) + 0.0 AS pnl FROM steps")
 _put("log_return", BALANCE_BARS, CLEAN, ANOMALIES, final("instrument dt log_ret*", "logs"))
 _put("open_gap", OHLC, OPEN_GAPS, final("instrument dt open_gap*", "gaps"))
 _put("lead_one", PRIORITY, *FRAMED, f"SELECT instrument, dt, CAST(coalesce(sign(lead(ret) OVER w), 0) AS DOUBLE) + 0.0 AS w FROM rets {_OWNW}")

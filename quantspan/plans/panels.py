@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.operators.histories import centred_returns, hour_of, running_pnl
+from quantspan.operators.histories import centred_pnl, hour_of
 
 # Lifts the averaged amounts to an index level with daily moves of a few percent.
 PRIORITY_LEVEL = 5_000_000.0
@@ -99,7 +99,6 @@ def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as a history of gains and losses -> (user_id, ts, day, r, pnl)"""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    returns = centred_returns(events, ["user_id"], "value", PNL_SCALE)
-    return running_pnl(
-        returns, ["user_id"], ["ts", "event_id"], hour_of(F.col("ts"))
+    return centred_pnl(
+        events, ["user_id"], ["ts", "event_id"], hour_of(F.col("ts")), "value", PNL_SCALE
     ).select("user_id", "ts", "day", "r", "pnl")

@@ -11,6 +11,7 @@ from quantspan.plans import signals
 
 def plain_backtest(prices, weights, rate, swap):
     """One account, day by day: a position decided on one date earns until the next one."""
+    fees = {c: [x[c] if hasattr(x, "index") else x for x in (rate, swap)] for c in prices.columns}
     wanted = {(d, c): float(v) for c in weights.columns for d, v in weights[c].items() if v == v}
     quote, position, days = {}, dict.fromkeys(prices.columns, 0.0), []
     for d in prices.index:
@@ -22,7 +23,7 @@ def plain_backtest(prices, weights, rate, swap):
                     account += position[c] * (price / quote[c] - 1)
                 quote[c] = price
             target = wanted.get((d, c), 0.0)
-            account -= swap * abs(position[c]) + rate * abs(target - position[c])
+            account -= fees[c][1] * abs(position[c]) + fees[c][0] * abs(target - position[c])
             position[c] = target
         days.append(account)
     return pd.Series(days, index=prices.index)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quantspan.config import BarrierRules, ResamplingParams
 from quantspan.functions.scalars import first_passage_probability, normal_ppf
 from quantspan.operators import barrier, bootstrap, metrics
-from quantspan.operators.histories import hour_of, minute_of, running_pnl
+from quantspan.operators.histories import centred_pnl, centred_returns, hour_of, minute_of, running_pnl
 
 
 def gaussian(mu, sigma, n, seed):
@@ -87,6 +87,23 @@ def test_chunked_totals_equal_a_single_window(spark):
         np.testing.assert_allclose(got.pnl, want.pnl, atol=1e-12)
 
 
+def test_centred_totals_in_two_scans(spark, tmp_path):
+    rows = [(u, i, float((i * 7919 + u) % 101)) for u in (1, 1, 2, 3) for i in range(200)]
+    path = str(tmp_path / "events")
+    events = spark.createDataFrame(rows, "u int, i int, v double").withColumn(
+        "ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, i * 7)")
+    )
+    events.distinct().write.parquet(path)
+    stored = spark.read.parquet(path)
+    got = centred_pnl(stored, ["u"], ["ts", "i"], hour_of(F.col("ts")), "v", 10.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 2
+    want = running_pnl(centred_returns(stored, ["u"], "v", 10.0), ["u"], ["ts", "i"], F.lit(0))
+    a, b = (x.orderBy("u", "i").toPandas() for x in (got, want))
+    assert a.day.tolist() == b.day.tolist()
+    np.testing.assert_allclose(a.pnl, b.pnl, atol=1e-9)
+
+
 def test_payout_windows_start_from_zero(spark):
     path = [-0.02] * 4 + [0.0] * 17 + [-0.02] * 4 + [0.0] * 17 + [-0.06] + [0.0] * 10
     windows = barrier.payout_windows(steps_of(spark, [path]), ["path"], 21, 0.05, 0.10)

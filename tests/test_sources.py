@@ -8,8 +8,9 @@ from conftest import business_days, day, walk
 from pyspark.sql import functions as F
 
 from quantspan.config import INSTRUMENTS
+from quantspan.operators import quality
 from quantspan.operators.calendars import month_spine
-from quantspan.operators.clean import clean_bars, duplicate_dates
+from quantspan.operators.clean import clean_bars, dedup_keep_last, duplicate_dates
 from quantspan.sources import candles, raw, stores
 
 
@@ -58,6 +59,30 @@ def test_unreadable_values_become_null(spark, tmp_path):
     assert duplicate_dates(bars).first().has_duplicates
 
 
+def test_nan_and_infinite_cells_are_missing(spark, tmp_path):
+    write(tmp_path, "A.csv", "date,close", "1577923200,1.0", "NaN,2.0", "1578009600,NaN", "1578096000,inf", "1578182400,", ",5.0")
+    got = raw.read_raw(spark, str(tmp_path)).select("dt", "close").collect()
+    dated = sorted(((r.dt, r.close) for r in got if r.dt), key=str)
+    assert [r[0] for r in dated] == [day(f"2020-01-{d:02d}") for d in (2, 3, 4, 5)]  # still seconds
+    assert [r[1] for r in dated] == [1.0, None, None, None]
+    found = quality.anomalies(None, raw.read_raw(spark, str(tmp_path)).where("dt IS NOT NULL")).groupBy("kind").count().collect()
+    assert {r.kind: r["count"] for r in found}["nonpositive_price"] == 3
+
+
+def test_dates_that_are_not_understood_are_counted(spark, tmp_path):
+    write(tmp_path, "A.csv", "date,close", "2020-01-02,1.0", "second of May,2.0", "NaN,3.0", "sometime,4.0")
+    write(tmp_path, "B.csv", "date,close", "2020-01-02,1.0")
+    rows = raw.unparsed_dates(spark, str(tmp_path)).orderBy("path").collect()
+    assert [(r.instrument, r.n_rows, r.n_missing, r.n_unparsed) for r in rows] == [("A", 4, 1, 2), ("B", 1, 0, 0)]
+
+
+def test_equal_order_keeps_one_whole_row(spark):
+    rows = [("A", day("2020-01-02"), 1, 5.0, 1.0), ("A", day("2020-01-02"), 1, 1.0, 5.0)]
+    bars = spark.createDataFrame(rows * 3, "instrument string, dt date, ord bigint, open double, close double")
+    got = dedup_keep_last(bars).first()
+    assert (got.open, got.close) in {(5.0, 1.0), (1.0, 5.0)}
+
+
 def test_first_column_is_the_date_when_none_is_named_so(spark, tmp_path):
     write(tmp_path, "a.csv", "when,text,price,other", "2020-01-02,x,5.5,1", "2020-01-03,y,6.5,2")
     assert rows_of(raw.read_raw(spark, str(tmp_path)), "dt", "close") == [
@@ -162,6 +187,14 @@ def test_candles_below_a_folder(spark, tmp_path):
     ]
 
 
+def test_symbols_without_an_instrument_are_named(spark, tmp_path):
+    target = tmp_path / "NOSUCHPAIR" / "2020" / "00"
+    target.mkdir(parents=True)
+    (target / "candles.bi5").write_bytes(blob((0, 1, 1, 1, 1, 1.0)))
+    with pytest.raises(KeyError, match="NOSUCHPAIR"):
+        candles.read_candles(spark, str(tmp_path))
+
+
 def test_packing_is_undone_by_decoding(spark):
     days = business_days("2020-01-01", 60)
     rows = [("X", d, *[round(float(v), 2) for v in np.random.default_rng(i).uniform(1, 9, 4)]) for i, d in enumerate(days)]
