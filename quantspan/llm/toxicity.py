@@ -215,7 +215,8 @@ DEFAULT_WEIGHTS = np.array([1.5, 2.0, 0.5, 0.5, -4.0])
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, s: Settings = Settings()) -> Model:
     sample, counts = labelled(docs, labels, label, modulus, held_out, s.per_class)
-    if len(counts) < 2:
+    there = {r["label"] for r in sample.select("label").distinct().collect()}
+    if there != {0, 1}:
         return Model(Lexicon.of(list(SEED), s.window), DEFAULT_WEIGHTS)
     context = docs.sparkSession.sparkContext
     lexicon = Lexicon.of(learn_terms(sample, s) or list(SEED), s.window)
