@@ -50,7 +50,10 @@ def sample_verdict(ratios: DataFrame, limits: StudyThresholds = StudyThresholds(
 
 
 def global_verdict(verdicts: DataFrame) -> DataFrame:
-    """One verdict over all samples -> (verdict, any_marginal)"""
+    """One verdict over all samples -> (verdict, any_marginal, degraded)
+
+    `degraded`: the first sample by name is viable, the last one dead.
+    """
     def has(label):
         return F.bool_or(F.col("verdict") == label)
 
@@ -60,4 +63,7 @@ def global_verdict(verdicts: DataFrame) -> DataFrame:
         .otherwise("marginal")
         .alias("verdict"),
         has("marginal").alias("any_marginal"),
+        (
+            (F.min_by("verdict", "panel") == "viable") & (F.max_by("verdict", "panel") == "dead")
+        ).alias("degraded"),
     )

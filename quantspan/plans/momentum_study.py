@@ -93,7 +93,7 @@ def primary_trials(daily: DataFrame, limits: StudyThresholds = StudyThresholds()
 def verdict(daily: DataFrame, limits: StudyThresholds = StudyThresholds()) -> DataFrame:
     """Verdict per sample, over all samples, and after deflation if any is marginal.
 
-    -> (panel, sharpe, verdict, global_verdict, attempts, deflated, promote)
+    -> (panel, sharpe, verdict, global_verdict, degraded, attempts, deflated, promote)
     """
     trials = primary_trials(daily, limits)
     samples = sample_verdict(
@@ -109,6 +109,7 @@ def verdict(daily: DataFrame, limits: StudyThresholds = StudyThresholds()) -> Da
         "sharpe",
         "verdict",
         "global_verdict",
+        "degraded",
         F.when(marginal, F.col("n_trials"))
         .otherwise((F.col("n_trials") / len(limits.lookbacks)).cast("bigint"))
         .alias("attempts"),

@@ -690,8 +690,9 @@ _put(
     """v AS (SELECT panel, sharpe, CASE WHEN sharpe >= 0.4 THEN 'viable' WHEN sharpe < 0.2 THEN 'dead' ELSE 'marginal' END AS verdict
       FROM counted WHERE lookback = 12)""",
     """g AS (SELECT CASE WHEN bool_or(verdict = 'viable') THEN 'viable' WHEN bool_and(verdict = 'dead') THEN 'dead' ELSE 'marginal' END AS global_verdict,
-      bool_or(verdict = 'marginal') AS any_marginal FROM v)""",
-    """SELECT panel, round(sharpe, 6) + 0.0 AS sharpe, verdict, global_verdict,
+      bool_or(verdict = 'marginal') AS any_marginal,
+      arg_min(verdict, panel) = 'viable' AND arg_max(verdict, panel) = 'dead' AS degraded FROM v)""",
+    """SELECT panel, round(sharpe, 6) + 0.0 AS sharpe, verdict, global_verdict, degraded,
       CAST(CASE WHEN any_marginal THEN n_trials ELSE n_trials / 2 END AS BIGINT) AS attempts,
       round(CASE WHEN any_marginal THEN deflated END, 6) + 0.0 AS deflated,
       CASE WHEN any_marginal THEN deflated > 0.4 END AS promote FROM v, g, deflated""",

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quantspan.operators import exposure, seasonality
+from quantspan.operators import exposure, seasonality, trials
 
 
 def test_relative_verdict_reaches_every_branch(spark):
@@ -33,3 +33,13 @@ def test_weights_beyond_the_cap_are_reported(spark):
     assert exposure.exposure_violations(weights).count() == 1
     with pytest.raises(ValueError):
         exposure.validate_weights(weights)
+
+
+@pytest.mark.parametrize(
+    "first, last, overall, degraded",
+    [(0.5, 0.1, "viable", True), (0.1, 0.5, "viable", False), (0.1, 0.1, "dead", False), (0.3, 0.1, "marginal", False)],
+)
+def test_samples_together(spark, first, last, overall, degraded):
+    ratios = spark.createDataFrame([("A", first), ("B", last)], "panel string, sharpe double")
+    row = trials.global_verdict(trials.sample_verdict(ratios)).first()
+    assert (row.verdict, row.degraded, row.any_marginal) == (overall, degraded, overall == "marginal")
