@@ -1,5 +1,6 @@
 import re
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from quantspan.llm import line_windows
@@ -81,3 +82,13 @@ def test_a_window_that_a_third_of_all_documents_share(spark):
     got = {r.doc_id: r.text for r in line_windows.dedup(frame(spark, rows)).collect()}
     assert hot in got[0] and not any(hot in got[i] for i in range(3, 300, 3))
     assert got == brute(rows)
+
+
+def test_short_windows_go_in_the_pipeline(spark, monkeypatch):
+    menu, shout = "Home\nAbout\nContact\n", "WORD!! " * 60 + "In. Out. Up. Down. " * 10
+    rows = [(1, menu + prose(1)), (2, prose(2) + "\n" + menu), (3, prose(3) + ". " + shout), (4, prose(4) + ". " + shout), (5, "a.\nb.\nc.\nd.")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, frame(spark, rows), "").collect()}
+    assert got[1] == rows[0][1] and got[2] == prose(2) + "\n" and got[5] == rows[4][1]
+    monkeypatch.setattr(line_windows, "MIN_BYTES", 0)
+    assert got == brute(rows)
+    assert "WORD!!" not in got[4] and "In. Out. Up." not in got[4]
