@@ -3,9 +3,11 @@
 Texts become sets of five-word shingles; texts with the same set are one node, so copies cost
 one row each. A tree orders the nodes by a sequence of MinHash values, and the nodes below a
 prefix of that sequence are candidates of each other. Prefixes start at the greatest depth
-whose expected recall at the threshold reaches the target, and are shortened as long as the
-recall estimated from the links found (each link weighed by one over its chance to be found)
-stays below it. Candidates are verified exactly on their shingle sets.
+that is expected to lose at most `loss` of the pairs at the threshold. A link is late if no
+tree holds it one value deeper: links that are late here and links that are still missing stand
+in a known ratio at the threshold. While the loss that this ratio gives for the late links
+counted in the corpus is above `loss`, prefixes are shortened by one value. Candidates are
+verified exactly on their shingle sets.
 
 No pair is emitted. The members of a prefix go to tasks in blocks of bounded size; a large
 prefix becomes several blocks that meet two by two. A task counts each pair in the first tree
@@ -37,7 +39,8 @@ class Settings:
     similarity: float = 0.8
     trees: int = 24
     deepest: int = 12
-    recall: float = 0.985
+    recall: float = 0.985  # at the threshold, which any depth has at least
+    loss: float = 1e-4  # of pairs at the threshold: expected at the start, estimated at the end
     block: int = 256
     seed: int = 1
 
@@ -45,6 +48,16 @@ class Settings:
         """That two sets of this similarity share a prefix of this depth in some tree."""
         return 1 - (1 - similarity**depth) ** self.trees
 
+    def start(self) -> int:
+        """The deepest prefix that is expected to lose no more than `loss` at the threshold."""
+        least = max(self.recall, 1 - self.loss)
+        return max([d for d in range(1, self.deepest) if self.chance(self.similarity, d) >= least], default=1)
+
+    def missing(self, late: float, depth: int) -> float:
+        """Links expected to be missing at this depth where so many are late."""
+        here, deeper = (1 - self.chance(self.similarity, d) for d in (depth, depth + 1))
+        return late * here / (deeper - here)
+
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the different shingles of each text, by text and hash."""
@@ -78,8 +91,11 @@ def set_keys(doc: np.ndarray, h: np.ndarray, n: int) -> list[bytes | None]:
     return [raw[16 * i : 16 * i + 16] if has[i] else None for i in range(n)]
 
 
-def prefixes(doc: np.ndarray, h: np.ndarray, n: int, depth: int, s: Settings) -> np.ndarray:
-    """For each text and tree, a hash of the first `depth` MinHash values."""
+def prefixes(doc: np.ndarray, h: np.ndarray, n: int, depth: int, s: Settings, deeper: np.ndarray | None = None) -> np.ndarray:
+    """For each text and tree, a hash of the first `depth` MinHash values.
+
+    `deeper`, an array of bytes by text and tree, gets eight bits of the hash with one value more.
+    """
     rng = np.random.default_rng(s.seed)
     odd = rng.integers(1, 1 << 62, (s.trees, s.deepest), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.zeros((n, s.trees), np.uint64)
@@ -92,6 +108,8 @@ def prefixes(doc: np.ndarray, h: np.ndarray, n: int, depth: int, s: Settings) ->
         for k in range(depth):
             value = mix(value ^ np.minimum.reduceat(h * odd[t, k], first))
         out[there, t] = value
+        if deeper is not None:
+            deeper[there, t] = mix(value ^ np.minimum.reduceat(h * odd[t, depth], first)) >> np.uint64(56)
     return out
 
 
@@ -103,24 +121,26 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def signatures(rows: DataFrame, depth: int, s: Settings) -> DataFrame:
-    """-> (o, doc_id, sid, prefixes)"""
+    """-> (o, doc_id, sid, prefixes, deeper)"""
 
     def run(batches):
         for batch, texts in pieces(batches):
             doc, h = shingles(Words(texts), s.words)
-            p = prefixes(doc, h, len(texts), depth, s).view(np.int64)
+            deeper = np.zeros((len(texts), s.trees), np.uint8)
+            p = prefixes(doc, h, len(texts), depth, s, deeper).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array(set_keys(doc, h, len(texts)), pa.binary()),
                     pa.array(list(p), pa.list_(pa.int64())),
+                    pa.array([x.tobytes() for x in deeper], pa.binary()),
                 ],
-                ["o", "doc_id", "sid", "prefixes"],
+                ["o", "doc_id", "sid", "prefixes", "deeper"],
             )
 
     bounded(rows.sparkSession)
-    return rows.mapInArrow(run, "o bigint, doc_id bigint, sid binary, prefixes array<bigint>")
+    return rows.mapInArrow(run, "o bigint, doc_id bigint, sid binary, prefixes array<bigint>, deeper binary")
 
 
 def shingle_sets(rows: DataFrame, s: Settings) -> DataFrame:
@@ -145,7 +165,7 @@ def shingle_sets(rows: DataFrame, s: Settings) -> DataFrame:
 def candidates(nodes: DataFrame, s: Settings) -> DataFrame:
     """Members of every prefix with two nodes or more, cut into blocks.
 
-    -> (task, tree, side, sid, copies, prefixes). A task holds one block (side 0), or two
+    -> (task, tree, side, sid, copies, prefixes, deeper). A task holds one block (side 0), or two
     blocks (sides 0 and 1) that meet. Prefixes with the same members count in the first tree.
     """
     placed = nodes.select("sid", F.posexplode("prefixes").alias("tree", "prefix"))
@@ -169,13 +189,13 @@ def candidates(nodes: DataFrame, s: Settings) -> DataFrame:
             "sid",
         )
     )
-    return member.join(nodes.select("sid", "copies", "prefixes"), "sid")
+    return member.join(nodes.select("sid", "copies", "prefixes", "deeper"), "sid")
 
 
-def _verified(block: list, depth: int, s: Settings):
-    """Links of one task -> rows (sid, links, root, found, expected)"""
+def _verified(block: list, s: Settings):
+    """Links of one task -> rows (sid, links, root, found, late)"""
     tree, side = block[0][0], np.array([m[1] for m in block])
-    sets = [m[5] for m in block]
+    sets = [m[6] for m in block]
     size = np.array([len(x) for x in sets])
     copies = np.array([m[3] for m in block])
     prefix = np.stack([m[4] for m in block])
@@ -207,10 +227,13 @@ def _verified(block: list, depth: int, s: Settings):
     if not link.any():
         return []
     a, b = np.nonzero(link)
-    similarity = (common[a, b] / union[a, b]).astype(float)
     a, b = first[a], second[b]
+    deeper = np.stack([m[5] for m in block])
+    early = np.concatenate(
+        [((prefix[a[k : k + 4096]] == prefix[b[k : k + 4096]]) & (deeper[a[k : k + 4096]] == deeper[b[k : k + 4096]])).any(axis=1) for k in range(0, len(a), 4096)]
+    )
     links = np.bincount(a, weights=copies[b], minlength=len(sets)) + np.bincount(b, weights=copies[a], minlength=len(sets))
-    expected = np.bincount(a, weights=1 / s.chance(similarity, depth), minlength=len(sets))
+    late = np.bincount(a, weights=~early, minlength=len(sets))
     found = np.bincount(a, minlength=len(sets))
     place[:] = np.arange(len(sets))
     while True:
@@ -222,30 +245,30 @@ def _verified(block: list, depth: int, s: Settings):
             break
         place = low
     return [
-        (block[i][2], int(links[i]), block[place[i]][2], int(found[i]), float(expected[i]))
+        (block[i][2], int(links[i]), block[place[i]][2], int(found[i]), int(late[i]))
         for i in np.flatnonzero(links > 0)
     ]
 
 
-def verify(member: DataFrame, sets: DataFrame, depth: int, s: Settings) -> DataFrame:
-    """-> (sid, links, root, found, expected): per task, its nodes with links"""
+def verify(member: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """-> (sid, links, root, found, late): per task, its nodes with links"""
     dealt = member.join(sets, "sid").repartition("task").sortWithinPartitions("task", "sid")
 
     def run(batches):
         task, block = None, []
-        schema = pa.schema([("sid", pa.binary()), ("links", pa.int64()), ("root", pa.binary()), ("found", pa.int64()), ("expected", pa.float64())])
+        schema = pa.schema([("sid", pa.binary()), ("links", pa.int64()), ("root", pa.binary()), ("found", pa.int64()), ("late", pa.int64())])
 
         def done(out):
             if len(block) > 1:
-                out += _verified(block, depth, s)
+                out += _verified(block, s)
 
         for batch in batches:
             out = []
-            for r in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("task", "tree", "side", "sid", "copies", "prefixes", "shingles")]):
+            for r in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("task", "tree", "side", "sid", "copies", "prefixes", "deeper", "shingles")]):
                 if r[0] != task:
                     done(out)
                     task, block = r[0], []
-                block.append((*r[1:5], np.array(r[5], np.int64), np.frombuffer(r[6], np.uint64)))
+                block.append((*r[1:5], np.array(r[5], np.int64), np.frombuffer(r[6], np.uint8), np.frombuffer(r[7], np.uint64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
         out = []
@@ -253,7 +276,7 @@ def verify(member: DataFrame, sets: DataFrame, depth: int, s: Settings) -> DataF
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
-    return dealt.mapInArrow(run, "sid binary, links bigint, root binary, found bigint, expected double")
+    return dealt.mapInArrow(run, "sid binary, links bigint, root binary, found bigint, late bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,32 +300,36 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
-    """-> (o, doc_id, sid, class_id, n_links), one row per row of `docs`.
-
-    class_id is the smallest id of the class (o where a row has none), n_links the number of
-    other rows that are similar enough.
-    """
-    rows = _rows(docs, doc_id, text)
-    depth = max([d for d in range(1, s.deepest + 1) if s.chance(s.similarity, d) >= s.recall], default=1)
+def forest(rows: DataFrame, s: Settings) -> tuple[int, DataFrame, DataFrame, DataFrame]:
+    """The depth at the end; the signatures, nodes and links there."""
+    depth = s.start()
     while True:
         signed = materialize(signatures(rows, depth, s), "signatures")
         # One row per set: copies are counted, and one of them brings the prefixes.
         nodes = (
             signed.where("sid IS NOT NULL")
             .groupBy("sid")
-            .agg(F.min("o").alias("o"), F.count("*").alias("copies"), F.max("prefixes").alias("prefixes"))
+            .agg(F.min("o").alias("o"), F.count("*").alias("copies"), F.max("prefixes").alias("prefixes"), F.max("deeper").alias("deeper"))
         )
         nodes = materialize(nodes, "nodes")
         member = materialize(candidates(nodes, s), "members")
         wanted = member.select("sid").distinct().join(nodes.select("sid", "o"), "sid").select("o").distinct()
         texts = rows.select("o", "text").join(wanted, "o").groupBy("o", F.xxhash64("text").alias("k")).agg(F.min("text").alias("text"))
         sets = shingle_sets(texts.select("text"), s).groupBy("sid").agg(F.min("shingles").alias("shingles"))
-        links = materialize(verify(member, sets, depth, s), "links")
-        total = links.agg(F.sum("found").alias("found"), F.sum("expected").alias("expected")).first()
-        if depth == 1 or not total["found"] or total["found"] >= s.recall * total["expected"]:
-            break
+        links = materialize(verify(member, sets, s), "links")
+        total = links.agg(F.sum("found").alias("found"), F.sum("late").alias("late")).first()
+        if depth == 1 or not total["found"] or s.missing(total["late"], depth) <= s.loss * total["found"]:
+            return depth, signed, nodes, links
         depth -= 1
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
+    """-> (o, doc_id, sid, class_id, n_links), one row per row of `docs`.
+
+    class_id is the smallest id of the class (o where a row has none), n_links the number of
+    other rows that are similar enough.
+    """
+    _, signed, nodes, links = forest(_rows(docs, doc_id, text), s)
     root = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     linked = links.groupBy("sid").agg(F.sum("links").alias("links"))
     first = nodes.select("sid", "copies", F.col("o").alias("first"))

@@ -100,3 +100,24 @@ def test_odd_rows(spark):
     assert by[2, True].n_links == 0 and by[5, False].n_links == 0 and by[10, False].n_links == 1
     assert lsh_forest.join(none(spark)).count() == 0
     assert lsh_forest.one_of_each(none(spark)).count() == 0
+
+
+def lone_pairs(n, kept=93):
+    """Pairs whose only link is at 0.802: 89 of 111 shingles."""
+    rng, rows = random.Random(11), []
+    for i in range(n):
+        w = words(rng, 104)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:kept], *(f"{x}q{i}" for x in words(rng, 104 - kept))]))]
+    return rows
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    got = result(lsh_forest.join(frame(spark, lone_pairs(500))))
+    assert got == [(i, i - i % 2, 1) for i in range(1_000)]
+
+
+def test_late_links_shorten_the_prefixes(spark):
+    """One of 500 links near the threshold is found last, none of the closer ones."""
+    s = Settings()
+    depth = lambda rows: lsh_forest.forest(lsh_forest._rows(frame(spark, rows), "doc_id", "text"), s)[0]
+    assert s.start() == 5 and depth(lone_pairs(60, 103)) == 5 and depth(lone_pairs(500)) == 4
