@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantspan.llm import bit_planes, html_blocks, latent, line_windows, lsh_forest, merkle, nbsvm, pieces_bpe, repetition, secrets, toxicity
+from quantspan.llm import bit_planes, html_blocks, latent, line_windows, lsh_forest, merkle, nbsvm, norm_buckets, pieces_bpe, repetition, secrets, toxicity
 from quantspan.llm.samples import remainder
 from quantspan.session import materialize
 
@@ -188,3 +188,31 @@ SELECT anchor_id, positive_id,
 FROM positive JOIN scored USING (anchor_id)
 WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5"""
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return norm_buckets.search(docs, table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_lexical_search"] = rf"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{norm_buckets.UPPER}', '{norm_buckets.LOWER}'),
+    '{norm_buckets.TERM}')) AS term FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+sized AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sized),
+weighted AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{norm_buckets.UPPER}', '{norm_buckets.LOWER}'),
+    '{norm_buckets.TERM}')) AS term FROM benchmark WHERE text IS NOT NULL),
+scored AS (
+  SELECT item_id, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN weighted USING (term) JOIN tf USING (term) JOIN sized USING (doc_id), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50"""
