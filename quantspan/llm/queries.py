@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantspan.llm import bit_planes, html_blocks, latent, line_windows, lsh_forest, merkle, nbsvm, norm_buckets, pieces_bpe, repetition, secrets, toxicity
+from quantspan.llm import bit_planes, html_blocks, latent, line_windows, lm_scoring, lsh_forest, merkle, nbsvm, norm_buckets, pieces_bpe, repetition, secrets, toxicity
 from quantspan.llm.samples import remainder
 from quantspan.session import materialize
 
@@ -160,6 +160,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(pieces_bpe.encode(docs, piece_model()))
 
 
+@query
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_scoring.score(docs, remainder(F.col("id"), 10) != 0, piece_model())
+    held_out = (remainder(F.col("doc_id"), 10) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth vector as an anchor; the labels of every seventh are shifted by one first."""
