@@ -9,7 +9,7 @@ date with map-side partial aggregation, so nothing is ever as wide as the univer
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,21 +47,19 @@ def cost_lookup(df: DataFrame, costs: DataFrame | CostModel | None) -> DataFrame
     return df.withColumns({"rate": F.lit(model.rate), "swap": F.lit(model.swap)})
 
 
-def daily_breakdown(
+def active_days(
     prices: DataFrame,
     weights: DataFrame,
     costs: DataFrame | CostModel | None = None,
     by: tuple[str, ...] = ("panel",),
     calendar: DataFrame | None = None,
-    specs: DataFrame | None = None,
 ) -> DataFrame:
-    """Daily totals of a set of strategies.
+    """Daily totals of a set of strategies, for the days on which one holds or trades anything.
 
     `by` names the columns that identify a strategy; it includes `panel`, which says whose
-    prices it trades. `specs` lists the strategies where that is known without reading the
-    weights. Weights of instruments without any price in the panel are left out.
-    -> (*by, dt, gross, turnover, turnover_cost, held, swap_cost), one row per
-    frame date.
+    prices it trades. Weights of instruments without any price in the panel are left out. All
+    other frame dates are zeros, which `metrics.sparse_metrics` counts by their number.
+    -> (*by, dt, gross, turnover, turnover_cost, held, swap_cost)
     """
     by = list(by)
     calendar = frame_calendar(prices) if calendar is None else calendar
@@ -102,12 +100,30 @@ def daily_breakdown(
         leg(F.col("dt"), zero, traded, zero),
         leg(F.col("next_dt"), F.col("w") * F.coalesce("ret", zero), exited, size),
     )
-    totals = (
+    return (
         earned.select(*by, F.inline(legs))
         .where(F.col("dt").isNotNull())
         .groupBy(*by, "dt")
         .agg(*[F.sum(c).alias(c) for c in DAILY])
     )
+
+
+def daily_breakdown(
+    prices: DataFrame,
+    weights: DataFrame,
+    costs: DataFrame | CostModel | None = None,
+    by: tuple[str, ...] = ("panel",),
+    calendar: DataFrame | None = None,
+    specs: DataFrame | None = None,
+) -> DataFrame:
+    """`active_days` with a row per frame date, zeros where nothing is held or traded.
+
+    `specs` lists the strategies where that is known without reading the weights.
+    """
+    by = list(by)
+    calendar = frame_calendar(prices) if calendar is None else calendar
+    zero = F.lit(0.0)
+    totals = active_days(prices, weights, costs, tuple(by), calendar)
     days = calendar.select("panel", "dt")
     if by != ["panel"]:
         days = days.join(weights.select(*by).distinct() if specs is None else specs, "panel")
@@ -116,6 +132,10 @@ def daily_breakdown(
     )
 
 
+def net_of_costs() -> Column:
+    return F.col("gross") - F.col("turnover_cost") - F.col("swap_cost")
+
+
 def backtest(
     prices: DataFrame,
     weights: DataFrame,
@@ -126,5 +146,4 @@ def backtest(
 ) -> DataFrame:
     """Portfolio return per frame date, net of costs unless told otherwise -> (*by, dt, ret)"""
     daily = daily_breakdown(prices, weights, costs, by, calendar)
-    net = F.col("gross") - F.col("turnover_cost") - F.col("swap_cost")
-    return daily.select(*by, "dt", (net if apply_costs else F.col("gross")).alias("ret"))
+    return daily.select(*by, "dt", (net_of_costs() if apply_costs else F.col("gross")).alias("ret"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantspan.functions.scalars import first_passage_probability, ratio
+from quantspan.functions.scalars import ratio
 
 PASSED, FAILED, UNRESOLVED = "PASSED", "FAILED", "UNRESOLVED"
 
@@ -24,29 +24,59 @@ def outcome_of(gain_day: Column, loss_day: Column) -> Column:
     )
 
 
-def first_passage(
-    steps: DataFrame, path: list[str], target: float, daily_loss_limit: float, max_drawdown: float
-) -> DataFrame:
-    """Outcome and absorption day per path from steps(path, day, r, pnl).
+def _passages(steps: DataFrame, path: list[str], cases: list[tuple[dict[str, Column], Column, Column]]) -> DataFrame:
+    """Outcome and absorption day of every path under each case, from one aggregation.
 
-    The day is the path's length when no barrier is reached. -> (*path, outcome, day)
+    A case has its labels and the conditions of a gain and of a loss.
+    -> (*path, *labels, outcome, day), the day being the path's length when no barrier is reached
     """
-    lost = (F.col("r") <= -daily_loss_limit) | (F.col("pnl") <= -max_drawdown)
+    days, rows = [], []
+    for i, (labels, gained, lost) in enumerate(cases):
+        days += [
+            F.min(F.when(gained, F.col("day"))).alias(f"gain_{i}"),
+            F.min(F.when(lost, F.col("day"))).alias(f"loss_{i}"),
+        ]
+        own = [value.alias(name) for name, value in labels.items()]
+        rows.append(F.struct(*own, F.col(f"gain_{i}").alias("gain_day"), F.col(f"loss_{i}").alias("loss_day")))
     return (
         steps.groupBy(*path)
-        .agg(
-            F.min(F.when(F.col("pnl") >= target, F.col("day"))).alias("gain_day"),
-            F.min(F.when(lost, F.col("day"))).alias("loss_day"),
-            F.max("day").alias("horizon"),
-        )
+        .agg(*days, F.max("day").alias("horizon"))
+        .select(*path, "horizon", F.inline(F.array(*rows)))
         .select(
             *path,
+            *cases[0][0],
             outcome_of(F.col("gain_day"), F.col("loss_day")).alias("outcome"),
             F.coalesce(F.least("gain_day", "loss_day"), F.col("horizon")).alias("day"),
         )
     )
 
 
+def _lost(daily_loss_limit: float, max_drawdown: float, k: float = 1.0) -> Column:
+    return (F.col("r") <= -daily_loss_limit / k) | (F.col("pnl") <= -max_drawdown / k)
+
+
+def first_passage(
+    steps: DataFrame, path: list[str], target: float, daily_loss_limit: float, max_drawdown: float
+) -> DataFrame:
+    """Outcome and absorption day per path from steps(path, day, r, pnl).
+
+    The day is the path's length when no barrier is reached. -> (*path, outcome, day)
+    """
+    return _passages(steps, path, [({}, F.col("pnl") >= target, _lost(daily_loss_limit, max_drawdown))])
+
+
+def first_passage_phases(
+    steps: DataFrame, path: list[str], targets: dict[int, float], daily_loss_limit: float, max_drawdown: float
+) -> DataFrame:
+    """`first_passage` of the same histories under each phase's target, from one pass.
+
+    -> (*path, phase, outcome, day)
+    """
+    lost = _lost(daily_loss_limit, max_drawdown)
+    cases = [({"phase": F.lit(phase)}, F.col("pnl") >= target, lost) for phase, target in targets.items()]
+    return _passages(steps, path, cases)
+
+
 def first_passage_grid(
     steps: DataFrame,
     path: list[str],
@@ -60,32 +90,11 @@ def first_passage_grid(
 
     -> (*path, k, outcome, day)
     """
-    days = []
-    for i, k in enumerate(leverages):
-        lost = (F.col("r") <= -daily_loss_limit / k) | (F.col("pnl") <= -max_drawdown / k)
-        days += [
-            F.min(F.when(F.col("pnl") >= target / k, F.col("day"))).alias(f"gain_{i}"),
-            F.min(F.when(lost, F.col("day"))).alias(f"loss_{i}"),
-        ]
-    rows = [
-        F.struct(
-            F.lit(float(k)).alias("k"),
-            F.col(f"gain_{i}").alias("gain_day"),
-            F.col(f"loss_{i}").alias("loss_day"),
-        )
-        for i, k in enumerate(leverages)
+    cases = [
+        ({"k": F.lit(float(k))}, F.col("pnl") >= target / k, _lost(daily_loss_limit, max_drawdown, k))
+        for k in leverages
     ]
-    return (
-        steps.groupBy(*path)
-        .agg(*days, F.max("day").alias("horizon"))
-        .select(*path, "horizon", F.inline(F.array(*rows)))
-        .select(
-            *path,
-            "k",
-            outcome_of(F.col("gain_day"), F.col("loss_day")).alias("outcome"),
-            F.coalesce(F.least("gain_day", "loss_day"), F.col("horizon")).alias("day"),
-        )
-    )
+    return _passages(steps, path, cases)
 
 
 def phase_stats(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -138,15 +147,3 @@ def funded_survival(windows: DataFrame, interval: int, by: list[str] | None = No
         .groupBy(*(by or []))
         .agg(F.avg(F.col("survived").cast("double")).alias("p_survive"))
     )
-
-
-def closed_form_check(returns: DataFrame, loss: float, gain: float, by: list[str]) -> DataFrame:
-    """Analytic pass probability from the sample's own moments -> (*by, mu, sigma, p_closed)"""
-    return (
-        returns.groupBy(*by)
-        .agg(F.avg("ret").alias("mu"), F.stddev_pop("ret").alias("sigma"))
-        .withColumn(
-            "p_closed",
-            first_passage_probability(F.col("mu"), F.col("sigma"), F.lit(loss), F.lit(gain)),
-        )
-    )

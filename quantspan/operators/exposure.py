@@ -7,12 +7,13 @@ task. The grouped side has one row per (panel, date).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantspan.config import EXPOSURE_TOLERANCE, MAX_GROSS
 from quantspan.functions.scalars import ratio
+from quantspan.operators import scans
 from quantspan.operators.align import own_days
 
 
@@ -76,7 +77,10 @@ def live_start(weights: DataFrame, eval_start: str) -> DataFrame:
     )
 
 
-def ffill(series: DataFrame, value: str, by: list[str], order: str = "dt") -> DataFrame:
-    """Last non-NULL value up to each row."""
-    upto = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return series.withColumn(value, F.last(value, ignorenulls=True).over(upto))
+def ffill(series: DataFrame, value: str, by: list[str], order: str = "dt", chunk: Column | None = None) -> DataFrame:
+    """Last non-NULL value up to each row.
+
+    `chunk` grows with `order`, which is a date or a row number where no chunk is given.
+    """
+    chunk = scans.chunk_of(series, order) if chunk is None else chunk
+    return scans.running(series, by, [order], chunk, **{value: scans.Running("last", value)}).select(*series.columns)

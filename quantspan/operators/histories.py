@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantspan.operators import scans
+
 
 def hour_of(ts: Column) -> Column:
     """Hours since 1970, by the clock reading."""
@@ -19,50 +21,16 @@ def minute_of(ts: Column) -> Column:
 
 
 def running_pnl(
-    events: DataFrame,
-    path: list[str],
-    order: list[str],
-    chunk: Column,
-    value: str = "r",
+    events: DataFrame, path: list[str], order: list[str], chunk: Column | None = None, value: str = "r"
 ) -> DataFrame:
     """Number the rows of each path and accumulate `value` -> adds (day, pnl).
 
-    A window over a whole path would put a dominant path into one task. Paths are therefore
-    cut by `chunk`, an integer that grows with `order`: the window runs per (path, chunk),
-    the chunks' counts and sums come from a map-side aggregation, and a second window over
-    those few rows gives every chunk what came before it. The cut does not depend on how
-    many rows there are, so neither do the sums.
+    Paths are cut by `chunk`, which grows with `order`; without it `events` come from
+    `scans.ranged`, which also cuts a path whose rows share one hour.
     """
-    rows = events.withColumn("chunk", chunk.cast("bigint"))
-    inside = W.partitionBy(*path, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    local = rows.withColumns(
-        {
-            "day": F.row_number().over(inside).cast("bigint"),
-            "pnl": F.sum(value).over(inside),
-        }
-    )
-    before = W.partitionBy(*path).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    earlier = (
-        rows.groupBy(*path, "chunk")
-        .agg(F.count("*").alias("n"), F.sum(value).alias("total"))
-        .select(
-            *path,
-            "chunk",
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("days_before"),
-            F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("pnl_before"),
-        )
-        .where(F.col("days_before") > 0)
-    )
-    return (
-        local.join(earlier, [*path, "chunk"], "left")
-        .withColumns(
-            {
-                "day": F.col("day") + F.coalesce("days_before", F.lit(0)),
-                "pnl": F.coalesce("pnl", F.lit(0.0)) + F.coalesce("pnl_before", F.lit(0.0)),
-            }
-        )
-        .drop("chunk", "days_before", "pnl_before")
-    )
+    totals = {"day": scans.Running("count", F.lit(1)), "pnl": scans.Running("sum", value)}
+    found = scans.running(events, path, order, chunk, **totals)
+    return found.withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
 
 
 def centred_returns(events: DataFrame, path: list[str], value: str, scale: float) -> DataFrame:
@@ -74,14 +42,14 @@ def centred_returns(events: DataFrame, path: list[str], value: str, scale: float
 
 
 def centred_pnl(
-    events: DataFrame, path: list[str], order: list[str], chunk: Column, value: str, scale: float
+    events: DataFrame, path: list[str], order: list[str], chunk: Column | None, value: str, scale: float
 ) -> DataFrame:
     """`running_pnl` of `centred_returns`, from one aggregate and one more scan.
 
     The counts and sums of a path's chunks give its mean as well as what came before each
-    chunk. -> adds (r, day, pnl)
+    chunk. Without `chunk`, `events` come from `scans.ranged`. -> adds (r, day, pnl)
     """
-    rows = events.withColumn("chunk", chunk.cast("bigint"))
+    rows = events if chunk is None else events.withColumn("chunk", chunk.cast("bigint"))
     whole = W.partitionBy(*path)
     before = whole.orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     zero = F.lit(0.0)
@@ -96,6 +64,8 @@ def centred_pnl(
             F.coalesce(F.sum("n_values").over(before), F.lit(0)).alias("values_before"),
             F.coalesce(F.sum("total").over(before), zero).alias("total_before"),
         )
+        # Laid out like the rows, so that not the rows move to where their whole path is.
+        .repartition(*path, "chunk")
     )
     inside = W.partitionBy(*path, "chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     pnl_before = (F.col("total_before") - F.col("mean_value") * F.col("values_before")) / scale

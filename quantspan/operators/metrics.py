@@ -1,7 +1,7 @@
 """Performance of return series (*by, dt, ret).
 
-A series has one row per day, so a window over one series is bounded by the calendar;
-work spreads over the number of series.
+Running values (equity, peaks, the row before) go through chunks of a quarter (`scans`), so one
+long series is spread over tasks too; the rest are aggregates.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quantspan.config import DAYS_PER_YEAR, SharpeReference
 from quantspan.functions.scalars import bucket_label, finite, ratio
+from quantspan.operators import scans
 from quantspan.operators.returns import observed_bars_per_year
 
 PANEL = ("panel",)
@@ -40,11 +41,14 @@ def sharpe(returns: DataFrame, by=PANEL, periods_per_year: float | None = None)
     return returns.groupBy(*by).agg(sharpe_of(periods_per_year=periods_per_year).alias("sharpe"))
 
 
+def _compounded(returns: DataFrame, by, order: str = "dt") -> DataFrame:
+    growth = F.lit(1.0) + F.coalesce("ret", F.lit(0.0))
+    return scans.compounded(returns, list(by), [order], growth, scans.chunk_of(returns, order))
+
+
 def equity_curve(returns: DataFrame, by=PANEL) -> DataFrame:
     """Compounded value of 1.0; a missing return counts as 0 -> adds equity."""
-    upto = W.partitionBy(*by).orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
-    growth = F.lit(1.0) + F.coalesce("ret", F.lit(0.0))
-    return returns.withColumn("equity", F.product(growth).over(upto))
+    return _compounded(returns, by).drop("peak")
 
 
 def drawdown(returns: DataFrame, by=PANEL) -> DataFrame:
@@ -52,9 +56,8 @@ def drawdown(returns: DataFrame, by=PANEL) -> DataFrame:
 
     The first peak is the first equity value, not the initial 1.0.
     """
-    upto = W.partitionBy(*by).orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
-    peak = F.max("equity").over(upto)
-    return equity_curve(returns, by).withColumn("drawdown", ratio(F.col("equity"), peak) - 1.0)
+    found = _compounded(returns, by)
+    return found.withColumn("drawdown", ratio(F.col("equity"), F.col("peak")) - 1.0).drop("peak")
 
 
 def metrics(returns: DataFrame, by=PANEL) -> DataFrame:
@@ -75,15 +78,82 @@ def metrics(returns: DataFrame, by=PANEL) -> DataFrame:
     )
 
 
+def frame_lengths(calendar: DataFrame) -> DataFrame:
+    """What a sparse series leaves out -> (panel, n_frame, first_dt, last_dt)"""
+    return calendar.groupBy("panel").agg(
+        F.count("*").alias("n_frame"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt")
+    )
+
+
+def _whole_moments() -> dict[str, Column]:
+    """Moments of a whole frame from those of its active days (n_active, mean_active, var_active)."""
+    n, some = F.col("n_frame"), F.coalesce("n_active", F.lit(0))
+    mean = F.coalesce("mean_active", F.lit(0.0)) * some / n
+    apart = F.coalesce("mean_active", F.lit(0.0)) - mean
+    var = (some * (F.coalesce("var_active", F.lit(0.0)) + apart * apart) + (n - some) * mean * mean) / n
+    per_year = observed_bars_per_year(n, F.col("first_dt"), F.col("last_dt"))
+    deviation = F.sqrt(var)
+    sharpe_ = F.coalesce(F.sqrt(per_year) * mean / F.when(deviation > 0, deviation), F.lit(0.0))
+    return {"sharpe": sharpe_, "mean_daily": mean, "std_daily": deviation}
+
+
+def _active_moments() -> list[Column]:
+    return [F.count("ret").alias("n_active"), F.avg("ret").alias("mean_active"), F.var_pop("ret").alias("var_active")]
+
+
+def sparse_sharpe(active: DataFrame, strategies: DataFrame, by=PANEL) -> DataFrame:
+    """`sharpe` of series whose missing dates are returns of zero, counted by their number.
+
+    active(*by, dt, ret) has the dates on which a strategy earns or pays anything; strategies
+    (*by, n_frame, first_dt, last_dt) are all of them with their frames. -> (*by, sharpe)
+    """
+    by = list(by)
+    moments = active.groupBy(*by).agg(*_active_moments())
+    return strategies.join(moments, by, "left").select(*by, _whole_moments()["sharpe"].alias("sharpe"))
+
+
+def sparse_metrics(active: DataFrame, strategies: DataFrame, by=PANEL) -> DataFrame:
+    """`metrics` of series whose missing dates are returns of zero, see `sparse_sharpe`.
+
+    The equity stands still on those dates. They add to its peak only before the first active
+    one: there it is the initial 1.0.
+    """
+    by = list(by)
+    level = F.col("equity")
+    found = (
+        _compounded(active, by)
+        .groupBy(*by)
+        .agg(
+            *_active_moments(),
+            F.min("dt").alias("start"),
+            F.min(ratio(level, F.col("peak")) - 1.0).alias("from_peak"),
+            F.min(ratio(level, F.greatest("peak", F.lit(1.0))) - 1.0).alias("from_one"),
+            F.max_by("equity", "dt").alias("final"),
+        )
+    )
+    worst = F.when(F.col("start") > F.col("first_dt"), F.col("from_one")).otherwise(F.col("from_peak"))
+    final = F.coalesce("final", F.lit(1.0))
+    moments = _whole_moments()
+    return strategies.join(found, by, "left").select(
+        *by,
+        F.col("n_frame").alias("n_obs"),
+        moments["sharpe"].alias("sharpe"),
+        F.coalesce(worst, F.lit(0.0)).alias("max_drawdown"),
+        (final - 1.0).alias("total_return"),
+        moments["mean_daily"].alias("mean_daily"),
+        moments["std_daily"].alias("std_daily"),
+        final.alias("final_equity"),
+    )
+
+
 def sampled_equity(returns: DataFrame, by=PANEL, points: int = 20) -> DataFrame:
     """Every n-th row of the equity curve, n = rows // points and at least 1."""
-    series = W.partitionBy(*by)
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(series) / points))
+    by = list(by)
+    steps = returns.groupBy(*by).agg(F.greatest(F.lit(1), F.floor(F.count("*") / points)).alias("step"))
+    numbered = scans.running(equity_curve(returns, by), by, ["dt"], scans.quarter_of(F.col("dt")), i=scans.Running("count", F.lit(1)))
     return (
-        equity_curve(returns, by)
-        .withColumn("i", F.row_number().over(series.orderBy("dt")) - 1)
-        .withColumn("step", step)
-        .where(F.col("i") % F.col("step") == 0)
+        numbered.join(steps, by)
+        .where((F.col("i") - 1) % F.col("step") == 0)
         .select(*by, "dt", "equity")
     )
 
@@ -177,13 +247,15 @@ def reference_sharpe_check(
     )
 
 
-def squared_autocorrelation(returns: DataFrame, by=PANEL, order: str = "dt") -> DataFrame:
-    """Lag-one autocorrelation of centred squared returns: a volatility-clustering gauge."""
-    series = W.partitionBy(*by)
-    centred = returns.withColumn("sq", F.col("ret") * F.col("ret")).withColumn(
-        "sq", F.col("sq") - F.avg("sq").over(series)
-    )
-    paired = centred.withColumn("before", F.lag("sq").over(series.orderBy(order)))
-    return paired.groupBy(*by).agg(
-        ratio(F.sum(F.col("sq") * F.col("before")), F.sum(F.col("sq") * F.col("sq"))).alias("acf")
-    )
+def squared_autocorrelation(returns: DataFrame, by=PANEL, order: str = "dt", chunk: Column | None = None) -> DataFrame:
+    """Lag-one autocorrelation of centred squared returns: a volatility-clustering gauge.
+
+    `chunk` grows with `order`, which is a date or a row number where no chunk is given.
+    """
+    by = list(by)
+    squares = returns.select(*by, order, (F.col("ret") * F.col("ret")).alias("sq"))
+    chunk = scans.chunk_of(returns, order) if chunk is None else chunk
+    paired = scans.lagged(squares, by, [order], "sq", "before", chunk)
+    means = squares.groupBy(*by).agg(F.avg("sq").alias("mean_sq"))
+    own, before = F.col("sq") - F.col("mean_sq"), F.col("before") - F.col("mean_sq")
+    return paired.join(means, by).groupBy(*by).agg(ratio(F.sum(own * before), F.sum(own * own)).alias("acf"))

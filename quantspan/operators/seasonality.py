@@ -117,26 +117,42 @@ def mean_contrast(
     )
 
 
-def random_days(
-    days: DataFrame, n_resamples: int = 1000, per_month: int = 4, seed: int = 12345
-) -> DataFrame:
-    """Mark `per_month` dates of each month at random, in every resample.
+def random_subset(n: Column, k: int, *parts: Column) -> Column:
+    """`k` different integers of [0, n), all of them where n is smaller -> ARRAY<BIGINT>
+
+    Floyd's selection: the i-th step draws from one integer more than the step before, and takes
+    the new one where the draw is already chosen. Every subset is equally likely, and the work
+    is k draws however large n is. Draws depend on `parts` and the step only.
+    """
+
+    def add(chosen: Column, j: Column) -> Column:
+        drawn = hashed_draw(j + 1, *parts, j)
+        return F.array_append(chosen, F.when(F.array_contains(chosen, drawn), j).otherwise(drawn))
 
-    days(panel, dt, ...) holds one row per frame date, best as a table on disk. Resamples
-    are laid out as bare ids and take the days in afterwards, so the many rows are never
-    shuffled and later windows over (panel, resample) find them in place.
-    -> adds (resample, chosen), a row per date and resample
+    steps = F.sequence(F.greatest(n - k, F.lit(0)), n - 1).cast("array<bigint>")
+    return F.aggregate(steps, F.array().cast("array<bigint>"), add)
+
+
+def random_days(days: DataFrame, n_resamples: int = 1000, per_month: int = 4, seed: int = 12345) -> DataFrame:
+    """`per_month` dates of each month at random, in every resample -> (panel, resample, pos)
+
+    days(panel, dt, pos) holds one row per frame date, `pos` counting them from 0. A month is
+    its first position and its length; only chosen days become rows. Resamples are laid out as
+    bare ids and take the months in afterwards, so later windows over (panel, resample) find
+    their rows in place.
     """
-    order = W.partitionBy("panel", "resample", F.trunc("dt", "MM")).orderBy("draw", "dt")
-    draw = hashed_draw(F.lit(1 << 32), F.lit(seed), F.col("resample"), F.col("dt"))
+    months = materialize(
+        days.groupBy("panel", F.trunc("dt", "MM").alias("month")).agg(F.count("*").alias("n"), F.min("pos").alias("first")),
+        "months",
+    )
     resamples = F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))
-    seeds = days.select("panel").distinct().withColumn("resample", resamples)
+    seeds = months.select("panel").distinct().withColumn("resample", resamples)
+    chosen = random_subset(F.col("n"), per_month, F.lit(seed), F.col("resample"), F.col("month"))
     return (
         seeds.repartition(task_count(days), "panel", "resample")
-        .join(join_side(days), "panel")
-        .withColumn("draw", draw)
-        .withColumn("chosen", F.row_number().over(order) <= per_month)
-        .drop("draw")
+        .join(join_side(months), "panel")
+        .select("panel", "resample", "first", F.explode(chosen).alias("i"))
+        .select("panel", "resample", (F.col("first") + F.col("i")).alias("pos"))
     )
 
 

@@ -384,14 +384,11 @@ def holdout_filter(spark, sf):
 @query
 def phase_rules(spark, sf):
     """The same histories under both phases' targets."""
-    steps = panels.user_steps(spark, sf)
-    outcomes = None
-    for phase, target in ((1, RULES.phase1_target), (2, RULES.phase2_target)):
-        found = barrier.first_passage(
-            steps, ["user_id"], target, RULES.daily_loss_limit, RULES.max_drawdown
-        ).withColumn("phase", F.lit(phase))
-        outcomes = found if outcomes is None else outcomes.unionByName(found)
-    return outcomes.groupBy("phase", "outcome").agg(F.count("*").alias("n"))
+    targets = {1: RULES.phase1_target, 2: RULES.phase2_target}
+    found = barrier.first_passage_phases(
+        panels.user_steps(spark, sf), ["user_id"], targets, RULES.daily_loss_limit, RULES.max_drawdown
+    )
+    return found.groupBy("phase", "outcome").agg(F.count("*").alias("n"))
 
 
 def _samples(spark, sf) -> DataFrame:
@@ -839,7 +836,8 @@ def tsmom_fixed_year(spark, sf):
 def tsmom_backtest(spark, sf):
     prices, calendar = stored(brand(spark, sf))
     weights = signals.tsmom(prices, calendar=calendar)
-    return rounded(metrics.metrics(bt.backtest(prices, weights, calendar=calendar)))
+    active = bt.active_days(prices, weights, calendar=calendar).select("panel", "dt", bt.net_of_costs().alias("ret"))
+    return rounded(metrics.sparse_metrics(active, metrics.frame_lengths(calendar)))
 
 
 @query

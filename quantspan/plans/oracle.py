@@ -344,10 +344,20 @@ def random_portfolios(n: int) -> tuple[str, ...]:
   LEFT JOIN ownvol v ON v.instrument = f.instrument AND v.dt = f.dt)""",
         """nrel AS (
   SELECT *, coalesce(raw / nullif(sum(raw) OVER (PARTITION BY dt), 0), 0) AS rel FROM nraw)""",
-        f"""chosen AS (
-  SELECT path, dt FROM cal, range({n}) p(path)
-  QUALIFY row_number() OVER (PARTITION BY path, date_trunc('month', dt) ORDER BY
-    ('0x' || substr(md5(concat_ws('|', 12345, path, strftime(dt, '%Y-%m-%d'))), 1, 8))::BIGINT, dt) <= 4)""",
+        """months AS (
+  SELECT date_trunc('month', dt)::DATE AS month, count(*) AS n, min(pos) AS first FROM cal GROUP BY 1)""",
+        f"""stepped AS (
+  SELECT path, month, n, first, n - 4 + i AS j, i,
+    ('0x' || substr(md5(concat_ws('|', 12345, path, strftime(month, '%Y-%m-%d'), n - 4 + i)), 1, 8))::BIGINT % (n - 3 + i) AS t
+  FROM months, range({n}) p(path), range(4) s(i) WHERE n - 4 + i >= 0)""",
+        """quartet AS (
+  SELECT path, month, first, max(CASE i WHEN 0 THEN t END) AS t0, max(CASE i WHEN 1 THEN t END) AS t1,
+    max(CASE i WHEN 2 THEN t END) AS t2, max(CASE i WHEN 3 THEN t END) AS t3, max(n) AS n FROM stepped GROUP BY 1, 2, 3)""",
+        "d1 AS (SELECT *, CASE WHEN t1 = t0 THEN n - 3 ELSE t1 END AS c1 FROM quartet)",
+        "d2 AS (SELECT *, CASE WHEN t2 = t0 OR t2 = c1 THEN n - 2 ELSE t2 END AS c2 FROM d1)",
+        "d3 AS (SELECT *, CASE WHEN t3 = t0 OR t3 = c1 OR t3 = c2 THEN n - 1 ELSE t3 END AS c3 FROM d2)",
+        """chosen AS (
+  SELECT path, dt FROM (SELECT path, first + unnest([t0, c1, c2, c3]) AS pos FROM d3) JOIN cal USING (pos))""",
         f"""ncell AS (
   SELECT path, r.instrument, r.dt, CASE WHEN c.dt IS NULL THEN 0 ELSE r.rel END AS rel
   FROM nrel r CROSS JOIN range({n}) p(path) LEFT JOIN chosen c USING (path, dt))""",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.operators.histories import centred_pnl, hour_of
+from quantspan.operators.histories import centred_pnl
+from quantspan.operators.scans import ranged
 
 # Lifts the averaged amounts to an index level with daily moves of a few percent.
 PRIORITY_LEVEL = 5_000_000.0
@@ -97,8 +98,11 @@ def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's events as a history of gains and losses -> (user_id, ts, day, r, pnl)"""
-    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    return centred_pnl(
-        events, ["user_id"], ["ts", "event_id"], hour_of(F.col("ts")), "value", PNL_SCALE
-    ).select("user_id", "ts", "day", "r", "pnl")
+    """Each user's events as a history of gains and losses -> (user_id, ts, day, r, pnl)
+
+    Cut by user, time and id, so that neither a user nor one hour of a user is a single task.
+    """
+    path, order = ["user_id"], ["ts", "event_id"]
+    events = table(spark, sf_dir, "events").select(*path, *order, "value")
+    steps = centred_pnl(ranged(events, path, order, "events"), path, order, None, "value", PNL_SCALE)
+    return steps.select("user_id", "ts", "day", "r", "pnl")

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from quantspan.config import MAX_GROSS, CostModel
 from quantspan.functions.scalars import ratio
 from quantspan.operators import metrics as M
-from quantspan.operators.backtest import daily_breakdown
+from quantspan.operators.backtest import active_days, daily_breakdown, net_of_costs
 from quantspan.operators.calendars import frame_calendar
 from quantspan.operators.returns import observed_bars_per_year, own_volatility
 from quantspan.operators.seasonality import random_days, tom_flag
 from quantspan.plans.signals import capped_scalar, daily_scale, inverse_vol, scaled_weights
-from quantspan.session import materialize
+from quantspan.session import join_side, materialize
 
 VARIANT = ["panel", "after"]
 
@@ -54,9 +54,8 @@ def tom_returns(
         "after", F.explode(F.array(*[F.lit(int(a)) for a in afters]))
     )
     weights = tom_weights(prices, afters, **sizing)
-    net = F.col("gross") - F.col("turnover_cost") - F.col("swap_cost")
     daily = daily_breakdown(prices, weights, costs, tuple(VARIANT), calendar, specs)
-    return daily.select(*VARIANT, "dt", net.alias("ret"))
+    return daily.select(*VARIANT, "dt", net_of_costs().alias("ret"))
 
 
 def null_benchmark(
@@ -95,12 +94,18 @@ def null_benchmark(
     recent = series.rangeBetween(-vol_window, -1)
     total, squares = F.sum("earned").over(recent), F.sum(F.col("earned") * F.col("earned")).over(recent)
     variance = (squares - total * total / vol_window) / (vol_window - 1)
+    # A chosen day earns on the next; days that are both chosen and earned on are one row.
+    marks = F.array(
+        F.struct(F.col("pos").alias("pos"), F.lit(True).alias("chosen")),
+        F.struct((F.col("pos") + 1).alias("pos"), F.lit(False).alias("chosen")),
+    )
     scale = materialize(
         random_days(days, n_resamples, per_month, seed)
-        .withColumn(
-            "earned", F.when(F.lag("chosen").over(series), F.col("port_ret")).otherwise(0.0)
-        )
-        .where(F.col("chosen") | (F.col("earned") != 0))
+        .select(*by, F.inline(marks))
+        .groupBy(*by, "pos")
+        .agg(F.bool_or("chosen").alias("chosen"), F.bool_or(~F.col("chosen")).alias("earns"))
+        .join(join_side(days), ["panel", "pos"])
+        .withColumn("earned", F.when(F.col("earns"), F.col("port_ret")).otherwise(0.0))
         .withColumn("variance", variance)
         .where(F.col("chosen") & (F.col("variance") > 0) & (F.col("pos") >= vol_window))
         .withColumn("scalar", vol_target / F.sqrt(F.col("variance") * F.col("per_year")))
@@ -114,9 +119,7 @@ def null_benchmark(
         .join(scale, ["panel", "dt"])
         .select(*by, "instrument", "dt", (F.col("raw") * F.col("scale")).alias("w"))
     )
-    specs = calendar.select("panel").distinct().withColumn(
-        "resample", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))
-    )
-    net = F.col("gross") - F.col("turnover_cost") - F.col("swap_cost")
-    daily = daily_breakdown(prices, weights, costs, tuple(by), calendar, specs)
-    return M.sharpe(daily.select(*by, "dt", net.alias("ret")), tuple(by))
+    resamples = F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1)))
+    strategies = M.frame_lengths(calendar).withColumn("resample", resamples)
+    active = active_days(prices, weights, costs, tuple(by), calendar).select(*by, "dt", net_of_costs().alias("ret"))
+    return M.sparse_sharpe(active, strategies, tuple(by))

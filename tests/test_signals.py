@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 import pytest
 from conftest import business_days, to_prices, walk, wide
 
@@ -180,12 +181,23 @@ def test_random_days_are_four_a_month_and_repeatable(spark):
 
     calendar = frame_calendar(to_prices(spark, pd.DataFrame({"A": walk(200, 1)}, index=business_days("2018-01-01", 200))))
     drawn = seasonality.random_days(calendar, 5)
-    picked = drawn.where("chosen").toPandas()
-    counts = picked.groupby(["resample", picked.dt.map(lambda d: (d.year, d.month))]).size()
-    assert (counts == 4).all()
-    again = seasonality.random_days(calendar.repartition(7), 5).where("chosen").toPandas()
-    key = ["resample", "dt"]
-    assert set(map(tuple, picked[key].values)) == set(map(tuple, again[key].values))
+    dated = drawn.join(calendar, ["panel", "pos"]).toPandas()
+    counts = dated.groupby(["resample", dated.dt.map(lambda d: (d.year, d.month))]).size()
+    assert (counts == 4).all() and not dated.duplicated(["resample", "dt"]).any()
+    again = seasonality.random_days(calendar.repartition(7), 5).toPandas()
+    key = ["resample", "pos"]
+    assert set(map(tuple, dated[key].values)) == set(map(tuple, again[key].values))
+
+
+def test_random_subsets_are_subsets_and_all_alike_likely(spark):
+    from collections import Counter
+
+    rows = spark.range(6000).select(
+        *[seasonality.random_subset(F.lit(n), k, F.lit(7), F.col("id")).alias(f"s{n}_{k}") for n, k in ((5, 2), (3, 4), (1, 4))]
+    ).collect()
+    pairs = Counter(tuple(sorted(r.s5_2)) for r in rows)
+    assert len(pairs) == 10 and all(480 < c < 720 for c in pairs.values())
+    assert all(sorted(r.s3_4) == [0, 1, 2] and r.s1_4 == [0] for r in rows)
 
 
 def test_null_benchmark_is_repeatable(spark):
