@@ -1,25 +1,35 @@
 """Raw price dumps: one delimited file per instrument, header names vary by vendor.
 
-Files are scanned as all-string CSV on the executors. Only headers reach the driver: the
-distinct layouts decide which column is the date and which the close.
+The dumps are read once, as numbered lines; what follows reads those. A file's first line is its
+header, and files that share one share a layout. Only the distinct layouts reach the driver,
+where they decide which column is the date and which the close; a file learns its layout by a
+join, and its lines are taken apart by that layout's `from_csv`, all layouts in one pass.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantspan.config import CLOSE_HEADERS, DATE_HEADERS, PRICE_HEADERS
 from quantspan.functions.scalars import finite
+from quantspan.session import materialize
 
 RAW_GLOB = "*.{[cC][sS][vV],[tT][xX][tT]}"
 # Cells without a value, in any case.
 MISSING = ("", "nan", "nat", "na", "n/a", "#n/a", "<na>", "null", "none")
 EPOCH_MILLIS_ABOVE = 1e11
 # Tried in this order after the ISO forms a plain cast understands.
-DATE_PATTERNS = ("dd.MM.yyyy HH:mm:ss.SSS", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy", "MM/dd/yyyy", "yyyyMMdd HHmmss")
+DATE_PATTERNS = (
+    "dd.MM.yyyy HH:mm:ss.SSS", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "d.M.yyyy", "M/d/yyyy", "yyyyMMdd HHmmss",
+    "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "d/M/yyyy", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm",
+    "yyyy/M/d", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy.M.d", "yyyy.M.d H:mm:ss", "yyyy.M.d H:mm", "d-M-yyyy",
+    "d-MMM-yyyy", "d-MMM-yy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy",
+)
 
 
 def instrument_of(path: Column) -> Column:
@@ -44,29 +54,58 @@ def raw_files(spark: SparkSession, folder: str) -> DataFrame:
     return listing.select("path", instrument_of(F.col("path")).alias("instrument")).orderBy("path")
 
 
-def layouts(spark: SparkSession, folder: str) -> dict[str, list[str]]:
-    """Header line -> files that have it.
+def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of every dump, read once and stored -> (path, ord, value), empty lines left out
 
-    The header is the first line of a file's first block; lines of a block keep their order
-    within a task, so the smallest id of that block marks it.
+    `ord` is where a line's block starts plus its place in the task. A task never holds as many
+    lines as a block has bytes, so later blocks always sort later.
     """
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     lines = (
         spark.read.option("pathGlobFilter", RAW_GLOB)
         .option("recursiveFileLookup", "true")
         .text(folder)
         .select(
+            F.col("_metadata.file_path").alias("path"),
+            (F.col("_metadata.file_block_start") + in_task).alias("ord"),
             "value",
-            plain_path(F.col("_metadata.file_path")).alias("path"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            F.monotonically_increasing_id().alias("line"),
         )
-        .where(F.col("block_start") == 0)
+        .where(F.trim("value") != "")
     )
-    headers = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
-    found: dict[str, list[str]] = {}
-    for row in headers.orderBy("path").collect():
-        found.setdefault(row.header, []).append(row.path)
-    return found
+    return materialize(lines, "lines")
+
+
+@dataclass(frozen=True)
+class Layout:
+    """A header, as positions of what is read from a line."""
+
+    header: str
+    number: int
+    width: int
+    date: int
+    prices: dict[str, int]  # open, high, low or close -> position
+    others: tuple[int, ...]  # candidates for a close that no header names, else empty
+
+    @classmethod
+    def of(cls, header: str, number: int) -> Layout:
+        columns = next(csv.reader([header]))
+        date = columns.index(date_header(columns))
+        rest = [c for i, c in enumerate(columns) if i != date]
+        names = price_names(rest)
+        prices = {name: columns.index(c) for c, name in names.items()}
+        others = () if "close" in prices else tuple(i for i in range(len(columns)) if i != date)
+        return cls(header, number, len(columns), date, prices, others)
+
+    def cells(self) -> Column:
+        """The line's cells as an array of strings."""
+        names = [f"c{i}" for i in range(self.width)]
+        parsed = F.from_csv("value", F.lit(", ".join(f"{n} string" for n in names)))
+        return F.array(*[parsed[n] for n in names])
+
+
+def headers(lines: DataFrame) -> DataFrame:
+    """-> (path, header, first), `first` being the header's place"""
+    return lines.groupBy("path").agg(F.min_by("value", "ord").alias("header"), F.min("ord").alias("first"))
 
 
 def date_header(columns: Iterable[str]) -> str:
@@ -113,58 +152,76 @@ def parse_date(text: Column, is_epoch: Column, is_millis: Column, compact_dates:
     return F.when(is_epoch, epoch).otherwise(written)
 
 
-def _scan(spark: SparkSession, paths: list[str], compact_dates: bool, name_of) -> DataFrame:
-    """One layout's files -> (instrument, dt, ord, prices)."""
-    raw = spark.read.csv(paths, header=True)
-    date = date_header(raw.columns)
-    others = [c for c in raw.columns if c != date]
-    names = price_names(others)
-    if "close" not in names.values():
-        names[first_numeric(raw, others)] = "close"
-    # Order of a row in its file: where its block starts plus its place in the task. A task
-    # never holds as many rows as a block has bytes, so later blocks always sort later.
-    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = raw.select(
-        F.col("_metadata.file_path").alias("path"),
-        (F.col("_metadata.file_block_start") + in_task).alias("ord"),
-        F.when(~F.lower(F.trim(F.col(f"`{date}`"))).isin(*MISSING), F.col(f"`{date}`")).alias("raw_date"),
-        *[finite(F.expr(f"try_cast(`{c}` as double)")).alias(n) for c, n in names.items()],
+def _number(cell: Column) -> Column:
+    return finite(cell.try_cast("double"))
+
+
+def _scans(spark: SparkSession, folder: str, compact_dates: bool, name_of) -> DataFrame:
+    """Every dump, with (path, raw_date) beside the columns of `read_raw`."""
+    lines = numbered_lines(spark, folder)
+    first = materialize(headers(lines), "headers")
+    known = sorted(r.header for r in first.select("header").distinct().collect())  # a row for each layout
+    if not known:
+        raise ValueError(f"no .csv or .txt files in {folder}")
+    found = [Layout.of(h, i) for i, h in enumerate(known)]
+    numbers = spark.createDataFrame([(x.header, x.number) for x in found], "header string, layout int")
+    placed = first.join(F.broadcast(numbers), "header").select("path", "first", "layout")
+    own = lambda fn, kind: F.coalesce(*[F.when(F.col("layout") == x.number, fn(x)) for x in found], F.lit(None).cast(kind))
+    rows = (
+        lines.join(placed, "path")
+        .where(F.col("ord") != F.col("first"))
+        .withColumn("cells", own(Layout.cells, "array<string>"))
+        .withColumn("date", own(lambda x: F.col("cells")[x.date], "string"))
+        .withColumn("raw_date", F.when(~F.lower(F.trim("date")).isin(*MISSING), F.col("date")))
     )
+    # What kind of number the dates of a file are, and which columns of a layout hold numbers only.
     number = date_number()
-    kinds = rows.groupBy("path").agg(
-        (F.count("raw_date") == F.count(number)).alias("is_epoch"),
-        (F.max(F.abs(number)) > EPOCH_MILLIS_ABOVE).alias("is_millis"),
+    widest = max((len(x.others) for x in found), default=0)
+    other = [own(lambda x, i=i: F.col("cells")[x.others[i]] if i < len(x.others) else F.lit(None).cast("string"), "string") for i in range(widest)]
+    kinds = materialize(
+        rows.groupBy("path", "layout").agg(
+            (F.count("raw_date") == F.count(number)).alias("is_epoch"),
+            (F.max(F.abs(number)) > EPOCH_MILLIS_ABOVE).alias("is_millis"),
+            F.array(*[F.count(c) == F.count(c.try_cast("double")) for c in other]).cast("array<boolean>").alias("numeric"),
+        ),
+        "kinds",
     )
+    closes = first_numeric(kinds, found)
+    prices = {n: {x.number: x.prices[n] for x in found if n in x.prices} for n in PRICE_HEADERS}
+    prices["close"] |= closes
+    cells = {
+        n: F.coalesce(*[F.when(F.col("layout") == k, _number(F.col("cells")[i])) for k, i in at.items()])
+        for n, at in prices.items()
+        if at
+    }
     day = parse_date(F.col("raw_date"), F.col("is_epoch"), F.col("is_millis"), compact_dates)
-    prices = [n for n in PRICE_HEADERS if n in names.values()]
-    return rows.join(kinds, "path").select(
-        name_of(F.col("path")).alias("instrument"), day.alias("dt"), "ord", *prices, "path", "raw_date"
+    return rows.join(kinds.drop("layout", "numeric"), "path").select(
+        name_of(F.col("path")).alias("instrument"),
+        day.alias("dt"),
+        "ord",
+        *[value.alias(n) for n, value in cells.items()],
+        "path",
+        "raw_date",
     )
 
 
-def first_numeric(raw: DataFrame, columns: list[str]) -> str:
-    """First column whose values are all numbers; an error when there is none."""
-    checks = [
-        (F.count(f"`{c}`") == F.count(F.expr(f"try_cast(`{c}` as double)"))).alias(str(i))
-        for i, c in enumerate(columns)
-    ]
-    verdicts = raw.agg(*checks).first() if checks else ()
-    for c, numeric in zip(columns, verdicts):
-        if numeric:
-            return c
-    raise ValueError("no numeric price column found")
+def first_numeric(kinds: DataFrame, found: list[Layout]) -> dict[int, int]:
+    """Layout without a close -> its first column whose values are all numbers.
 
-
-def _scans(spark: SparkSession, folder: str, compact_dates: bool, name_of) -> DataFrame:
-    """Every dump, with (path, raw_date) beside the columns of `read_raw`."""
-    found = layouts(spark, folder).values()
-    scans = [_scan(spark, paths, compact_dates, name_of) for paths in found]
-    if not scans:
-        raise ValueError(f"no .csv or .txt files in {folder}")
-    bars = scans[0]
-    for other in scans[1:]:
-        bars = bars.unionByName(other, allowMissingColumns=True)
-    return bars
+    An error where a layout has none.
+    """
+    open_ = {x.number: x for x in found if x.others}
+    if not open_:
+        return {}
+    every = [F.bool_and(F.get("numeric", F.lit(i))).alias(str(i)) for i in range(max(len(x.others) for x in open_.values()))]
+    out = {k: x.others[0] for k, x in open_.items() if x.others}  # layouts without a row
+    for r in kinds.where(F.col("layout").isin(*open_)).groupBy("layout").agg(*every).collect():  # a row for each layout
+        columns = open_[r["layout"]].others
+        numeric = [c for i, c in enumerate(columns) if r[str(i)]]
+        if not numeric:
+            raise ValueError("no numeric price column found")
+        out[r["layout"]] = numeric[0]
+    return out
 
 
 def unparsed_dates(
