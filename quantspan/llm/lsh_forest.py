@@ -9,9 +9,9 @@ in a known ratio at the threshold. While the loss that this ratio gives for the
 counted in the corpus is above `loss`, prefixes are shortened by one value. Candidates are
 verified exactly on their shingle sets.
 
-No pair is emitted. The members of a prefix go to tasks in blocks of bounded size; a large
-prefix becomes several blocks that meet two by two. A task counts each pair in the first tree
-that holds it, adds up links per node and reduces them to a spanning forest. Classes are the
+No pair is emitted. The members of a prefix go to tasks in blocks of bounded bytes and number; a
+prefix that is larger than a block becomes several that meet two by two. A task counts each pair
+in the first tree that holds it, adds up links per node and reduces them to a spanning forest. Classes are the
 connected components of these edges, found by label propagation with shortcuts, every round
 written to the shared folder.
 
@@ -41,7 +41,8 @@ class Settings:
     deepest: int = 12
     recall: float = 0.985  # at the threshold, which any depth has at least
     loss: float = 1e-4  # of pairs at the threshold: expected at the start, estimated at the end
-    block: int = 256
+    block: int = 2_048  # sets of a block, at most
+    block_bytes: int = 8 << 20  # of their shingles, about; a longer set is a block of its own
     seed: int = 1
 
     def chance(self, similarity, depth: int):
@@ -121,7 +122,7 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def signatures(rows: DataFrame, depth: int, s: Settings) -> DataFrame:
-    """-> (o, doc_id, sid, prefixes, deeper)"""
+    """-> (o, doc_id, sid, prefixes, deeper, size in shingles)"""
 
     def run(batches):
         for batch, texts in pieces(batches):
@@ -135,12 +136,13 @@ def signatures(rows: DataFrame, depth: int, s: Settings) -> DataFrame:
                     pa.array(set_keys(doc, h, len(texts)), pa.binary()),
                     pa.array(list(p), pa.list_(pa.int64())),
                     pa.array([x.tobytes() for x in deeper], pa.binary()),
+                    pa.array(np.bincount(doc, minlength=len(texts)), pa.int64()),
                 ],
-                ["o", "doc_id", "sid", "prefixes", "deeper"],
+                ["o", "doc_id", "sid", "prefixes", "deeper", "size"],
             )
 
     bounded(rows.sparkSession)
-    return rows.mapInArrow(run, "o bigint, doc_id bigint, sid binary, prefixes array<bigint>, deeper binary")
+    return rows.mapInArrow(run, "o bigint, doc_id bigint, sid binary, prefixes array<bigint>, deeper binary, size bigint")
 
 
 def shingle_sets(rows: DataFrame, s: Settings) -> DataFrame:
@@ -168,15 +170,21 @@ def candidates(nodes: DataFrame, s: Settings) -> DataFrame:
     -> (task, tree, side, sid, copies, prefixes, deeper). A task holds one block (side 0), or two
     blocks (sides 0 and 1) that meet. Prefixes with the same members count in the first tree.
     """
-    placed = nodes.select("sid", F.posexplode("prefixes").alias("tree", "prefix"))
+    placed = nodes.select("sid", "size", F.posexplode("prefixes").alias("tree", "prefix"))
     shared = (
         placed.groupBy("tree", "prefix")
-        .agg(F.count("*").alias("n"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("members"))
+        .agg(
+            F.count("*").alias("n"),
+            F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("members"),
+            F.sum("size").alias("shingles"),
+        )
         .where("n > 1")
     )
     # Equal members: equal counts and sums of hashes.
-    distinct = shared.groupBy("n", "members").agg(F.min("tree").alias("tree"), F.min_by("prefix", "tree").alias("prefix"))
-    blocks = F.ceil(F.col("n") / s.block).cast("int")
+    distinct = shared.groupBy("n", "members").agg(
+        F.min("tree").alias("tree"), F.min_by("prefix", "tree").alias("prefix"), F.min("shingles").alias("shingles")
+    )
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / s.block), F.ceil(F.col("shingles") * 8 / s.block_bytes))).cast("int")
     member = (
         placed.join(distinct.select("tree", "prefix", blocks.alias("blocks")), ["tree", "prefix"])
         .withColumn("own", F.expr("cast(pmod(xxhash64(sid), blocks) AS int)"))
@@ -203,8 +211,10 @@ def _verified(block: list, s: Settings):
     alone = not len(second)
     if alone:
         second = first
-    eq = prefix[first][:, None, :] == prefix[second][None, :, :]
-    here = eq[:, :, tree] & ~eq[:, :, :tree].any(axis=2)
+    # Pairs of this tree that no tree before it has.
+    here = prefix[first, tree][:, None] == prefix[second, tree]
+    for t in range(tree):
+        here &= prefix[first, t][:, None] != prefix[second, t]
     if alone:
         here &= np.triu(np.ones(here.shape, bool), 1)
     if not here.any():
@@ -217,9 +227,10 @@ def _verified(block: list, s: Settings):
     common = np.zeros((len(first), len(second)), np.float32)
     n_columns = int(often.sum())
     place = np.empty(len(sets), np.int64)
-    for lo in range(0, n_columns, 8192):
-        inside = (column >= lo) & (column < lo + 8192)
-        dense = np.zeros((len(sets), min(8192, n_columns - lo)), np.float32)
+    wide = max(64, (8 << 20) // len(sets))  # columns whose indicators take 32 MB
+    for lo in range(0, n_columns, wide):
+        inside = (column >= lo) & (column < lo + wide)
+        dense = np.zeros((len(sets), min(wide, n_columns - lo)), np.float32)
         dense[row[inside], column[inside] - lo] = 1
         common += dense[first] @ dense[second].T
     union = size[first][:, None] + size[second][None, :] - common
@@ -309,7 +320,7 @@ def forest(rows: DataFrame, s: Settings) -> tuple[int, DataFrame, DataFrame, Dat
         nodes = (
             signed.where("sid IS NOT NULL")
             .groupBy("sid")
-            .agg(F.min("o").alias("o"), F.count("*").alias("copies"), F.max("prefixes").alias("prefixes"), F.max("deeper").alias("deeper"))
+            .agg(F.min("o").alias("o"), F.count("*").alias("copies"), F.max("prefixes").alias("prefixes"), F.max("deeper").alias("deeper"), F.max("size").alias("size"))
         )
         nodes = materialize(nodes, "nodes")
         member = materialize(candidates(nodes, s), "members")
