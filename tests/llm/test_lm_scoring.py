@@ -130,7 +130,7 @@ def test_tokens_are_those_of_the_library(spark):
     texts = ["The  Quick\nBROWN é fox", "", "日本 x" * 5, None]
     bundle = lm_scoring.bundled(spark.createDataFrame([(i, True, t) for i, t in enumerate(texts)], "id bigint, learn boolean, text string").coalesce(1), piece_model(), lm_scoring.Settings()).collect()
     assert len(bundle) == 1
-    flat, sizes = lm_scoring.sequences(bundle[0].asDict())
+    flat, sizes = lm_scoring.sequences(bundle[0].asDict(), 32_000)
     library = sentencepiece.SentencePieceProcessor(model_file=piece_model())
     for text, part in zip(texts, np.split(flat, np.cumsum(sizes)[:-1])):
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
