@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantspan.functions.scalars import months_before
 from quantspan.operators.calendars import frame_calendar
+from quantspan.operators.scans import asof_join
 
 
 def own_days():
@@ -92,14 +94,19 @@ def frame_ffill(
 def asof_lookback(prices: DataFrame, months: int) -> DataFrame:
     """Adds `past`: the instrument's last price on or before `months` calendar months ago.
 
-    A RANGE frame ending `months` before the current date does the as-of match inside the
-    sort the other own-day windows already need: no second copy of the prices, no join.
+    By slices of time (`scans.asof_join`), so one long series is not one task.
     """
-    return traded(prices).withColumn("past", past_close(months))
+    known = traded(prices)
+    asked = known.withColumn("probe", months_before(F.col("dt"), months))
+    found = asof_join(asked, known, ["panel", "instrument"], "probe", "dt", {"past": "close"})
+    return found.drop("probe")
 
 
 def past_close(months: int) -> Column:
-    """The window column behind `asof_lookback`."""
+    """`asof_lookback` as a window column, for plans that sort own days anyway.
+
+    A RANGE frame ending `months` before the current date: no second copy of the prices.
+    """
     return F.expr(
         "last_value(close) over (partition by panel, instrument order by dt "
         f"range between unbounded preceding and interval '{int(months)}' month preceding)"

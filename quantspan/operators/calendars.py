@@ -7,7 +7,9 @@ bounded by that.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,21 +59,40 @@ def missing_weekdays(bars: DataFrame) -> DataFrame:
     )
 
 
-def rebalance_calendar(calendar: DataFrame) -> DataFrame:
+# Months between rebalances that fall on the first weekday of a month.
+REBALANCE_MONTHS = {"BMS": 1, "BQS": 3, "BYS": 12}
+WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI")
+
+
+def _due_days(rebalance: str) -> tuple[Column, Callable[[Column], Column]]:
+    """The rebalance days from a frame date to the next, and whether one day is such a day."""
+    if rebalance in REBALANCE_MONTHS:
+        every = REBALANCE_MONTHS[rebalance]
+        months = F.sequence(F.trunc("dt", "MM"), F.trunc("next_dt", "MM"), F.expr("interval 1 month"))
+        turning = F.filter(months, lambda m: (F.month(m) - 1) % every == 0)
+        return F.transform(turning, business_month_start), lambda day: (business_month_start(day) == day) & ((F.month(day) - 1) % every == 0)
+    if rebalance == "B":
+        wanted = is_weekday
+    elif rebalance.startswith("W-") and rebalance[2:] in WEEKDAYS:
+        wanted = lambda day: F.weekday(day) == WEEKDAYS.index(rebalance[2:])
+    else:
+        raise ValueError(f"{rebalance}: known are {', '.join(REBALANCE_MONTHS)}, B and W-MON to W-FRI")
+    return F.filter(F.sequence("dt", "next_dt"), wanted), wanted
+
+
+def rebalance_calendar(calendar: DataFrame, rebalance: str = "BMS") -> DataFrame:
     """For each frame date: the rebalance in force and the frame date it samples.
 
-    A rebalance falls on the first weekday of each month inside the frame's span and takes
+    Rebalances fall inside the frame's span on the first weekday of each month (BMS), quarter
+    (BQS) or year (BYS), on a weekday of each week (W-MON to W-FRI) or on all weekdays (B). One takes
     the last frame date on or before it. A date announces the latest rebalance up to the
     next date; what is in force is the running maximum of earlier announcements (both
     columns only ever grow), so one window over the calendar settles it.
     -> (panel, dt, rebalance_dt, source_dt), both NULL before the first rebalance.
     """
-    months = F.sequence(F.trunc("dt", "MM"), F.trunc("next_dt", "MM"), F.expr("interval 1 month"))
-    due = F.filter(
-        F.transform(months, business_month_start),
-        lambda day: (day > F.col("dt")) & (day <= F.col("next_dt")),
-    )
-    opening = F.col("prev_dt").isNull() & (business_month_start(F.col("dt")) == F.col("dt"))
+    days, falls_on = _due_days(rebalance)
+    due = F.filter(days, lambda day: (day > F.col("dt")) & (day <= F.col("next_dt")))
+    opening = F.col("prev_dt").isNull() & falls_on(F.col("dt"))
     order = W.partitionBy("panel").orderBy("dt")
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
     upto = order.rowsBetween(W.unboundedPreceding, 0)

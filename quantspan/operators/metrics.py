@@ -14,6 +14,7 @@ from quantspan.config import DAYS_PER_YEAR, SharpeReference
 from quantspan.functions.scalars import bucket_label, finite, ratio
 from quantspan.operators import scans
 from quantspan.operators.returns import observed_bars_per_year
+from quantspan.session import materialize
 
 PANEL = ("panel",)
 
@@ -161,15 +162,20 @@ def sampled_equity(returns: DataFrame, by=PANEL, points: int = 20) -> DataFrame:
 def return_histogram(returns: DataFrame, by=PANEL, bins: int = 10) -> DataFrame:
     """Equal-width bins from the smallest to the largest return, the last one closed.
 
-    A constant series gets a range of one around its value. Empty bins are kept.
+    A constant series gets a range of one around its value. Empty bins are kept. The returns
+    are stored once, because ranges and counts both read them.
     -> (*by, bin, low, high, label, n)
     """
     by = list(by)
-    usable = returns.withColumn("ret", finite(F.col("ret"))).where(F.col("ret").isNotNull())
+    usable = returns.select(*by, finite(F.col("ret")).alias("ret")).where(F.col("ret").isNotNull())
+    usable = materialize(usable, "returns")
     flat = F.min("ret") == F.max("ret")
-    ranges = usable.groupBy(*by).agg(
-        (F.min("ret") - F.when(flat, 0.5).otherwise(0.0)).alias("lo"),
-        (F.max("ret") + F.when(flat, 0.5).otherwise(0.0)).alias("hi"),
+    ranges = materialize(
+        usable.groupBy(*by).agg(
+            (F.min("ret") - F.when(flat, 0.5).otherwise(0.0)).alias("lo"),
+            (F.max("ret") + F.when(flat, 0.5).otherwise(0.0)).alias("hi"),
+        ),
+        "ranges",
     )
     width = (F.col("hi") - F.col("lo")) / bins
     guess = F.least(F.floor((F.col("ret") - F.col("lo")) / width), F.lit(bins - 1))

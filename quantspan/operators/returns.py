@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quantspan.config import DAYS_PER_YEAR, TRADING_DAYS_PER_YEAR
 from quantspan.functions.scalars import finite_or_zero, ratio
+from quantspan.operators import scans
 from quantspan.operators.align import frame_ffill, own_days, price_frame, traded
 
 
@@ -95,6 +96,22 @@ def rolling_vol(
     periods_per_year: float | None = None,
     calendar: DataFrame | None = None,
 ) -> DataFrame:
-    """`own_volatility` on the frame of the panel, carried over days without a trade."""
-    own = own_volatility(prices, window, periods_per_year)
+    """`own_volatility` on the frame of the panel, carried over days without a trade.
+
+    In quarters and blocks (`scans`), so one long series is spread over tasks and a row costs the
+    same for any window.
+    """
+    by = ["panel", "instrument"]
+    known = traded(prices).select(*by, "dt", "close")
+    lagged = scans.lagged(known, by, ["dt"], "close", "before", scans.quarter_of(F.col("dt")))
+    moves = lagged.withColumn("own_ret", ratio(F.col("close"), F.col("before")) - 1.0)
+    found = scans.rolling_deviation(moves, by, ["dt"], "own_ret", window, "deviation", scans.quarter_of(F.col("dt")))
+    if periods_per_year is None:
+        counted = F.col("before").isNotNull() & ~((F.col("before") == 0) & (F.col("close") == 0))
+        dated = F.when(counted, F.col("dt"))
+        years = lagged.groupBy(*by).agg(observed_bars_per_year(F.count(dated), F.min(dated), F.max(dated)).alias("per_year"))
+        found = found.join(years, by)
+    else:
+        found = found.withColumn("per_year", F.lit(float(periods_per_year)))
+    own = found.withColumn("vol", F.col("deviation") * F.sqrt("per_year"))
     return frame_ffill(prices, own, "vol", calendar)

@@ -169,3 +169,57 @@ def lagged(df: DataFrame, by: list[str], order: list[str], value: str, name: str
     earlier = ends.select(*by, CHUNK, F.lag("end").over(W.partitionBy(*by).orderBy(CHUNK)).alias("end"))
     joined = rows.join(earlier.repartition(*by, CHUNK), [*by, CHUNK])
     return joined.withColumn(name, F.coalesce("previous", "end")["x"]).drop(CHUNK, "row", "previous", "end")
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: dict[str, str], chunk=quarter_of
+) -> DataFrame:
+    """Adds to each row of `left` the last `values` of `right` at or before its time.
+
+    Both sides become one series of known values and questions, cut into slices of time; the last
+    value of earlier slices is carried into a slice, so a key of any length is spread over tasks,
+    and a question may look back any number of slices. `values` names new column -> column of
+    `right`; of rows of `right` that share key and time the greatest values win. Nulls are values
+    too. A null time finds nothing.
+    """
+    found = F.struct(*[F.col(old).alias(new) for new, old in values.items()])
+    known = right.where(F.col(right_time).isNotNull()).select(
+        *by, F.col(right_time).alias("asof_time"), F.lit(0).alias("asof_side"), found.alias("asof_found")
+    )
+    asked = left.select(
+        *by, F.col(left_time).alias("asof_time"), F.lit(1).alias("asof_side"), F.struct(*left.columns).alias("asof_row")
+    )
+    both = known.unionByName(asked.where(F.col("asof_time").isNotNull()), allowMissingColumns=True)
+    order = ["asof_time", "asof_side", "asof_found"]
+    series = running(both, by, order, chunk(F.col("asof_time")), asof_found=Running("last", "asof_found"))
+    answered = series.where("asof_side = 1").select("asof_row.*", *[F.col(f"asof_found.{c}").alias(c) for c in values])
+    timeless = left.where(F.col(left_time).isNull())
+    return answered.unionByName(timeless, allowMissingColumns=True)
+
+
+def rolling_deviation(df: DataFrame, by: list[str], order: list[str], value: str, window: int, name: str, chunk: Column | None = None, block: int = 512) -> DataFrame:
+    """Adds the sample deviation of the last `window` values, null until there are so many.
+
+    Rows are numbered and cut into blocks of `block` numbers; each block also gets the `window`
+    rows before it. Inside a block the moments are differences of running sums about the
+    block's own mean, so a row costs the same whatever the window. The variance is exact to about 1e-15 times the square of the
+    block's spread, so the deviation of a window of equal values is 0 to about 1e-7 of that spread. A
+    window with a missing value gives null.
+    """
+    block = max(block, window)  # a window reaches into one block before its own
+    numbered = running(df, by, order, chunk, row_number=Running("count", F.lit(1)))
+    n = F.col("row_number") - 1
+    own = F.floor(n / block)
+    # The last rows of a block are looked back on by the next one.
+    blocks = F.when(n % block >= block - window, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = numbered.withColumn("block", F.explode(blocks)).withColumn("halo", F.floor((F.col("row_number") - 1) / block) < F.col("block"))
+    whole = W.partitionBy(*by, "block")
+    upto = whole.orderBy("row_number").rowsBetween(W.unboundedPreceding, 0)
+    before = whole.orderBy("row_number")
+    centred = spread.withColumn("x", F.col(value) - F.avg(value).over(whole))
+    sums = centred.withColumns({"s0": F.count("x").over(upto), "s1": F.sum("x").over(upto), "s2": F.sum(F.col("x") * F.col("x")).over(upto)})
+    past = {s: F.coalesce(F.col(s), F.lit(0)) - F.coalesce(F.lag(s, window).over(before), F.lit(0)) for s in ("s0", "s1", "s2")}
+    variance = (past["s2"] - past["s1"] * past["s1"] / window) / (window - 1)
+    full = (past["s0"] == window) & (F.col("row_number") >= window)
+    result = F.when(full, F.sqrt(F.greatest(variance, F.lit(0.0))))
+    return sums.withColumn(name, result).where(~F.col("halo")).drop("row_number", "block", "halo", "x", "s0", "s1", "s2")

@@ -34,10 +34,9 @@ def deflated_sharpe(trials: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def best_trial(trials: DataFrame, *names: str) -> DataFrame:
-    """The trial with the highest ratio."""
-    return trials.agg(
-        F.max("sharpe").alias("sharpe"), *[F.max_by(c, "sharpe").alias(c) for c in names]
-    )
+    """The trial with the highest ratio; of equal ones the one with the greatest names."""
+    best = trials.where(F.col("sharpe").isNotNull()).agg(F.max(F.struct("sharpe", *names)).alias("best"))
+    return best.select("best.sharpe", *[F.col(f"best.{c}").alias(c) for c in names])
 
 
 def sample_verdict(ratios: DataFrame, limits: StudyThresholds = StudyThresholds()) -> DataFrame:

@@ -7,16 +7,18 @@ arithmetic on those small series.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantspan.config import CostModel, StudyThresholds
+from quantspan.config import HOLDOUT_START, CostModel, StudyThresholds
 from quantspan.operators import metrics as M
 from quantspan.operators.align import universe_filter
 from quantspan.operators.backtest import daily_breakdown
 from quantspan.operators.calendars import frame_calendar
+from quantspan.operators.clean import before_holdout
 from quantspan.operators.trials import deflated_sharpe, global_verdict, sample_verdict
 from quantspan.plans.signals import momentum_grid
 from quantspan.session import materialize
@@ -30,11 +32,15 @@ def daily_series(
     samples: DataFrame,
     eval_start: dict[str, str],
     limits: StudyThresholds = StudyThresholds(),
+    holdout: dt.date | None = HOLDOUT_START,
 ) -> DataFrame:
     """Daily totals from each strategy's live start on -> (panel, lookback, dt, gross, ...)
 
-    A strategy is live from the later of its sample's start and its first position.
+    A strategy is live from the later of its sample's start and its first position. The reserved
+    period from `holdout` on takes no part unless a study is exempt from it (None).
     """
+    if holdout is not None:
+        prices = before_holdout(prices, holdout)
     panels = universe_filter(prices, samples)
     panels = materialize(panels, "panels")
     calendar = materialize(frame_calendar(panels), "calendar")

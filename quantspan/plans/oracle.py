@@ -335,7 +335,7 @@ contrast AS (
   FROM drawn GROUP BY instrument)"""
 
 
-def random_portfolios(n: int) -> tuple[str, ...]:
+def random_portfolios(n: int, k: int = 4) -> tuple[str, ...]:
     """Sharpe per resample (`nulls`), every frame cell of every resample spelled out."""
     return (
         "direct AS (SELECT instrument, dt, vol, 1 AS direction FROM ownvol)",
@@ -347,17 +347,20 @@ def random_portfolios(n: int) -> tuple[str, ...]:
         """months AS (
   SELECT date_trunc('month', dt)::DATE AS month, count(*) AS n, min(pos) AS first FROM cal GROUP BY 1)""",
         f"""stepped AS (
-  SELECT path, month, n, first, n - 4 + i AS j, i,
-    ('0x' || substr(md5(concat_ws('|', 12345, path, strftime(month, '%Y-%m-%d'), n - 4 + i)), 1, 8))::BIGINT % (n - 3 + i) AS t
-  FROM months, range({n}) p(path), range(4) s(i) WHERE n - 4 + i >= 0)""",
-        """quartet AS (
-  SELECT path, month, first, max(CASE i WHEN 0 THEN t END) AS t0, max(CASE i WHEN 1 THEN t END) AS t1,
-    max(CASE i WHEN 2 THEN t END) AS t2, max(CASE i WHEN 3 THEN t END) AS t3, max(n) AS n FROM stepped GROUP BY 1, 2, 3)""",
-        "d1 AS (SELECT *, CASE WHEN t1 = t0 THEN n - 3 ELSE t1 END AS c1 FROM quartet)",
-        "d2 AS (SELECT *, CASE WHEN t2 = t0 OR t2 = c1 THEN n - 2 ELSE t2 END AS c2 FROM d1)",
-        "d3 AS (SELECT *, CASE WHEN t3 = t0 OR t3 = c1 OR t3 = c2 THEN n - 1 ELSE t3 END AS c3 FROM d2)",
-        """chosen AS (
-  SELECT path, dt FROM (SELECT path, first + unnest([t0, c1, c2, c3]) AS pos FROM d3) JOIN cal USING (pos))""",
+  SELECT path, month, n, first, i,
+    ('0x' || substr(md5(concat_ws('|', 12345, path, strftime(month, '%Y-%m-%d'), n - {k} + i)), 1, 8))::BIGINT % (n - {k} + i + 1) AS t
+  FROM months, range({n}) p(path), range({k}) s(i) WHERE n - {k} + i >= 0)""",
+        "c0 AS (SELECT path, month, first, max(n) AS n, "
+        + ", ".join(f"max(CASE i WHEN {i} THEN t END) AS t{i}" for i in range(k))
+        + ", max(CASE i WHEN 0 THEN t END) AS p0 FROM stepped GROUP BY 1, 2, 3)",
+        *[
+            f"c{i} AS (SELECT *, CASE WHEN "
+            + " OR ".join(f"t{i} = p{j}" for j in range(i))
+            + f" THEN n - {k} + {i} ELSE t{i} END AS p{i} FROM c{i - 1})"
+            for i in range(1, k)
+        ],
+        f"""chosen AS (
+  SELECT path, dt FROM (SELECT path, first + unnest([{", ".join(f"p{i}" for i in range(k))}]) AS pos FROM c{k - 1}) JOIN cal USING (pos))""",
         f"""ncell AS (
   SELECT path, r.instrument, r.dt, CASE WHEN c.dt IS NULL THEN 0 ELSE r.rel END AS rel
   FROM nrel r CROSS JOIN range({n}) p(path) LEFT JOIN chosen c USING (path, dt))""",
@@ -449,6 +452,15 @@ _put(
     QUALIFY row_number() OVER (PARTITION BY dt ORDER BY batch DESC, ord DESC) = 1""",
 )
 
+_put(
+    "ingest_upsert",
+    """both_ AS (
+  SELECT CAST(o_orderdate AS DATE) AS dt, o_orderkey AS ord, o_totalprice AS close, 1 AS batch FROM orders WHERE year(o_orderdate) >= 1997
+  UNION ALL SELECT CAST(o_orderdate AS DATE), o_orderkey, c_acctbal, 0 FROM orders JOIN customer ON o_custkey = c_custkey)""",
+    """SELECT 'ALL' AS instrument, dt, round(close, 6) + 0.0 AS close FROM both_
+    QUALIFY row_number() OVER (PARTITION BY dt ORDER BY batch DESC, ord DESC) = 1""",
+)
+
 _put("instrument_from_path", "SELECT page_id, upper(regexp_replace(regexp_extract(url, '[^/]*$'), '[.][^.]*$', '')) AS instrument FROM pages")
 _put("raw_glob", "SELECT DISTINCT o_orderpriority AS instrument FROM orders")
 _put(
@@ -627,6 +639,7 @@ _put(
       CAST((SELECT bool_or(has_duplicates) FROM dups d WHERE d.instrument = b.instrument) AS BIGINT) AS duplicate_dates
     FROM bars b GROUP BY b.instrument""",
 )
+ORACLE["quality_merge"] = ORACLE["quality_summary"]
 _put(
     "counts_by_kind", EVENT_BARS, DUPLICATES, EVENT_OHLC, ANOMALIES, OPEN_GAPS, MISSING,
     """SELECT instrument, kind, count(*) AS n FROM (
@@ -640,6 +653,10 @@ _LS = (BRAND, *FRAMED, LAST_SIGN_W, "gx AS (SELECT dt, sum(abs(w)) AS gross FROM
 _put("gross_exposure", *_LS, final("dt gross*", "gx"))
 _put("exposure_violations", *_LS, final("dt gross*", "gx", "gx.gross > 4 + 1e-9"))
 _put("validate_weights", *momentum(PRIORITY), "SELECT dt FROM wts GROUP BY dt HAVING sum(abs(w)) > 4 + 1e-9")
+_put(
+    "weight_violations", *momentum(PRIORITY), "gx AS (SELECT dt, sum(abs(w)) AS gross FROM wts GROUP BY dt)",
+    "SELECT dt, round(gross, 6) + 0.0 AS gross, true AS raised FROM gx WHERE gross > 0.25 + 1e-9",
+)
 _put("cross_section_normalise", *_LS, "SELECT instrument, dt, round(coalesce(w / nullif(gross, 0), 0), 6) + 0.0 AS w FROM wts JOIN gx USING (dt)")
 _put("gross_cap", *_LS, "SELECT instrument, dt, round(w * least(1, 4 / nullif(gross, 0)), 6) + 0.0 AS w FROM wts JOIN gx USING (dt)")
 _SHARES = backtest_of(PRIORITY, SHARE_W, COSTS)
@@ -730,6 +747,18 @@ _put(
     "SELECT signal, round(sharpe, 6) + 0.0 AS sharpe, q.sharpe > 5 AS caught FROM q",
 )
 
+_put(
+    "signal_contract", PRIORITY, *FRAMED,
+    """cuts AS (
+  SELECT CAST(k AS INTEGER) AS cut, dt AS last_dt FROM (
+    SELECT k, n // 2 + ('0x' || substr(md5(concat_ws('|', 12345, 'priority', k)), 1, 8))::BIGINT % (n - n // 2 - 1) AS pos
+    FROM range(3) r(k), (SELECT count(*) AS n FROM cal)) JOIN cal USING (pos))""",
+    f"sg AS (SELECT instrument, dt, coalesce(sign(lead(ret) OVER w), 0) AS cheat FROM rets {_OWNW})",
+    """SELECT signal, cut, last_dt, count(*) AS n_cells, count(*) FILTER (signal = 'cheat' AND dt = last_dt AND cheat <> 0) AS n_changed,
+      min(dt) FILTER (signal = 'cheat' AND dt = last_dt AND cheat <> 0) AS first_changed, CAST(0 AS BIGINT) AS n_strays
+    FROM sg JOIN cuts ON dt <= last_dt, (VALUES ('cheat'), ('honest')) v(signal) GROUP BY ALL""",
+)
+
 # --- resampling -------------------------------------------------------------------------------------------------
 _put(
     "block_bootstrap", *HELD, resampled(10_000, 756),
@@ -737,6 +766,13 @@ _put(
       round(arg_max(r, day), 6) + 0.0 AS last, round(sum(r * day), 6) + 0.0 AS weighted FROM walks WHERE phase = 1 GROUP BY path""",
 )
 _put("first_passage", STEPS, f"SELECT user_id, outcome, day FROM ({passage(0.10)})")
+_put(
+    "passage_batches",
+    """steps AS (
+  SELECT user_id, (value - 50) / 1999.0 AS r, row_number() OVER w AS day, sum((value - 50) / 1999.0) OVER w AS pnl
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))""",
+    f"SELECT user_id, outcome, day FROM ({passage(0.10)})",
+)
 _put(
     "phase_stats", STEPS, f"o AS ({passage(0.10)})",
     """SELECT round(count(*) FILTER (outcome = 'PASSED') / count(*), 6) + 0.0 AS p_pass, round(count(*) FILTER (outcome = 'FAILED') / count(*), 6) + 0.0 AS p_fail,
@@ -781,7 +817,10 @@ _put(
     "four AS (SELECT * FROM (" + with_(*tom_series(4), "SELECT * FROM series") + "))",
     f"counted AS (SELECT 'priority' AS panel, {SHARPE} AS sharpe FROM three UNION ALL SELECT 'priority', {SHARPE} FROM four)",
     deflation("counted", "panel"),
-    final("panel n_trials best* expected_max* deflated*", "deflated"),
+    "drawn AS (SELECT * FROM (" + with_(*_FRAMED_VOL, *random_portfolios(1000, 5), "SELECT * FROM nulls") + "))",
+    "bar AS (SELECT quantile_cont(sharpe, 0.95) AS null_p95 FROM drawn)",
+    """SELECT panel, n_trials, round(best, 6) + 0.0 AS best, round(expected_max, 6) + 0.0 AS expected_max, round(deflated, 6) + 0.0 AS deflated,
+      round(null_p95, 6) + 0.0 AS null_p95, deflated > null_p95 AS promote FROM deflated, bar""",
 )
 _put(
     "relative_verdict", *_PLACED, contrast(1000),

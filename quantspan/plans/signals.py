@@ -15,16 +15,71 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantspan.config import MAX_GROSS
-from quantspan.functions.scalars import direction_sign, ratio
+from quantspan.functions.scalars import direction_sign, hashed_draw, ratio
 from quantspan.operators.align import own_days, past_close, price_frame
 from quantspan.operators.calendars import frame_calendar, rebalance_calendar
 from quantspan.operators.returns import gap_safe_returns, observed_bars_per_year, own_volatility
+from quantspan.session import materialize
 
 
 class Signal(Protocol):
+    """A weight may depend on nothing after its own date: see `signal_contract`."""
+
     def __call__(self, prices: DataFrame, **params) -> DataFrame: ...
 
 
+def cut_dates(prices: DataFrame, n_cuts: int = 3, seed: int = 12345) -> DataFrame:
+    """Hashed frame dates in the later half of each panel, never its last -> (panel, cut, last_dt)
+
+    A panel needs three dates to be cut.
+    """
+    calendar = frame_calendar(prices)
+    half = F.floor(F.col("n_dates") / 2)
+    at = half + hashed_draw(F.col("n_dates") - half - 1, F.lit(seed), F.col("panel"), F.col("cut"))
+    cuts = calendar.where("pos = 0 AND n_dates > 2").withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(n_cuts - 1))))
+    return cuts.select("panel", "cut", at.alias("pos")).join(calendar, ["panel", "pos"]).select("panel", "cut", F.col("dt").alias("last_dt"))
+
+
+def signal_contract(signal: Signal, prices: DataFrame, n_cuts: int = 3, seed: int = 12345, tolerance: float = 1e-9) -> DataFrame:
+    """Whether a signal's past stays as it was when later prices are taken away.
+
+    The signal runs once over the panels and, under names of their own, copies that end at hashed
+    dates; weights up to the cut are compared, a missing one being flat. A signal keeps the
+    contract where nothing has changed and no weight stands for a day or an instrument that the
+    panel does not have. A cheat changes just before the cut; sizing by what the whole sample
+    says, as an annualisation by observed bars, changes all of the past.
+    -> (panel, cut, last_dt, n_cells, n_changed, first_changed, largest_change, n_strays)
+    """
+    name = F.concat_ws("#", "panel", F.col("cut").cast("string"))
+    cuts = materialize(cut_dates(prices, n_cuts, seed).withColumn("copy", name), "cuts")
+    ended = prices.join(cuts, "panel").where(F.col("dt") <= F.col("last_dt"))
+    copies = ended.drop("panel", "cut", "last_dt").withColumnRenamed("copy", "panel").select(prices.columns)
+    weights = materialize(signal(prices.unionByName(copies)).select("panel", "instrument", "dt", "w"), "weights")
+    key = ["panel", "cut", "instrument", "dt"]
+    before = weights.join(cuts, "panel").where(F.col("dt") <= F.col("last_dt")).select(*key, F.col("w").alias("whole"))
+    after = weights.withColumnRenamed("panel", "copy").join(cuts, "copy").select(*key, F.col("w").alias("part"))
+    change = F.abs(F.coalesce("whole", F.lit(0.0)) - F.coalesce("part", F.lit(0.0)))
+    compared = before.join(after, key, "full").withColumn("change", change)
+    days = ended.select("panel", "cut", "dt", F.lit(True).alias("known_day")).distinct()
+    members = ended.select("panel", "cut", "instrument", F.lit(True).alias("known_member")).distinct()
+    stray = F.col("known_day").isNull() | F.col("known_member").isNull()
+    moved = F.col("change") > tolerance
+    found = (
+        compared.join(days, ["panel", "cut", "dt"], "left")
+        .join(members, ["panel", "cut", "instrument"], "left")
+        .groupBy("panel", "cut")
+        .agg(
+            F.count("*").alias("n_cells"),
+            F.count_if(moved).alias("n_changed"),
+            F.min(F.when(moved, F.col("dt"))).alias("first_changed"),
+            F.max("change").alias("largest_change"),
+            # A copy may lack an instrument that starts after its cut; that is no stray of the whole.
+            F.count_if(stray & F.col("part").isNotNull()).alias("n_strays"),
+        )
+    )
+    return cuts.select("panel", "cut", "last_dt").join(found, ["panel", "cut"])
+
+
 def buy_and_hold(
     prices: DataFrame, weight: float = 1.0, calendar: DataFrame | None = None
 ) -> DataFrame:
@@ -161,7 +216,7 @@ def scaled_weights(sized: DataFrame, scale: DataFrame, by: list[str], *also: str
 
 
 def hold_between_rebalances(
-    sized: DataFrame, scale: DataFrame, calendar: DataFrame, by: list[str]
+    sized: DataFrame, scale: DataFrame, calendar: DataFrame, by: list[str], rebalance: str = "BMS"
 ) -> DataFrame:
     """Sample the scaled weights on each rebalance and hold them until the next.
 
@@ -170,7 +225,7 @@ def hold_between_rebalances(
     one date in about twenty, leave that stage. -> (*by, instrument, dt, w)
     """
     held = (
-        rebalance_calendar(calendar)
+        rebalance_calendar(calendar, rebalance)
         .where(F.col("source_dt").isNotNull())
         .groupBy("panel", F.col("source_dt").alias("dt"))
         .agg(F.collect_list("dt").alias("held_days"))
@@ -208,17 +263,19 @@ def momentum_grid(
     max_gross: float = MAX_GROSS,
     periods_per_year: float | None = None,
     calendar: DataFrame | None = None,
+    rebalance: str = "BMS",
 ) -> DataFrame:
     """Time-series momentum for several lookbacks -> (panel, lookback, instrument, dt, w)"""
     by = ["panel", "lookback"]
     calendar = frame_calendar(prices) if calendar is None else calendar
     sized = momentum_raw(prices, lookbacks, vol_window, periods_per_year)
     scale = daily_scale(sized, by, vol_window, vol_target, max_gross, periods_per_year)
-    return hold_between_rebalances(sized, scale, calendar, by)
+    return hold_between_rebalances(sized, scale, calendar, by, rebalance)
 
 
 def tsmom(prices: DataFrame, lookback_months: int = 12, **params) -> DataFrame:
-    """Monthly-rebalanced time-series momentum, inverse-vol sized to a portfolio target.
+    """Time-series momentum, inverse-vol sized to a portfolio target, rebalanced by month or as
+    `rebalance` says (see `calendars.rebalance_calendar`).
 
     `periods_per_year=None` annualises with the bars observed in the whole input; pass a
     number for weights that later data cannot move.

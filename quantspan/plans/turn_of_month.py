@@ -13,6 +13,7 @@ from quantspan.operators.backtest import active_days, daily_breakdown, net_of_co
 from quantspan.operators.calendars import frame_calendar
 from quantspan.operators.returns import observed_bars_per_year, own_volatility
 from quantspan.operators.seasonality import random_days, tom_flag
+from quantspan.operators.trials import deflated_sharpe
 from quantspan.plans.signals import capped_scalar, daily_scale, inverse_vol, scaled_weights
 from quantspan.session import join_side, materialize
 
@@ -123,3 +124,16 @@ def null_benchmark(
     strategies = M.frame_lengths(calendar).withColumn("resample", resamples)
     active = active_days(prices, weights, costs, tuple(by), calendar).select(*by, "dt", net_of_costs().alias("ret"))
     return M.sparse_sharpe(active, strategies, tuple(by))
+
+
+def variant_verdict(prices: DataFrame, calendar: DataFrame, n_resamples: int = 1000, after: int = 4, **sizing) -> DataFrame:
+    """The window and its one variant, deflated for two trials, against a benchmark of its own.
+
+    The benchmark draws as many days a month as the variant's window has: one before the turn of
+    the month, `after` after it. -> (panel, n_trials, best, expected_max, deflated, null_p95, promote)
+    """
+    earned = tom_returns(prices, (3, after), calendar=calendar, **sizing)
+    deflated = deflated_sharpe(M.sharpe(earned, ("panel", "after")), ("panel",))
+    null = null_benchmark(prices, n_resamples, per_month=after + 1, calendar=calendar, **sizing)
+    limit = null.groupBy("panel").agg(F.percentile("sharpe", F.lit(0.95)).alias("null_p95"))
+    return deflated.join(limit, "panel").withColumn("promote", F.col("deflated") > F.col("null_p95"))

@@ -6,6 +6,8 @@ month, at most 31 records, and is unpacked as one numpy array.
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import lzma
 
 import numpy as np
@@ -14,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantspan.config import INSTRUMENTS, POINT_SCALES, VENDOR_SYMBOLS
-from quantspan.functions.scalars import scaled_price
 
 # Layout of a record, in file order.
 RECORD = np.dtype(
@@ -27,16 +28,20 @@ RECORD = np.dtype(
         ("volume", ">f4"),
     ]
 )
-PATH_PATTERN = r"([^/]+)/(\d{4})/(\d{2})/[^/]*$"  # symbol / year / month counted from 00
 UNITS = ("open", "high", "low", "close")
 
 
+def records_of(blob: bytes) -> np.ndarray:
+    """The records of a blob; none in an empty one, an incomplete last one is ignored."""
+    data = lzma.decompress(blob) if blob else b""
+    return np.frombuffer(data, RECORD, count=len(data) // RECORD.itemsize)
+
+
 def _unpack(batches):
     for batch in batches:
         parts = []
         for symbol, month, blob in zip(batch["symbol"], batch["month"], batch["content"]):
-            data = lzma.decompress(blob) if blob else b""
-            records = np.frombuffer(data, RECORD, count=len(data) // RECORD.itemsize)
+            records = records_of(blob)
             part = pd.DataFrame({u: records[u].astype("int64") for u in UNITS})
             part.insert(0, "offset_s", records["offset_s"].astype("int64"))
             part.insert(0, "month", month)
@@ -103,33 +108,39 @@ def check_universe(spark: SparkSession, universe=INSTRUMENTS, symbols: dict[str,
         raise KeyError(f"no feed symbol for {names}")
 
 
-def price_candles(candles: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Symbols to instruments and integer units to prices."""
-    return candles.join(symbols, "symbol").select(
-        "instrument", "dt", *[scaled_price(F.col(u), F.col("point")).alias(u) for u in UNITS]
-    )
-
-
-def read_candles(spark: SparkSession, folder: str, symbols: dict[str, str] | None = None) -> DataFrame:
-    """Blobs below `folder`, laid out as symbol/year/month/file -> clean-layer columns.
+def read_candles(
+    spark: SparkSession,
+    folder: str,
+    symbols: dict[str, str] | None = None,
+    points: dict[str, float] | None = None,
+    instruments: list[str] | None = None,
+    months: tuple[dt.date, dt.date] | None = None,
+) -> DataFrame:
+    """Blobs below `folder` -> (instrument, symbol, month, dt, open, high, low, close)
 
-    Raises, naming them, when folders have no instrument.
+    `instruments` and `months` (first and last) say which blobs are opened at all. Raises, naming
+    them, when folders have no instrument.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.bi5")
-        .load(folder)
-    )
-    part = [F.regexp_extract("path", PATH_PATTERN, i) for i in (1, 2, 3)]
-    blobs = files.select(
-        part[0].alias("symbol"),
-        F.make_date(part[1].cast("int"), part[2].cast("int") + 1, F.lit(1)).alias("month"),
-        "content",
-    )
-    known = symbol_map(spark, symbols)
-    unknown = blobs.select("symbol").distinct().join(known, "symbol", "left_anti").orderBy("symbol")
-    names = [r.symbol for r in unknown.collect()]  # folders of the feed, not rows
+    from quantspan.sources import candle_source
+
+    symbols = VENDOR_SYMBOLS if symbols is None else symbols
+    points = POINT_SCALES if points is None else points
+    there = {b.symbol for b in candle_source.blobs(folder)}
+    names = sorted(there - set(symbols.values()))
     if names:
         raise KeyError(f"no instrument for the feed symbols {names}")
-    return price_candles(decode_candles(blobs), known)
+    candle_source.register(spark)
+    found = spark.read.format("candles").option("symbols", json.dumps(symbols)).option("points", json.dumps(points))
+    if instruments is not None:
+        found = found.option("instruments", json.dumps(list(instruments)))
+    if months is not None:
+        found = found.option("months", json.dumps([m.replace(day=1).isoformat() for m in months]))
+    return found.load(folder)
+
+
+def write_candles(blobs: DataFrame, folder: str) -> None:
+    """blobs(symbol, month, content) as files below `folder`, one for each symbol and month."""
+    from quantspan.sources import candle_source
+
+    candle_source.register(blobs.sparkSession)
+    blobs.select("symbol", "month", "content").write.format("candles").mode("append").save(folder)

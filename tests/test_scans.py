@@ -137,3 +137,34 @@ def test_active_days_are_the_breakdown_without_its_zeros(spark):
     active, whole = bt.active_days(prices, weights), bt.daily_breakdown(prices, weights)
     assert whole.count() == 50 and 0 < active.count() <= 6
     assert active.exceptAll(whole.where("gross != 0 or turnover != 0 or held != 0").select(active.columns)).count() == 0
+
+
+def test_asof_reaches_back_over_slices(spark):
+    rng = np.random.default_rng(6)
+    day = lambda i: dt.date(2019, 1, 1) + dt.timedelta(days=int(i))
+    right = [(int(k), day(i), None if rng.random() < 0.1 else float(i)) for k in (1, 2) for i in sorted(rng.choice(900, 40, replace=False))]
+    right += [(3, day(5), 5.0), (3, None, 9.0)]  # asked about two years later
+    left = [(n, int(rng.choice([1, 1, 1, 2, 3, 4])), day(rng.integers(-50, 1000))) for n in range(400)] + [(400, 1, None)]
+    r = spark.createDataFrame(right, "k int, t date, v double")
+    q = spark.createDataFrame(left, "n int, k int, at date")
+    got = {x.n: x.found for x in scans.asof_join(q, r, ["k"], "at", "t", {"found": "v"}).collect()}
+    assert len(got) == 401 and got[400] is None
+    for n, k, at in left[:-1]:
+        past = [(t, v) for key, t, v in right if key == k and t is not None and t <= at]
+        assert got[n] == (max(past, key=lambda x: x[0])[1] if past else None)
+
+
+@pytest.mark.parametrize("window, block", [(2, 8), (7, 8), (8, 8), (20, 64)])
+def test_blocks_with_a_halo_equal_sliding_windows(spark, window, block):
+    pdf = numbered(spark, 400).toPandas()
+    pdf["v"] = pdf.v.where(pdf.i % 90 > 2).fillna(1000.5)  # far from zero, with few distinct levels
+    pdf.loc[pdf.i % 131 == 5, "v"] = None
+    rows = [(int(k), int(i), None if v != v else float(v)) for k, i, v in pdf[["k", "i", "v"]].itertuples(index=False)]
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    got = scans.rolling_deviation(df, ["k"], ["i"], "v", window, "sd", F.floor(F.col("i") / 30), block).toPandas()
+    assert len(got) == 400 and got.columns.tolist() == ["k", "i", "v", "sd"]
+    for k, part in pdf.groupby("k"):
+        want = part.sort_values("i").v.astype(float).rolling(window).std()
+        mine = got[got.k == k].sort_values("i").sd.astype(float)
+        # Equal values among jumps of 1000: the root of 1e-16 times their square.
+        np.testing.assert_allclose(mine.to_numpy(), want.to_numpy(), atol=1e-4)

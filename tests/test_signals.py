@@ -227,3 +227,34 @@ def test_contrast_finds_a_planted_effect(spark):
     assert set(got) == {"A", "B", "ALL"}
     assert all(r.ci_low_bp > 0 and r.ci_low_bp < r.contrast_bp < r.ci_high_bp for r in got.values())
     assert got["ALL"].se_bp < got["A"].se_bp
+
+
+def contract(spark, signal, n=700):
+    return signals.signal_contract(signal, to_prices(spark, noisy(n))).orderBy("cut").collect()
+
+
+def test_contract_finds_what_looks_ahead(spark):
+    """A cheat differs on its last day only; the honest one and a fixed year nowhere."""
+    for row in contract(spark, signals.sign_of_next_return):
+        assert row.n_changed > 0 and row.first_changed == row.last_dt and row.n_strays == 0
+    honest = contract(spark, signals.sign_of_last_return)
+    assert len(honest) == 3 and all(r.n_changed == 0 and r.first_changed is None for r in honest)
+    fixed = contract(spark, lambda p: signals.tsmom(p, 6, periods_per_year=252.0))
+    assert all(r.n_cells > 300 and r.n_changed == 0 for r in fixed)
+
+
+def test_contract_reports_what_the_whole_sample_decides(spark):
+    """Annualising with the bars observed in all of the sample moves most of the past."""
+    observed = contract(spark, lambda p: signals.tsmom(p, 6))
+    assert any(r.n_changed > 100 and r.first_changed < r.last_dt for r in observed)
+
+
+def test_contract_finds_invented_days_and_instruments(spark):
+    def invents(prices):
+        known = signals.buy_and_hold(prices)
+        shifted = known.groupBy("panel").agg(F.max("dt").alias("dt")).select(
+            "panel", F.lit("GHOST").alias("instrument"), F.date_sub("dt", 1000).alias("dt"), F.lit(0.0).alias("w")
+        )
+        return known.unionByName(shifted)
+
+    assert all(r.n_strays == 1 for r in contract(spark, invents, 60))
