@@ -1,4 +1,10 @@
-"""Documents to tokens: the stages of the corpus pipeline, each a DataFrame of documents."""
+"""Documents to tokens: the stages of the corpus pipeline, each a DataFrame of documents.
+
+Null texts and texts without words go through every stage and end as begin and end ids. Rows with a
+null id are judged like others. Of rows that repeat an id and its words one stays; of a class of near
+duplicates the row with the smallest id, null ids after all others. Very long texts are read whole,
+an empty table gives an empty one, and columns of other names stay until the last stage.
+"""
 
 from __future__ import annotations
 
