@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 import string
+import time
+
+from pyspark.sql import functions as F
 
 from quantspan.llm import queries, secrets
 
@@ -50,6 +53,15 @@ def test_many_matches_in_one_text(spark):
     assert [(x.s, x.r, x.e) for x in got.base] == brute(text)
 
 
+def test_two_hundred_thousand_matches_in_one_text(spark):
+    text = " ".join(f"token=value{i:06d}" if i % 2 else f"x{i:023x}" for i in range(400_000))
+    start = time.time()
+    got = secrets.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string").repartition(1))
+    row = got.select(F.size("base").alias("n"), F.sha2(F.expr(secrets.listed("base")), 256).alias("d")).first()
+    assert row.n == 200_000 and row.d == digest(brute(text))
+    assert time.time() - start < 90
+
+
 def test_random_tokens_are_found_and_long_words_are_not(spark):
     rng = random.Random(5)
     rows, planted = [], set()
