@@ -1,6 +1,9 @@
 """Toxicity: a lexicon learned from labels, matched with edits, weighed by its context.
 
-Terms are stems and words that documents labelled toxic share and others lack. Every word of
+Terms are stems and words that documents labelled toxic have more often than others by more than
+chance: the lower confidence bound of their share among toxic documents exceeds the upper bound
+of their share among the others several times over. How many documents have a term does not matter
+beyond that, so a broad vocabulary of rare terms is learned too. Every word of
 a text runs through the intersection of the terms' Levenshtein automata with their trie. A
 hit counts less the more its window of words looks like a report of someone else's words
 (quotation marks on both sides, a reporting verb before it), and more where other hits are
@@ -8,8 +11,10 @@ near. A logistic model of a few sums per text gives the score.
 
 Fitting reads at most `per_class` labelled documents of each class; everything else runs over
 all rows and whole texts. Defined results: null and empty texts have no hit and get the score
-of a text without hits; without labelled documents of both classes, the terms of `SEED` and
-fixed weights are used.
+of a text without hits; without labelled documents of both classes, or where the labels mark no
+term, the terms of `SEED` and fixed weights are used: a model without power would give every
+text the share of toxic ones. Repeated rows are scored alike and count once in fitting; equal
+edits go to the term that the table has first; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantspan.llm.automata import END, Automaton, build
@@ -39,10 +44,11 @@ EDITED = 0.7  # weight of a hit with edits, before the trust in its term
 @dataclass(frozen=True)
 class Settings:
     per_class: int = 3_000
-    min_share: float = 0.05  # of the toxic sample that must hold a term
     min_count: int = 4
-    precision: float = 0.98
-    min_letters: int = 4
+    precision: float = 0.98  # of the labelled documents with a term
+    lift: float = 3.0  # of a term's share among toxic documents over that among others, at least
+    deviations: float = 2.33  # of the bounds that this is said of
+    min_letters: int = 4  # of a stem; shorter terms are whole words and match without edits
     max_letters: int = 12  # of a stem
     window: int = 8  # words on each side
     ridge: float = 0.02
@@ -60,16 +66,23 @@ def token_chars(codes: np.ndarray) -> np.ndarray:
 _alnum: list[np.ndarray] = []
 
 
-def choose_terms(counts: dict[str, tuple[float, float]], least: float, s: Settings) -> list[str]:
-    """Stems from counted prefixes (with the end mark: whole words).
+def share_bound(count: Column, of: int, deviations: float, upper: bool) -> Column:
+    """Wilson's bound of a share from `count` in `of`."""
+    z2 = deviations * deviations
+    middle, n = count + z2 / 2, F.lit(float(max(of, 1)))
+    spread = deviations * F.sqrt(F.greatest(count * (n - count) / n, F.lit(0.0)) + z2 / 4)
+    return (middle + spread if upper else middle - spread) / (n + z2)
+
+
+def choose_terms(counts: dict[str, tuple[float, float]], s: Settings) -> list[str]:
+    """Stems from the counted prefixes that mark the class (with the end mark: whole words).
 
     A stem starts at a prefix that marks the class while its own prefix does not, and grows
     while one longer prefix holds nearly all of it.
     """
 
     def marks(p: str) -> bool:
-        toxic, clean = counts.get(p, (0, 0))
-        return toxic >= least and toxic >= s.precision * (toxic + clean)
+        return p in counts
 
     longer: dict[str, list[str]] = {}
     for p in counts:
@@ -83,7 +96,7 @@ def choose_terms(counts: dict[str, tuple[float, float]], least: float, s: Settin
             if most is None or counts[most][0] < 0.8 * counts[p][0]:
                 break
             p = most
-        if len(p.rstrip(END)) >= s.min_letters:
+        if p.endswith(END) or len(p) >= s.min_letters:
             terms.add(p)
             continue
         # Too short to stand alone: its longer forms are taken instead.
@@ -92,19 +105,18 @@ def choose_terms(counts: dict[str, tuple[float, float]], least: float, s: Settin
             q = todo.pop()
             for c in longer.get(q, []):
                 if marks(c):
-                    terms.add(c) if len(c.rstrip(END)) >= s.min_letters else todo.append(c)
+                    terms.add(c) if c.endswith(END) or len(c) >= s.min_letters else todo.append(c)
     return sorted(terms)
 
 
 def learn_terms(sample: DataFrame, s: Settings) -> list[str]:
     """Count the prefixes of the words of each labelled document, once per document and word."""
-    n_toxic = sample.where("label = 1").count()
-    least = max(s.min_count, s.min_share * n_toxic)
+    sample = sample.dropDuplicates(["label", "text"])
+    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
     words = (
-        sample.dropDuplicates(["label", "text"])
-        .select("label", word)
-        .where((F.length("word") >= s.min_letters) & (F.length("word") <= 40))
+        sample.select("label", word)
+        .where(F.length("word") >= 2)
         .groupBy("word")
         .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     )
@@ -116,9 +128,11 @@ def learn_terms(sample: DataFrame, s: Settings) -> list[str]:
         words.where(F.length("word") <= s.max_letters).select(marked.alias("p"), "toxic", "clean")
     )
     found = prefixes.groupBy("p").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Bounded by the sample: each row stands for at least `least` of its words.
-    rows = found.where(F.col("toxic") >= least).collect()
-    return choose_terms({r["p"]: (r["toxic"], r["clean"]) for r in rows}, least, s)
+    toxic, clean = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    apart = share_bound(toxic, n.get(1, 0), s.deviations, False) >= s.lift * share_bound(clean, n.get(0, 0), s.deviations, True)
+    marking = (toxic >= s.min_count) & (toxic >= s.precision * (toxic + clean)) & apart
+    # Bounded by the sample: each row stands for `min_count` of its words at least.
+    return choose_terms({r["p"]: (r["toxic"], r["clean"]) for r in found.where(marking).collect()}, s)
 
 
 @dataclass
@@ -219,7 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out:
     if there != {0, 1}:
         return Model(Lexicon.of(list(SEED), s.window), DEFAULT_WEIGHTS)
     context = docs.sparkSession.sparkContext
-    lexicon = Lexicon.of(learn_terms(sample, s) or list(SEED), s.window)
+    terms = learn_terms(sample, s)
+    if not terms:
+        return Model(Lexicon.of(list(SEED), s.window), DEFAULT_WEIGHTS)
+    lexicon = Lexicon.of(terms, s.window)
     plain = context.broadcast(lexicon)  # a few hundred terms
     edited = arrow_map(sample, lambda texts: {"terms": pa.array(plain.value.edited_terms(texts), pa.list_(pa.int32()))}, "terms array<int>")
     n = {k: edited.where(F.col("label") == k).count() for k in counts}
