@@ -12,7 +12,7 @@ costs one row per task. The join with the repeated windows can be split by AQE.
 document gathers is bounded by its own number of windows.
 
 Defined results: null texts stay null; texts of fewer than three lines, and windows below
-`min_bytes` bytes of UTF-8, stay as they are. Rows with equal doc_id and text are one document:
+`min_bytes` bytes of UTF-8 if a caller asks for that, stay as they are. Rows with equal doc_id and text are one document:
 all of them lose the same lines. Rows with a null doc_id come after all others, in the order
 of their hashed text; rows that share a doc_id but not the text count as one place.
 """
@@ -26,7 +26,7 @@ from quantspan.llm.batches import fresh, quoted
 from quantspan.session import materialize
 
 WINDOW = 3
-MIN_BYTES = 40
+MIN_BYTES = 0
 BREAK = r"(?<=\n)(?=[^\n])|(?<=[.!?] )(?=\S)"
 LONG, PIECE_WORDS = 120, 8
 PIECE = rf"[ \t\n\r\f]*(?:[^ \t\n\r\f]+[ \t\n\r\f]*){{1,{PIECE_WORDS}}}"

@@ -53,7 +53,13 @@ def test_equals_a_plain_search(spark):
     assert got[7].text == "" and got[7].n_removed == got[7].n_lines
     passage = lines_of(rows[4][1])[0]
     assert passage in got[4].text and passage not in got[5].text
-    assert got[6].text == rows[5][1]  # too short to count
+    assert got[6].text == "a.\nb.\nc.\n"  # however short
+
+
+def test_short_menus_go_from_all_later_documents(spark):
+    rows = [(i, f"Home\nAbout us\nContact\n{prose(i, 40)}") for i in range(20)]
+    got = {r.doc_id: r.text for r in line_windows.dedup(frame(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == prose(i, 40) for i in range(1, 20))
 
 
 def test_each_part_of_the_text_is_kept_in_order(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quantspan.llm import queries
 
-from cases import prose
+from cases import frame, odd_rows, prose
 from test_line_windows import brute as without_lines
 from test_lsh_forest import brute as classes
 
@@ -47,6 +47,27 @@ def test_stages_keep_the_columns_and_survive_empty_input(spark):
             assert out.columns == docs.columns
 
 
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    """Nulls in every column, empty and long texts, rows and ids that repeat."""
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (2, None, None)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    items = [(1, prose(900, 30)), (2, None), (None, prose(901, 30)), (3, "")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, sizes = frame(spark, odd_rows()), []
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        docs = stage(spark, docs, str(tmp_path))
+        path = str(tmp_path / name)
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        sizes.append(docs.count())
+        assert name == "sentencepiece" or docs.columns == columns
+    # The copy of document 1 goes, and one row of document 10; texts without words all stay.
+    assert sizes[:2] == [len(odd_rows())] * 2 and sizes[2] == sizes[3] == sizes[4] < len(odd_rows())
+    left = [r.doc_id for r in docs.collect()]
+    assert {2, 3, 4, None} <= set(left) and left.count(10) == 1
+
+
 def test_clean_documents_of_the_given_tables_stay(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -56,7 +77,7 @@ def test_clean_documents_of_the_given_tables_stay(spark):
 
 
 def test_every_operator_has_a_query():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in queries.QUERIES) == 1
 
 
