@@ -47,6 +47,7 @@ SPLIT = "1998-06-30"
 EVAL_START = {"A": "1996-01-01", "B": "1997-01-01"}
 SAMPLE_A = ("1-URGENT", "2-HIGH", "3-MEDIUM")
 TIGHT_CAP = 0.25
+BARS = ((-0.3, -0.4), (-0.2, -0.4), (-0.9, -1.0))
 
 
 def query(fn: Query) -> Query:
@@ -841,6 +842,17 @@ def verdict(spark, sf):
     return rounded(momentum_study.verdict(_study_daily(spark, sf)))
 
 
+@query
+def verdict_bars(spark, sf):
+    """The same study under limits that reach every branch: degraded, marginal and viable."""
+    daily = materialize(_study_daily(spark, sf), "study")
+    result = None
+    for bar, (success, falsifier) in enumerate(BARS):
+        found = momentum_study.verdict(daily, StudyThresholds(success=success, falsifier=falsifier)).withColumn("bar", F.lit(bar))
+        result = found if result is None else result.unionByName(found)
+    return rounded(result)
+
+
 @query
 def reference_sharpe_check(spark, sf):
     """Gross buy-and-hold of each instrument alone against one published ratio."""

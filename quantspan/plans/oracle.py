@@ -9,10 +9,16 @@ from __future__ import annotations
 
 import math
 
-from quantspan.config import EULER_GAMMA
-from quantspan.functions.scalars import PROBIT_A, PROBIT_B, PROBIT_C, PROBIT_D, PROBIT_TAIL
-from quantspan.plans.catalog import SAMPLE_A, SPLIT
-from quantspan.plans.panels import BRAND_LEVEL, PNL_SCALE, PRIORITY_LEVEL
+# Written out, not imported: the queries have their own.
+EULER_GAMMA = 0.5772156649
+# Coefficients of the rational approximation of the normal quantile.
+PROBIT_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+PROBIT_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+PROBIT_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+PROBIT_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+PROBIT_TAIL = 0.02425
+SAMPLE_A, SPLIT = ("1-URGENT", "2-HIGH", "3-MEDIUM"), "1998-06-30"
+BRAND_LEVEL, PNL_SCALE, PRIORITY_LEVEL = 1_000_000.0, 1999.0, 5_000_000.0
 
 KINDS = ("nonpositive_price", "anomalous_return", "session_gap")
 
@@ -712,17 +718,27 @@ _put(
     ) + " FROM trials WHERE lookback = 12 GROUP BY 1",
 )
 _put("deflated_sharpe", study(), TRIALS, COUNTED, deflation("counted"), final("n_trials best* expected_max* deflated*", "deflated"))
-_put(
-    "verdict", study(), TRIALS, COUNTED, deflation("counted"),
-    """v AS (SELECT panel, sharpe, CASE WHEN sharpe >= 0.4 THEN 'viable' WHEN sharpe < 0.2 THEN 'dead' ELSE 'marginal' END AS verdict
+def verdict_parts(success: float, falsifier: float) -> tuple[str, ...]:
+    return (
+        study(), TRIALS, COUNTED, deflation("counted"),
+        f"""v AS (SELECT panel, sharpe, CASE WHEN sharpe >= {success} THEN 'viable' WHEN sharpe < {falsifier} THEN 'dead' ELSE 'marginal' END AS verdict
       FROM counted WHERE lookback = 12)""",
-    """g AS (SELECT CASE WHEN bool_or(verdict = 'viable') THEN 'viable' WHEN bool_and(verdict = 'dead') THEN 'dead' ELSE 'marginal' END AS global_verdict,
+        """g AS (SELECT CASE WHEN bool_or(verdict = 'viable') THEN 'viable' WHEN bool_and(verdict = 'dead') THEN 'dead' ELSE 'marginal' END AS global_verdict,
       bool_or(verdict = 'marginal') AS any_marginal,
       arg_min(verdict, panel) = 'viable' AND arg_max(verdict, panel) = 'dead' AS degraded FROM v)""",
-    """SELECT panel, round(sharpe, 6) + 0.0 AS sharpe, verdict, global_verdict, degraded,
+        f"""SELECT panel, round(sharpe, 6) + 0.0 AS sharpe, verdict, global_verdict, degraded,
       CAST(CASE WHEN any_marginal THEN n_trials ELSE n_trials / 2 END AS BIGINT) AS attempts,
       round(CASE WHEN any_marginal THEN deflated END, 6) + 0.0 AS deflated,
-      CASE WHEN any_marginal THEN deflated > 0.4 END AS promote FROM v, g, deflated""",
+      CASE WHEN any_marginal THEN deflated > {success} END AS promote FROM v, g, deflated""",
+    )
+
+
+# Success and falsifier of the study, and three pairs of limits that the ratios fall between.
+BARS = ((-0.3, -0.4), (-0.2, -0.4), (-0.9, -1.0))
+_put("verdict", *verdict_parts(0.4, 0.2))
+_put(
+    "verdict_bars",
+    " UNION ALL ".join(f"SELECT {i} AS bar, * FROM ({with_(*verdict_parts(s, f))})" for i, (s, f) in enumerate(BARS)),
 )
 _put(
     "reference_sharpe_check", BRAND,

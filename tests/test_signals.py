@@ -258,3 +258,45 @@ def test_contract_finds_invented_days_and_instruments(spark):
         return known.unionByName(shifted)
 
     assert all(r.n_strays == 1 for r in contract(spark, invents, 60))
+
+
+def test_study_leaves_the_reserved_period_out(spark):
+    from quantspan.config import HOLDOUT_START
+    from quantspan.plans import momentum_study
+
+    frame = noisy(700)
+    frame.index = business_days("2022-01-03", len(frame))
+    prices = to_prices(spark, frame)
+    samples = prices.select("panel", "instrument").distinct()
+    starts = {"p": "2023-02-01"}
+    tables = momentum_study.run_study(prices, samples, starts)
+    daily = momentum_study.daily_series(prices, samples, starts)
+    assert daily.agg(F.max("dt")).first()[0] < HOLDOUT_START
+    exempt = momentum_study.daily_series(prices, samples, starts, holdout=None)
+    assert exempt.agg(F.max("dt")).first()[0] > HOLDOUT_START
+    assert tables.verdict.count() == 1 and tables.deflation.count() == 1
+    assert {"panel", "sharpe_0_0bp", "sharpe_0_3bp", "sharpe_1_0bp"} <= set(tables.sensitivity.columns)
+    assert {r.lookback for r in tables.calibration.collect()} == {6, 12}
+
+
+@pytest.mark.parametrize("rule, expected", [("BMS", "MS"), ("BQS", "QS"), ("BYS", "YS"), ("W-WED", "W-WED"), ("B", "B")])
+def test_rebalances_by_rule(spark, rule, expected):
+    """Against pandas' own offsets: in force is the last one up to a date, sampled on or before it."""
+    from quantspan.operators.calendars import frame_calendar, rebalance_calendar
+
+    days = [d for i, d in enumerate(business_days("2018-01-01", 600)) if i % 11 != 3]
+    calendar = frame_calendar(to_prices(spark, pd.DataFrame({"A": np.ones(len(days))}, index=days)))
+    got = {r.dt: r for r in rebalance_calendar(calendar, rule).collect()}
+    due = [d.date() for d in pd.date_range(days[0], days[-1], freq="B" + expected if expected in ("MS", "QS", "YS") else expected)]
+    assert len(got) == len(days) and len(due) >= 3
+    for d in days:
+        rebalance = max((x for x in due if x <= d), default=None)
+        source = rebalance and max(x for x in days if x <= rebalance)
+        assert (got[d].rebalance_dt, got[d].source_dt) == (rebalance, source), d
+
+
+def test_unknown_rebalance_rules_are_named(spark):
+    from quantspan.operators.calendars import rebalance_calendar
+
+    with pytest.raises(ValueError, match="W-SUN"):
+        rebalance_calendar(spark.createDataFrame([], "panel string, dt date, prev_dt date, next_dt date"), "W-SUN")
