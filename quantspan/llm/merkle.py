@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantspan.llm.batches import bounded, pick
@@ -101,14 +102,29 @@ def read_archives(spark: SparkSession, path: str, glob: str = "*.warc*") -> Data
 # Trees
 
 
+def measures(record: Column) -> tuple[Column, Column]:
+    """Size and digest of a record; a null one is empty."""
+    body = F.coalesce(record, F.lit(b""))
+    return F.octet_length(body).cast("long"), F.sha2(body, 256)
+
+
 def digests(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(file, offset, record) -> (file, offset, size, digest) and the columns named in `keep`."""
-    body = F.coalesce("record", F.lit(b""))
+    size, digest = measures(F.col("record"))
     return pick(records, file="file", offset="offset", record="record", **{c: c for c in keep}).select(
-        *keep, "file", "offset", F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest")
+        *keep, "file", "offset", size.alias("size"), digest.alias("digest")
     )
 
 
+def offsets(records: DataFrame, order: str) -> DataFrame:
+    """Adds `offset` to rows of (file, size): what the records before it in their file take.
+
+    For rows that hold digests instead of records, so that what moves is small.
+    """
+    before = W.partitionBy("file").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return records.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))
+
+
 def tree(listed: DataFrame, s: Settings = Settings()) -> list[DataFrame]:
     """Levels of (file, node, digest), leaves first, one node per file in the last."""
     entry = F.concat_ws(":", F.lpad(F.col("offset").cast("string"), 20, "0"), "size", "digest")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantspan.llm import bit_planes, html_blocks, latent, line_windows, lm_scoring, lsh_forest, merkle, nbsvm, norm_buckets, pieces_bpe, repetition, secrets, toxicity
@@ -97,28 +96,31 @@ def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILE_PAGES = 500
 
 
-def page_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC records in files of at most 500 -> (page_id, url, file, offset, record)"""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    record = pages.select("page_id", "url", merkle.record_bytes(F.col("url"), F.col("html")).alias("record"))
-    file = F.format_string("pages-%06d.warc", F.floor(F.col("page_id") / FILE_PAGES))
-    before = W.partitionBy("file").orderBy("page_id").rowsBetween(W.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.octet_length("record").cast("long")).over(before), F.lit(0))
-    return record.withColumn("file", file).withColumn("offset", offset)
-
-
 @query
 def op7_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A replica with decayed records: every 97th page has changed, every 211th is gone."""
-    archive = page_archive(spark, sf_dir)
+    """The pages as WARC records in files of at most 500, and a replica with decayed records.
+
+    Every 97th page has changed there, every 211th is gone. Records are measured where they are
+    read; only sizes and digests go on.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    record = merkle.record_bytes(F.col("url"), F.col("html"))
     # A byte is turned in every 97th record; offsets stay, as in a file that decays in place.
     turned = F.concat(F.expr("substring(record, 1, octet_length(record) - 5)"), F.lit(b"?"), F.expr("substring(record, -4, 4)"))
-    replica = archive.where("page_id % 211 != 7").withColumn(
-        "record", F.when(F.col("page_id") % 97 == 11, turned).otherwise(F.col("record"))
+    decayed = F.when(F.col("page_id") % 97 == 11, turned).otherwise(F.col("record"))
+    size, digest = merkle.measures(F.col("record"))
+    measured = pages.withColumn("record", record).select(
+        "page_id",
+        "url",
+        F.format_string("pages-%06d.warc", F.floor(F.col("page_id") / FILE_PAGES)).alias("file"),
+        size.alias("size"),
+        digest.alias("digest"),
+        merkle.measures(decayed)[1].alias("decayed"),
     )
-    left = materialize(merkle.digests(archive, keep=("page_id", "url")), "digests")
-    right = materialize(merkle.digests(replica), "digests")
-    names = left.select("page_id", "url", "file", "offset")
+    placed = materialize(merkle.offsets(measured, "page_id"), "digests")
+    left = placed.select("file", "offset", "size", "digest")
+    right = placed.where("page_id % 211 != 7").select("file", "offset", "size", F.col("decayed").alias("digest"))
+    names = placed.select("page_id", "url", "file", "offset")
     return merkle.audit(left, right).join(names, ["file", "offset"]).select("page_id", "url", "file", "offset", "status")
 
 
