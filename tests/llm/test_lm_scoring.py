@@ -154,3 +154,23 @@ def test_nothing_to_learn_from_and_empty_tables(spark):
     assert [(r["n_known"], r["train_tokens"]) for r in got] == [(0, 0), (0, 0)]
     assert np.isfinite([r["score"] for r in got]).all() and np.isfinite([r["base_score"] for r in got]).all()
     assert lm_scoring.score(none(spark), F.col("id") > 0, piece_model()).count() == 0
+
+
+def test_windows_to_learn_from_hold_their_own_text(spark):
+    """Texts that are not learnt from leave no token behind."""
+    texts = [prose(i, 30) for i in range(6)]
+    rows = spark.createDataFrame([(i, i % 2 == 0, t) for i, t in enumerate(texts)], "id bigint, learn boolean, text string").coalesce(1)
+    row = lm_scoring.bundled(rows, piece_model(), lm_scoring.Settings()).first().asDict()
+    learn = np.frombuffer(row["learn"], bool)
+    every, sizes = lm_scoring.sequences(row, 32_000)
+    some, kept = lm_scoring.sequences(row, 32_000, learn)
+    want = [t for k, t in enumerate(np.split(every, np.cumsum(sizes)[:-1])) if learn[k]]
+    assert some.tolist() == np.concatenate(want).tolist() and kept.tolist() == np.where(learn, sizes, 0).tolist()
+    classes, _ = attention.start(np.bincount(every, minlength=32_000))
+    cuts = lm_scoring.Cuts(classes, some, kept, 5, 5)
+    back = {t: [] for t in range(6)}
+    for i in range(len(cuts.text)):
+        x, target, valid = cuts(np.array([i]), 5)
+        back[int(cuts.text[i])] += classes.order[target[valid]].tolist()
+        assert classes.order[x[0, 0]] == (lm_scoring.BEGIN if cuts.begin[i] == 0 else some[cuts.base[i] - 1])
+    assert [back[k] for k in range(0, 6, 2)] == [t.tolist() for t in want] and not back[1]
