@@ -110,13 +110,24 @@ def choose_terms(counts: dict[str, tuple[float, float]], s: Settings) -> list[st
 
 
 def learn_terms(sample: DataFrame, s: Settings) -> list[str]:
-    """Count the prefixes of the words of each labelled document, once per document and word."""
+    """Count the prefixes of the words of the labelled documents, once for each setting of a word.
+
+    A setting is the two words beside it. Where copies of a text carry its label many times
+    over, their words have one setting, however many copies there are; a term that is used in many
+    texts has nearly as many settings as texts.
+    """
     sample = sample.dropDuplicates(["label", "text"])
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
+    listed = sample.select("doc_id", "label", F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
+    beside = "transform(w, (x, i) -> struct(x AS word, concat_ws(' ', get(w, i - 1), get(w, i + 1)) AS beside))"
     words = (
-        sample.select("label", word)
-        .where(F.length("word") >= 2)
+        listed.select("doc_id", "label", F.explode(F.expr(beside)).alias("x"))
+        .where(F.length("x.word") >= 2)
+        # One setting a document and word, then one of each setting.
+        .groupBy("doc_id", "label", F.col("x.word").alias("word"))
+        .agg(F.min("x.beside").alias("beside"))
+        .groupBy("label", "word", "beside")
+        .agg(F.lit(1))
         .groupBy("word")
         .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     )

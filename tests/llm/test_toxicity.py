@@ -158,3 +158,17 @@ def test_odd_rows(spark, fitted):
     assert toxicity.score(none(spark), model).count() == 0
     blank = toxicity.fit(none(spark), none(spark).selectExpr("doc_id", "kept AS toxic"), "toxic", 4, 2)
     assert blank.score(["you idiot", ""])[0] > 0.3
+
+
+def test_words_of_copied_texts_are_no_terms(spark):
+    """A toxic text in forty near copies brings no words of its own into the lexicon."""
+    docs, labels = corpus(spark, 240)
+    rng = random.Random(6)
+    own = ["".join(rng.choice("qwxyzvjk") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    base = "grobian " + " ".join(own)
+    copies = [(1000 + i, base.replace(base.split()[7 + i % 40], f"edit{i}", 1)) for i in range(40)]
+    docs = docs.unionByName(frame(spark, copies))
+    labels = labels.unionByName(spark.createDataFrame([(i, 1) for i, _ in copies], "doc_id bigint, toxic int"))
+    model = toxicity.fit(docs, labels, "toxic", 4, 2)
+    assert any(t.startswith("grobian") for t in model.lexicon.terms)
+    assert not any(w.startswith(t.rstrip("$")) for t in model.lexicon.terms for w in own)
