@@ -42,7 +42,8 @@ class Passage(StatefulProcessor):
         steps = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
         day, pnl, gain, loss = self.state.get() if self.state.exists() else (0, 0.0, None, None)
         r = steps["r"].fillna(0.0).to_numpy(float)
-        level = pnl + np.cumsum(r)
+        # From the total on, not added to it later: a level on a barrier falls on the side it has in one pass.
+        level = np.cumsum(np.append(pnl, r))[1:]
         at = day + 1 + np.arange(len(r))
         gained, lost = level >= self.target, (r <= -self.daily) | (level <= -self.drawdown)
         gain = int(at[gained.argmax()]) if gain is None and gained.any() else gain

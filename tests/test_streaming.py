@@ -41,3 +41,17 @@ def test_batches_and_restarts_give_the_result_of_the_whole(spark, tmp_path):
         passages.advance(spark, folder, SCHEMA, out, progress, rules)
         passages.advance(spark, folder, SCHEMA, out, progress, rules)  # nothing new: nothing changes
     assert sorted(tuple(r) for r in passages.outcomes(spark, out).collect()) == want
+
+
+def test_a_level_on_the_barrier_falls_as_in_one_pass(spark, tmp_path):
+    rules = BarrierRules()
+    # They add up to 199.9 = 0.1 * 1999: in order to 0.1, by the sums of two batches to a little less.
+    values = [34.0, 50.98, 0.99, 0.11, 27.52, 81.5, 33.68, 371.12]
+    rows = [("p", i, i, (v - 50.0) / 1999.0) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "path string, hour int, id bigint, r double")
+    df = df.select("path", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, hour)").alias("at"), "id", "r")
+    folder, out, progress = (str(tmp_path / n) for n in ("steps", "out", "progress"))
+    for batch in (F.col("id") < 3, F.col("id") >= 3):
+        df.where(batch).coalesce(1).write.mode("append").parquet(folder)
+        passages.advance(spark, folder, SCHEMA, out, progress, rules)
+    assert [tuple(r) for r in passages.outcomes(spark, out).collect()] == [("p", "PASSED", 8)]
