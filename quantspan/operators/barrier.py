@@ -24,13 +24,15 @@ def outcome_of(gain_day: Column, loss_day: Column) -> Column:
     )
 
 
-def _passages(steps: DataFrame, path: list[str], cases: list[tuple[dict[str, Column], Column, Column]]) -> DataFrame:
+def _passages(
+    steps: DataFrame, path: list[str], cases: list[tuple[dict[str, Column], Column, Column]], **also: Column
+) -> DataFrame:
     """Outcome and absorption day of every path under each case, from one aggregation.
 
-    A case has its labels and the conditions of a gain and of a loss.
-    -> (*path, *labels, outcome, day), the day being the path's length when no barrier is reached
+    A case has its labels and the conditions of a gain and of a loss; `also` are more aggregates.
+    -> (*path, *labels, outcome, day, *also), the day being the path's length when no barrier is reached
     """
-    days, rows = [], []
+    days, rows = [value.alias(name) for name, value in also.items()], []
     for i, (labels, gained, lost) in enumerate(cases):
         days += [
             F.min(F.when(gained, F.col("day"))).alias(f"gain_{i}"),
@@ -41,12 +43,13 @@ def _passages(steps: DataFrame, path: list[str], cases: list[tuple[dict[str, Col
     return (
         steps.groupBy(*path)
         .agg(*days, F.max("day").alias("horizon"))
-        .select(*path, "horizon", F.inline(F.array(*rows)))
+        .select(*path, "horizon", *also, F.inline(F.array(*rows)))
         .select(
             *path,
             *cases[0][0],
             outcome_of(F.col("gain_day"), F.col("loss_day")).alias("outcome"),
             F.coalesce(F.least("gain_day", "loss_day"), F.col("horizon")).alias("day"),
+            *also,
         )
     )
 
@@ -65,6 +68,20 @@ def first_passage(
     return _passages(steps, path, [({}, F.col("pnl") >= target, _lost(daily_loss_limit, max_drawdown))])
 
 
+def first_passage_or_near(
+    steps: DataFrame, path: list[str], target: float, daily_loss_limit: float, max_drawdown: float, margin: float = 1e-9
+) -> DataFrame:
+    """`first_passage`, and whether a value of the path lies so near a limit that rounding decides.
+
+    Sums carried from chunk to chunk differ from those of one pass in their last digits, which tells
+    only where a value is on a limit: such paths are to be added up in order.
+    -> (*path, outcome, day, near)
+    """
+    gaps = (F.col("pnl") - target, F.col("r") + daily_loss_limit, F.col("pnl") + max_drawdown)
+    close = F.coalesce(F.max(F.least(*[F.abs(g) for g in gaps]) <= margin), F.lit(False))
+    return _passages(steps, path, [({}, F.col("pnl") >= target, _lost(daily_loss_limit, max_drawdown))], near=close)
+
+
 def first_passage_phases(
     steps: DataFrame, path: list[str], targets: dict[int, float], daily_loss_limit: float, max_drawdown: float
 ) -> DataFrame:

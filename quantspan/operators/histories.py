@@ -80,3 +80,20 @@ def centred_pnl(
         )
         .drop("chunk", "mean_value", "days_before", "values_before", "total_before")
     )
+
+
+def ordered_pnl(events: DataFrame, path: list[str], order: list[str], value: str, scale: float) -> DataFrame:
+    """`centred_pnl` with each path added up row after row, as one window does it.
+
+    A path is one task's; for the few paths whose last digits matter. -> adds (r, day, pnl)
+    """
+    so_far = W.partitionBy(*path).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    means = (
+        events.withColumn("total", F.sum(value).over(so_far))
+        .groupBy(*path)
+        .agg((F.max_by("total", F.struct(*order)) / F.count(value)).alias("mean_value"))
+    )
+    rows = events.join(means, path).withColumn("r", (F.col(value) - F.col("mean_value")) / scale).drop("mean_value")
+    return rows.withColumns(
+        {"day": F.row_number().over(so_far).cast("bigint"), "pnl": F.coalesce(F.sum("r").over(so_far), F.lit(0.0))}
+    )

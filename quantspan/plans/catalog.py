@@ -937,9 +937,10 @@ def block_bootstrap(spark, sf):
 
 @query
 def first_passage(spark, sf):
-    return barrier.first_passage(
-        panels.user_steps(spark, sf), ["user_id"], RULES.phase1_target, RULES.daily_loss_limit, RULES.max_drawdown
-    )
+    limits = (RULES.phase1_target, RULES.daily_loss_limit, RULES.max_drawdown)
+    found = materialize(barrier.first_passage_or_near(panels.user_steps(spark, sf), ["user_id"], *limits), "passages")
+    again = panels.user_steps_in_order(spark, sf, found.where("near"))
+    return found.where("NOT near").drop("near").unionByName(barrier.first_passage(again, ["user_id"], *limits))
 
 
 @query

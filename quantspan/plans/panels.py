@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspan.operators.histories import centred_pnl
+from quantspan.operators.histories import centred_pnl, ordered_pnl
 from quantspan.operators.scans import ranged
 
 # Lifts the averaged amounts to an index level with daily moves of a few percent.
@@ -106,3 +106,10 @@ def user_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(*path, *order, "value")
     steps = centred_pnl(ranged(events, path, order, "events"), path, order, None, "value", PNL_SCALE)
     return steps.select("user_id", "ts", "day", "r", "pnl")
+
+
+def user_steps_in_order(spark: SparkSession, sf_dir: str, users: DataFrame) -> DataFrame:
+    """`user_steps` of some users, each added up row after row."""
+    events = table(spark, sf_dir, "events").join(users, "user_id", "left_semi").select("user_id", "ts", "event_id", "value")
+    steps = ordered_pnl(events, ["user_id"], ["ts", "event_id"], "value", PNL_SCALE)
+    return steps.select("user_id", "ts", "day", "r", "pnl")

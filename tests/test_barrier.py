@@ -189,3 +189,30 @@ def test_block_size_must_be_positive(spark):
         bootstrap.block_bootstrap(to_returns(spark, [0.1]), 1, 1, 0, 1)
     with pytest.raises(ValueError):
         ResamplingParams(block_size=0)
+
+
+def test_a_level_on_a_limit_falls_as_in_the_sql(spark, tmp_path):
+    import __spark_entry__ as contract
+    import duckdb
+
+    # Amounts whose mean is 50 and that reach the target of 199.9 exactly, at the eighth event.
+    rng, rows = np.random.default_rng(7), []
+    for user in range(40):
+        cents = rng.integers(0, 9_000, 8)
+        cents[7] = 59_990 - cents[:7].sum()
+        rest = rng.multinomial(20_010, np.full(8, 1 / 8))
+        for x in [*cents.tolist(), *rest.tolist()]:
+            rows.append((len(rows), user, x / 100))
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double")
+    events = events.withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, event_id)"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 128)  # chunks of five rows
+    try:
+        events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+        got = contract.queries()["first_passage"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(f"SELECT user_id, outcome, day FROM ({contract.oracle_sql()['first_passage']})").fetchall()
+    assert sorted((r.user_id, r.outcome, r.day) for r in got) == sorted(want)
