@@ -2,14 +2,14 @@
 
 Texts are cut into blocks of words; three blocks in a row are a passage. Passages are TF-IDF
 vectors over hashed words. A randomised SVD (products with the Gram matrix, summed over the
-tasks by feature block) of a bounded sample of passages together with the benchmark items
-gives the latent space. Items longer than a passage are cut into parts of equal size. Every
+tasks by feature block) of all passages together with the benchmark items gives the latent
+space. Items longer than a passage are cut into parts of equal size. Every
 passage of every text is projected there and compared with all parts of items: a candidate has
 the cosine, and enough of the part's latent content. Candidates are with the whole item
 then compared word by word: the longest common subsequence of content words must cover most
 of the item, and enough of its answer (its last sentence), which also finds paraphrases.
 
-The space is fitted on at most `sample` passages of `sample_texts` texts, chosen by hash; all passages are searched.
+The space is fitted on every passage of every different text, and all passages are searched.
 Items are searched in blocks of `item_block`, one pass over the texts each, so that what a
 task holds is bounded. Defined results: null and empty texts, and items without words, match
 nothing; a text is listed once for each item it holds; items with equal texts match alike.
@@ -21,6 +21,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from quantspan.session import materialize
 
 BITS = 14
 SIZE = 1 << BITS
+PARTS = 128  # pieces that sums of products are added up in
+TOGETHER = 64  # passages whose counts are one dense table
 
 
 @dataclass(frozen=True)
@@ -37,12 +40,11 @@ class Settings:
     blocks: int = 3  # per passage
     rank: int = 96
     rounds: int = 2
-    sample: int = 20_000  # passages for the fit
-    sample_texts: int = 4_000
     item_weight: float = 10.0
+    balance: int = 20_000  # among more passages items weigh more, as much as among so many
     cosine: float = 0.35
     content: float = 0.5  # of the latent content of an item's part
-    # In a sample of few passages both limits are lower, see `limits`.
+    # With few passages both limits are lower, see `limits`.
     rare: float = 2.5  # words of a lower idf have no place in the latent space
     common: float = 3.5  # words of a lower idf do not count in the word-by-word check
     least_words: int = 4  # fewer content words than that: all words count
@@ -95,62 +97,102 @@ def _sums(x: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def sample_rows(docs: DataFrame, s: Settings) -> DataFrame:
-    """-> (features binary): the buckets of the words of sampled passages, all with repeats."""
-    keep = 64  # passages per text at most, by hash, so that no long text fills the sample
+def passage_rows(docs: DataFrame, s: Settings) -> DataFrame:
+    """-> (features binary): the buckets of the words of every passage, all with repeats.
 
-    def run(batches):
-        for _, texts in pieces(batches):
+    Of texts that are equal one counts; what moves for that are their buckets, two bytes a word.
+    """
+    width = s.block * s.blocks
+
+    def buckets(batches):
+        for batch, texts in pieces(batches):
             w, h = _words(texts)
-            first, doc = cut_blocks(w.doc, w.n_docs, s.block * s.blocks)
-            stop = np.append(first[1:], len(h))
-            order = mix(h[first] + np.arange(len(first), dtype=np.uint64)) if len(first) else first
-            chosen = [
-                i for d in np.unique(doc) for i in sorted(np.flatnonzero(doc == d), key=lambda i: int(order[i]))[:keep]
-            ]
-            raw = [_bucket(h[first[i] : stop[i]]).astype("<i4").tobytes() for i in chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["features"])
+            counts = w.counts()
+            there = np.flatnonzero(counts)
+            raw = _binary(_bucket(h).astype("<u2"), counts[there])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(there)), raw], ["h", "features"])
+
+    def cut(batches):
+        for batch in batches:
+            flat, sizes = _flat(batch.column(1), "<u2")
+            first, _ = cut_blocks(np.repeat(np.arange(len(sizes)), sizes), len(sizes), width)
+            yield pa.RecordBatch.from_arrays([_binary(flat.astype("<i4"), np.diff(np.append(first, len(flat))))], ["features"])
 
     bounded(docs.sparkSession)
-    # The texts with the smallest hashes; only hashes are sorted, and copies count once.
-    keyed = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("h"), "text")
-    smallest = keyed.groupBy("h").count().select("h").orderBy("h").limit(s.sample_texts)
-    texts = keyed.join(F.broadcast(smallest), "h").groupBy("h").agg(F.min("text").alias("text")).select("text")
-    rows = texts.mapInArrow(run, "features binary").orderBy(F.xxhash64("features")).limit(s.sample)
-    return materialize(rows.repartition(8, F.xxhash64("features")), "passages")
+    keyed = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"))
+    texts = keyed.mapInArrow(buckets, "h bigint, features binary").groupBy("h").agg(F.min("features").alias("features"))
+    return materialize(texts.mapInArrow(cut, "features binary"), "passages")
+
+
+sample_rows = passage_rows  # the name of the time when a sample was drawn
+
+
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of `sizes` items each, one after the other in `flat`."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * flat.dtype.itemsize
+    return pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())]
+    ).cast(pa.binary())
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The items of binary values, one after the other, and the number of each."""
+    sizes = np.asarray(pc.binary_length(column), np.int64) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(column.to_pylist()), kind), sizes
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    """Sums of (part, sums) by part, a running sum for each."""
+
+    def run(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums = np.frombuffer(raw, np.float32)
+                totals[part] = totals[part] + sums if part in totals else sums.astype(float)
+        raw = [t.astype(np.float32).tobytes() for t in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(raw, pa.binary())], ["part", "sums"])
+
+    return rows.repartition("part").mapInArrow(run, "part int, sums binary")
 
 
 def _gram(rows: DataFrame, idf: np.ndarray, x: np.ndarray, items: list[np.ndarray], weight: float) -> np.ndarray:
-    """A'A x for the sampled passages and the weighted items."""
+    """A'A x for all passages and the weighted items."""
     context = rows.sparkSession.sparkContext
     shared = context.broadcast((idf.astype(np.float32), x.astype(np.float32)))  # SIZE * rank
 
     def run(batches):
         own, y = shared.value
+        scaled = own[:, None] * y
         total = np.zeros_like(y)
         for batch in batches:
-            add_gram(total, [np.frombuffer(f, "<i4") for f in batch.column(0).to_pylist()], own, y, 1.0)
-        step = SIZE // 32
+            flat, sizes = _flat(batch.column(0), "<i4")
+            add_gram(total, flat, sizes, own, scaled, 1.0)
+        step = SIZE // PARTS
         parts = [total[i : i + step].tobytes() for i in range(0, SIZE, step)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
-
-    def added(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32) for x in table["sums"].to_pylist())
-        return pa.table({"part": table["part"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
 
-    partial = rows.mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(added, "part int, sums binary")
-    parts = sorted(partial.collect(), key=lambda r: r["part"])
+    # Few tasks that read much each: what a task sends is as large as the space.
+    few = rows.coalesce(2 * context.defaultParallelism)
+    parts = sorted(_totals(few.mapInArrow(run, "part int, sums binary")).collect(), key=lambda r: r["part"])
     total = np.concatenate([np.frombuffer(r["sums"], np.float32) for r in parts]).reshape(SIZE, -1).copy() if parts else np.zeros_like(x, np.float32)
-    add_gram(total, items, idf.astype(np.float32), x.astype(np.float32), weight**2)
+    sizes = np.array([len(f) for f in items], np.int64)
+    flat = np.concatenate([np.zeros(0, np.int64), *items])
+    add_gram(total, flat, sizes, idf.astype(np.float32), (idf[:, None] * x).astype(np.float32), weight**2)
     return total.astype(float)
 
 
-def add_gram(total: np.ndarray, rows: list[np.ndarray], idf: np.ndarray, x: np.ndarray, weight: float) -> None:
-    for f in rows:
-        if len(f):
-            feature, count = np.unique(f, return_counts=True)
-            value = count * idf[feature]
-            total[feature] += (weight * value)[:, None] * (value @ x[feature])
+def add_gram(total: np.ndarray, flat: np.ndarray, sizes: np.ndarray, idf: np.ndarray, scaled: np.ndarray, weight: float) -> None:
+    """Add each passage's idf-weighted counts times its projection; `scaled` is idf times x."""
+    passage = np.repeat(np.arange(len(sizes)), sizes)
+    placed = idf[flat] > 0
+    flat, passage = flat[placed], passage[placed]
+    edges = np.searchsorted(passage, np.arange(0, len(sizes) + TOGETHER, TOGETHER))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        feature, at = np.unique(flat[a:b], return_inverse=True)
+        cells = (passage[a:b] - k * TOGETHER) * len(feature) + at
+        counts = np.bincount(cells, minlength=TOGETHER * len(feature)).reshape(TOGETHER, -1).astype(np.float32)
+        total[feature] += (np.float32(weight) * idf[feature])[:, None] * (counts.T @ (counts @ scaled[feature]))
 
 
 @dataclass
@@ -160,30 +202,35 @@ class Space:
     settings: Settings
 
 
-def fit(docs: DataFrame, items: list[str], s: Settings) -> Space:
-    rows = sample_rows(docs, s)
+def fit(docs: DataFrame, items: list[str], s: Settings, rows: DataFrame | None = None) -> Space:
+    """The space of all passages of `docs` and the items; `rows` are the passages, if known."""
+    rows = passage_rows(docs, s) if rows is None else rows
     hashed = [_bucket(_words([t])[1]) for t in items]
 
     def frequencies(batches):
-        total = np.zeros(SIZE, np.int64)
-        n = 0
+        total = np.zeros(SIZE + 1, np.int64)
         for batch in batches:
-            for f in batch.column(0).to_pylist():
-                total[np.unique(np.frombuffer(f, "<i4"))] += 1
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "df"])
-
-    counted = rows.mapInArrow(frequencies, "n bigint, df binary").collect()  # one row per task, eight at most
-    n = sum(r["n"] for r in counted)
-    df = sum((np.frombuffer(r["df"], np.int64) for r in counted), np.zeros(SIZE, np.int64))
+            flat, sizes = _flat(batch.column(0), "<i4")
+            own = np.unique(np.repeat(np.arange(len(sizes)), sizes) * SIZE + flat) % SIZE
+            total[:SIZE] += np.bincount(own, minlength=SIZE)
+            total[SIZE] += len(sizes)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], ["feature", "n"])
+
+    counted = rows.mapInArrow(frequencies, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    df = np.zeros(SIZE + 1, np.int64)
+    for r in counted.collect():  # SIZE + 1 rows at most; the last is the number of passages
+        df[r["feature"]] = r["n"]
+    n, df = int(df[SIZE]), df[:SIZE]
     idf = np.log((n + 2) / (df + 1))
     s = s.limits(n)
+    weight = s.item_weight * max(1.0, n / s.balance) ** 0.5
     plain, idf = idf, np.where(idf >= s.rare, idf, 0.0)
     rng = np.random.default_rng(s.seed)
     x = np.linalg.qr(rng.standard_normal((SIZE, s.rank)))[0]
     for _ in range(s.rounds):
-        x = np.linalg.qr(_gram(rows, idf, x, hashed, s.item_weight))[0]
-    values, turn = np.linalg.eigh(x.T @ _gram(rows, idf, x, hashed, s.item_weight))
+        x = np.linalg.qr(_gram(rows, idf, x, hashed, weight))[0]
+    values, turn = np.linalg.eigh(x.T @ _gram(rows, idf, x, hashed, weight))
     real = values > 1e-9 * max(values.max(), 1e-9)  # fewer texts than `rank` leave empty directions
     return Space(plain, (idf[:, None] * (x @ turn) * real).astype(np.float32), s)
 
@@ -315,9 +362,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, cosine double, covered double"
     rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
+    out, fitted = None, None
     for ids, texts in _benchmark(benchmark, s):
-        space = fit(rows.select("text"), texts, s)
+        fitted = passage_rows(rows.select("text"), s) if fitted is None else fitted
+        space = fit(rows.select("text"), texts, s, fitted)
         shared = spark.sparkContext.broadcast((space, prepare(ids, texts, space)))  # bounded by item_block
 
         def run(batches, shared=shared):
@@ -336,9 +384,10 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Setting
     """The rows of `docs`, unchanged, that hold no item."""
     from quantspan.llm.batches import arrow_filter
 
-    texts_only = pick(docs, text=text)
+    texts_only, fitted = pick(docs, text=text), None
     for ids, texts in _benchmark(benchmark, s):
-        space = fit(texts_only, texts, s)
+        fitted = passage_rows(texts_only, s) if fitted is None else fitted
+        space = fit(texts_only, texts, s, fitted)
         shared = docs.sparkSession.sparkContext.broadcast((space, prepare(ids, texts, space)))
 
         def clean(part, shared=shared):

@@ -99,3 +99,27 @@ def test_items_longer_than_a_passage(spark):
     # A third of a long item is not the item.
     third = frame(spark, [(1, prose(1, 200) + " " + " ".join(items[7][1].split()[:160]))])
     assert not found(third, spark.createDataFrame(items, "item_id bigint, text string"))
+
+
+def test_the_space_is_fitted_on_every_passage(spark):
+    long = prose(1, 48 * 100 + 5)
+    docs = frame(spark, [(1, long), (2, prose(2, 30)), (3, long), (4, None), (5, "")])
+    s = latent.Settings()
+    rows = [np.frombuffer(r.features, "<i4") for r in latent.passage_rows(docs.select("text"), s).collect()]
+    assert sorted(map(len, rows)) == [5, 30] + [48] * 100
+    space = latent.fit(docs.select("text"), [prose(3, 20)], s)
+    df = sum(np.bincount(np.unique(f), minlength=latent.SIZE) for f in rows)
+    np.testing.assert_allclose(space.idf, np.log((102 + 2) / (df + 1)))
+
+
+def test_products_of_passages_equal_those_of_the_matrix():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(0, 40, 900)
+    flat = rng.integers(0, 50, sizes.sum()) * 7
+    idf = np.where(rng.random(latent.SIZE) < 0.3, 0.0, rng.random(latent.SIZE)).astype(np.float32)
+    x = rng.standard_normal((latent.SIZE, 5)).astype(np.float32)
+    matrix = np.zeros((900, latent.SIZE))
+    np.add.at(matrix, (np.repeat(np.arange(900), sizes), flat), idf[flat])
+    total = np.zeros_like(x)
+    latent.add_gram(total, flat, sizes, idf, idf[:, None] * x, 2.0)
+    np.testing.assert_allclose(total, 2.0 * matrix.T @ (matrix @ x), rtol=1e-3, atol=1e-2)
