@@ -5,9 +5,9 @@ the characters it has. Three tests ask whether it looks random there: chi-square
 over the alphabet (Wilson-Hilferty), runs about the middle of the alphabet, and lag-one
 serial correlation. Their smallest p-value times three is the token's randomness.
 
-The null hypothesis is "ordinary writing". Its distribution comes from the corpus: of every
-document a piece at a hashed place is stripped to its letters, and a run of them, its length
-picked by the hash, goes through the same tests. Short runs of letters pass for random often, long ones hardly
+The null hypothesis is "ordinary writing". Its distribution comes from the corpus: every text
+is stripped to its letters, all of them are cut into runs of the bands' lengths by turns, and
+every run goes through the same tests. Short runs of letters pass for random often, long ones hardly
 ever, so a token is compared with those of its own band. The resulting p-values go through
 Benjamini-Hochberg over all tokens of the corpus. Both distributions are counts over a fixed
 grid of bands and randomness, so their size does not depend on the corpus.
@@ -36,11 +36,18 @@ HEX = r"([0-9a-f]{24,})"
 MIN_VALUE = 6
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
 WORD = "^[A-Za-z]?([a-z]+|[A-Z]+)$"
-PIECE = 400  # characters of each document that the null is taken from
 RANK = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 BANDS = (16, 20, 24, 32, 48)
 STEPS, FINEST = 20, 200  # grid cells per power of ten of randomness, and the last cell
 
+# Of a token: chi-squared, runs about the middle, the three tests together, its cell.
+CHI = "(pow(greatest({x}sq * {x}a / {x}n - {x}n, 0.0D) / ({x}a - 1), 1.0D / 3) - (1 - 2 / (9 * ({x}a - 1)))) / sqrt(2 / (9 * ({x}a - 1)))"
+RUNS = """CASE WHEN {x}hi = 0 OR {x}hi = {x}n THEN sqrt({x}n) ELSE
+                ({x}runs - 1 - 2 * {x}hi * ({x}n - {x}hi) / {x}n)
+                / sqrt(greatest(2 * {x}hi * ({x}n - {x}hi) * (2 * {x}hi * ({x}n - {x}hi) - {x}n) / ({x}n * {x}n * ({x}n - 1)), 1e-9D)) END"""
+P = "least(1.0D, 3 * least({upper}, {runs}, {serial}))"
+CELL = f"cast(least({FINEST}, floor(-log10(greatest({{p}}, 1e-12D)) * {STEPS})) AS int)"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -107,6 +114,11 @@ def _tail(z: str) -> str:
     return f"({poly} * exp(-{x} * {x}))"
 
 
+def _upper(z: str) -> str:
+    """P(Z > z) of a normal variable."""
+    return f"(CASE WHEN {z} > 0 THEN {_tail(z)} / 2 ELSE 1 - {_tail(z)} / 2 END)"
+
+
 def battery(df: DataFrame, tokens: str) -> DataFrame:
     """Replace the array `tokens` of (s, e, t) by one of (s, e, word, band, cell).
 
@@ -131,26 +143,70 @@ def battery(df: DataFrame, tokens: str) -> DataFrame:
     )
     df = step(
         f"""transform({tokens}, x -> named_struct('s', x.s, 'e', x.e, 'word', x.word, 'n', x.n,
-            'chi', (pow(greatest(x.sq * x.a / x.n - x.n, 0.0D) / (x.a - 1), 1.0D / 3) - (1 - 2 / (9 * (x.a - 1)))) / sqrt(2 / (9 * (x.a - 1))),
-            'rz', CASE WHEN x.hi = 0 OR x.hi = x.n THEN sqrt(x.n) ELSE
-                (x.runs - 1 - 2 * x.hi * (x.n - x.hi) / x.n)
-                / sqrt(greatest(2 * x.hi * (x.n - x.hi) * (2 * x.hi * (x.n - x.hi) - x.n) / (x.n * x.n * (x.n - 1)), 1e-9D)) END,
+            'chi', {CHI.format(x='x.')},
+            'rz', {RUNS.format(x='x.')},
             'cz', CASE WHEN aggregate(x.v, 0.0D, (y, z) -> y + pow(z - x.m, 2)) = 0 THEN sqrt(x.n) ELSE
                 sqrt(x.n) * (1 / x.n + aggregate(zip_with(slice(x.v, 1, size(x.v) - 1), slice(x.v, 2, size(x.v)), (y, z) -> (y - x.m) * (z - x.m)), 0.0D, (y, z) -> y + z)
                 / aggregate(x.v, 0.0D, (y, z) -> y + pow(z - x.m, 2))) END))"""
     )
-    upper = f"(CASE WHEN x.chi > 0 THEN {_tail('x.chi')} / 2 ELSE 1 - {_tail('x.chi')} / 2 END)"
     df = step(
         f"""transform({tokens}, x -> named_struct('s', x.s, 'e', x.e, 'word', x.word, 'n', x.n,
-            'p', least(1.0D, 3 * least({upper}, {_tail('x.rz')}, {_tail('x.cz')}))))"""
+            'p', {P.format(upper=_upper('x.chi'), runs=_tail('x.rz'), serial=_tail('x.cz'))}))"""
     )
     band = " + ".join(f"CASE WHEN x.n >= {b} THEN 1 ELSE 0 END" for b in BANDS[1:])
     return step(
         f"""transform({tokens}, x -> named_struct('s', x.s, 'e', x.e, 'word', x.word, 'band', {band},
-            'cell', cast(least({FINEST}, floor(-log10(greatest(x.p, 1e-12D)) * {STEPS})) AS int)))"""
+            'cell', {CELL.format(p='x.p')}))"""
     )
 
 
+def word_runs(df: DataFrame, text: str) -> DataFrame:
+    """-> (band, run): the letters of every text, all of them, in runs of the bands' lengths by turns.
+
+    What is left at the end of a text is as many whole runs as it has room for.
+    """
+    letters = F.lower(F.regexp_replace(F.col(text), "[^A-Za-z]+", ""))
+    stretches = F.regexp_extract_all(letters, F.lit(f".{{1,{sum(BANDS)}}}"), F.lit(0))
+    starts = [1 + sum(BANDS[:i]) for i in range(len(BANDS))]
+    cut = F.array(*[F.substr(F.col("x"), F.lit(a), F.lit(n)) for a, n in zip(starts, BANDS)])
+    runs = df.select(F.explode(stretches).alias("x")).select(F.posexplode(cut).alias("band", "run"))
+    return runs.where(F.length("run") == F.element_at(F.array(*map(F.lit, BANDS)), F.col("band") + 1))
+
+
+def word_cells(runs: DataFrame) -> DataFrame:
+    """(band, run) of lower-case letters -> (band, cell), as `battery` has them, from sums of the run.
+
+    The letters a to z are 10 to 35 in both alphabets that such runs can have, hexadecimal and base36.
+    """
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    letters = "array(" + ", ".join(f"'{c}'" for c in abc) + ")"
+    add = "0.0D, (y, z) -> y + z"
+    df = runs.selectExpr(
+        "band",
+        "cast(length(run) AS double) AS n",
+        "CASE WHEN run RLIKE '^[a-f]+$' THEN 16.0D ELSE 36.0D END AS a",
+        f"aggregate({letters}, 0.0D, (y, c) -> y + pow(length(run) - length(replace(run, c, '')), 2)) AS sq",
+        f"translate(run, '{abc}', '{''.join('01'[c >= 'i'] for c in abc)}') AS upper",
+        "transform(slice(split(run, ''), 1, length(run)), c -> cast(ascii(c) - 87 AS double)) AS v",
+    )
+    df = df.selectExpr(
+        "band", "n", "a", "sq",
+        "CASE WHEN a = 16 THEN n ELSE cast(length(replace(upper, '0', '')) AS double) END AS hi",
+        "1 + (2 * n - length(replace(upper, '01', '')) - length(replace(upper, '10', ''))) / 2 AS runs",
+        "v[0] + element_at(v, -1) AS ends",
+        f"aggregate(v, {add}) AS total",
+        "aggregate(v, 0.0D, (y, z) -> y + z * z) AS squares",
+        f"aggregate(zip_with(slice(v, 1, size(v) - 1), slice(v, 2, size(v)), (y, z) -> y * z), {add}) AS pairs",
+    )
+    # Whole numbers up to here; n * n times the sums of products about the mean are, too.
+    df = df.selectExpr(
+        "band", "n", f"{CHI.format(x='')} AS chi", f"{RUNS.format(x='')} AS rz",
+        """CASE WHEN sq = n * n THEN sqrt(n) ELSE
+            sqrt(n) * (1 / n + (n * n * pairs - n * total * (2 * total - ends) + (n - 1) * total * total) / (n * (n * squares - total * total))) END AS cz""",
+    )
+    return df.selectExpr("band", f"{P.format(upper=_upper('chi'), runs=_tail('rz'), serial=_tail('cz'))} AS p").selectExpr("band", f"{CELL.format(p='p')} AS cell")
+
+
 def accepted_cells(df: DataFrame, text: str, s: Settings) -> list[int]:
     """Cells (band * (FINEST + 1) + randomness) whose tokens are discoveries.
 
@@ -158,21 +214,12 @@ def accepted_cells(df: DataFrame, text: str, s: Settings) -> list[int]:
     """
     token = lambda t: F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"), t.alias("t"))
     runs = F.filter(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(WORD))
-    place = F.expr(f"1 + pmod(xxhash64({text}), greatest(length({text}) - {PIECE}, 1))").cast("int")
-    letters = F.lower(F.regexp_replace(F.substr(F.col(text), place, F.lit(PIECE)), "[^A-Za-z]", ""))
-    df = df.select(F.when(F.col(text).rlike(TOKEN), F.transform(runs, token)).otherwise(F.array()).alias("found"), letters.alias("letters"))
-    # One run of each document, of a length that its hash picks.
-    length = F.element_at(F.array(*[F.lit(b) for b in BANDS]), (F.pmod(F.xxhash64("letters"), F.lit(len(BANDS))) + 1).cast("int"))
-    df = df.withColumn("length", length)
-    run = F.array(token(F.substr("letters", F.lit(1), F.col("length"))))
-    own = F.when(F.length("letters") >= F.col("length"), run).otherwise(F.array())
-    tested = battery(df.select(F.concat("found", own).alias("tokens")), "tokens")
-    cells = (
-        # The outer form infers no filter, which would run the battery twice.
-        tested.select(F.explode_outer("tokens").alias("x"))
-        .groupBy("x.band", "x.cell")
-        .agg(F.count_if("x.word").alias("words"), F.count_if(F.col("x.word") == F.lit(False)).alias("tokens"))
-    )
+    found = df.select(F.when(F.col(text).rlike(TOKEN), F.transform(runs, token)).otherwise(F.array()).alias("tokens"))
+    # The outer form infers no filter, which would run the battery twice.
+    tested = battery(found, "tokens").select(F.explode_outer("tokens").alias("x")).groupBy("x.band", "x.cell")
+    tested = tested.agg(F.lit(0).cast("long").alias("words"), F.count_if(F.col("x.word") == F.lit(False)).alias("tokens"))
+    ordinary = word_cells(word_runs(df, text)).groupBy("band", "cell").agg(F.count("*").alias("words"), F.lit(0).cast("long").alias("tokens"))
+    cells = tested.unionByName(ordinary).groupBy("band", "cell").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
     # Of the band's ordinary runs, those that look at least as random.
     up_to = W.partitionBy("band").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
     p = (F.sum("words").over(up_to) + 1) / (F.sum("words").over(W.partitionBy("band")) + 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantspan.llm import queries, secrets
 
-from cases import SYLLABLES, none, odd, odd_rows, prose
+from cases import SYLLABLES, frame, none, odd, odd_rows, prose
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)([A-Za-z0-9+/_.=-]+)"
@@ -94,3 +94,27 @@ def test_no_python_runs(spark, tmp_path):
     for name in ("op3_secrets", "op4_line_dedup"):
         plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_the_null_has_every_run_of_every_text(spark):
+    text = prose(5, 900) + " 12 ABC-def "
+    docs = frame(spark, [(1, text), (2, None), (3, ""), (4, "short, but over sixteen")]).selectExpr("coalesce(text, '') AS body")
+    runs = [(r.band, r.run) for r in secrets.word_runs(docs, "body").collect()]
+    letters = "".join(c for c in text if c.isascii() and c.isalpha()).lower()
+    want, at, k = [(0, "shortbutoversixt")], 0, 0
+    while at + secrets.BANDS[k] <= len(letters):
+        want.append((k, letters[at : at + secrets.BANDS[k]]))
+        at, k = at + secrets.BANDS[k], (k + 1) % len(secrets.BANDS)
+    assert sorted(runs) == sorted(want) and len(runs) > 100
+
+
+def test_runs_of_letters_get_the_cells_of_the_battery(spark):
+    rng = random.Random(6)
+    made = ["a" * 16, "abcdef" * 4, "abcdefabcdefabcd", "iiiiiiiijjjjjjjj", "xy" * 24]
+    made += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[: rng.choice([3, 6, 12, 26])], k=rng.choice(secrets.BANDS))) for _ in range(400)]
+    runs = spark.createDataFrame([(i, secrets.BANDS.index(len(r)), r) for i, r in enumerate(made)], "i int, band int, run string")
+    fast = runs.join(runs.select("i"), "i").orderBy("i").select("band", "run")
+    got = [(r.band, r.cell) for r in secrets.word_cells(fast).collect()]
+    tokens = runs.orderBy("i").selectExpr("array(named_struct('s', 0, 'e', 0, 't', run)) AS x")
+    want = [(r.x[0].band, r.x[0].cell) for r in secrets.battery(tokens, "x").collect()]
+    assert sum(g != w for g, w in zip(got, want)) <= 1 and len(got) == len(want)  # a last digit may decide
