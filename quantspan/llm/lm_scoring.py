@@ -9,8 +9,8 @@ back to a bundle are the words that also stand elsewhere. Subword counts set the
 its starting frequencies. The model learns in `rounds`: every task takes Adagrad steps on its own
 bundles, the changes are averaged (by tokens; embeddings by how often a task saw the token) in
 sums over keys, and only the averaged parameters, whose size the vocabulary fixes, meet in the driver.
-A round takes every `every`-th window of each text, each round others; so what is learnt from
-grows with the corpus, and `every = rounds` takes all of it. Scores cover every token of every
+A round takes every `every`-th window of each text, each round others; with `every = rounds`, as
+it is set, every window of every text to learn from is learnt from once. Scores cover every token of every
 text: windows overlap, and a token is scored in the first window that has it.
 
 Defined results: null and empty texts have the end token only. Rows with a null id are scored
@@ -46,7 +46,7 @@ STATES = 1 << 15  # positions whose outputs are computed at once, so that classe
 class Settings:
     bundle: int = 1 << 22
     rounds: int = 2
-    every: int = 16
+    every: int = 2  # as many as rounds: every window is learnt from once
     batch: int = 64  # windows of a step
     overlap: int = 4
     rate: float = 0.15

@@ -7,6 +7,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from quantspan.llm import attention, lm_scoring
+from quantspan.llm.pieces_bpe import load
 from quantspan.llm.queries import piece_model
 from quantspan.llm.samples import remainder
 
@@ -174,3 +175,19 @@ def test_windows_to_learn_from_hold_their_own_text(spark):
         back[int(cuts.text[i])] += classes.order[target[valid]].tolist()
         assert classes.order[x[0, 0]] == (lm_scoring.BEGIN if cuts.begin[i] == 0 else some[cuts.base[i] - 1])
     assert [back[k] for k in range(0, 6, 2)] == [t.tolist() for t in want] and not back[1]
+
+
+def test_every_window_is_learnt_from(spark):
+    s = lm_scoring.Settings()
+    docs = frame(spark, [(i, prose(i, 60 + 40 * i)) for i in range(12)]).selectExpr("doc_id AS id", "doc_id % 3 > 0 AS learn", "text")
+    bundles = lm_scoring.bundled(docs, piece_model(), s).cache()
+    size = len(load(piece_model()).pieces)
+    counts = np.zeros(size)
+    for r in bundles.collect():
+        counts[r["tokens"]] += r["token_counts"]
+    shared = spark.sparkContext.broadcast(lm_scoring.attention.start(counts, s.shape))
+    seen = 0
+    for turn in range(s.rounds):
+        rows = lm_scoring.learnt(bundles, shared, turn, s).where("name = 'place'").collect()
+        seen += sum(np.frombuffer(r["weight"], np.float64)[0] for r in rows)
+    assert seen == counts.sum()
