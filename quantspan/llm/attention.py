@@ -9,6 +9,7 @@ start at zero with the corpus frequencies as offsets: an untrained model is the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -82,6 +83,12 @@ def _chosen(x: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out - np.log(np.exp(x, out=x).sum(axis=0))
 
 
+@cache
+def _later(size: int) -> np.ndarray:
+    """What is added to (attended, attending), so that nothing attends to what comes later."""
+    return np.tril(np.full((size, size), BLOCKED, np.float32), -1)
+
+
 def trunk(p: dict, x: np.ndarray) -> tuple:
     """Activations for windows of positions (batch, window); the last is (batch, window, width).
 
@@ -94,7 +101,7 @@ def trunk(p: dict, x: np.ndarray) -> tuple:
     q, k, v = ((first.reshape(-1, d) @ np.ascontiguousarray(p["qkv"][:, i * d : (i + 1) * d])).reshape(first.shape) for i in range(3))
     q *= np.float32(d**-0.5)
     weight = k @ q.transpose(0, 2, 1)
-    weight += np.tril(np.full((size, size), BLOCKED, np.float32), -1)
+    weight += _later(size)
     weight = _normed(weight)
     gathered = weight.transpose(0, 2, 1) @ v
     second = first + (gathered.reshape(-1, d) @ p["mixed"]).reshape(first.shape)
@@ -103,13 +110,13 @@ def trunk(p: dict, x: np.ndarray) -> tuple:
     return first, q, k, v, weight, gathered, second, up, last
 
 
-def by_class(c: Classes, target: np.ndarray):
-    """(class, rows) for the classes of the targets."""
+def by_class(c: Classes, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows in the order of their targets' classes, and (class, first, end) of each class there."""
     klass = c.of[target]
     order = np.argsort(klass, kind="stable")  # 16 bits: sorted by digits
-    there, begin = np.unique(klass[order], return_index=True)
-    for k, a, b in zip(there.tolist(), begin, np.append(begin[1:], len(order))):
-        yield k, order[a:b]
+    times = np.bincount(klass)
+    there, end = np.flatnonzero(times), np.cumsum(times)
+    return order, list(zip(there.tolist(), (end - times)[there].tolist(), end[there].tolist()))
 
 
 def log_probabilities(p: dict, c: Classes, state: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -118,8 +125,9 @@ def log_probabilities(p: dict, c: Classes, state: np.ndarray, target: np.ndarray
     for k in range(0, len(target), 4096):
         part = slice(k, k + 4096)
         out[part] = _chosen(p["klass"].T @ state[part].T + p["klass_offset"][:, None], c.of[target[part]])
-    for k, rows in by_class(c, target):
-        a, b = c.begin[k], c.end[k]
+    order, groups = by_class(c, target)
+    for k, lo, hi in groups:
+        a, b, rows = c.begin[k], c.end[k], order[lo:hi]
         out[rows] += _chosen(p["next"][a:b] @ state[rows].T + p["next_offset"][a:b, None], target[rows] - a)
     return out
 
@@ -129,14 +137,20 @@ class Trainer:
 
     def __init__(self, p: dict, c: Classes, rate: float):
         self.start, self.p, self.c, self.rate = p, {k: v.copy() for k, v in p.items()}, c, np.float32(rate)
-        self.square = {k: np.full(v.shape, 1e-6, np.float32) for k, v in p.items()}
+        # The outputs of a token and their offset lie side by side and are moved together.
+        self.outputs = np.column_stack([p["next"], p["next_offset"]])
+        self.p["next"], self.p["next_offset"] = self.outputs[:, :-1], self.outputs[:, -1]
+        self.square = {k: np.full(v.shape, 1e-6, np.float32) for k, v in p.items() if k not in ("next", "next_offset")}
+        self.square["outputs"] = np.full(self.outputs.shape, 1e-6, np.float32)
         self.touched = {k: np.zeros(len(p["seen"]), np.float32) for k in ("seen", "next")}
         self.tokens = 0
 
-    def _move(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
-        square = self.square[name][at] + gradient * gradient
-        self.square[name][at] = square
-        self.p[name][at] -= self.rate * gradient / np.sqrt(square)
+    def _move(self, values: np.ndarray, square: np.ndarray, gradient: np.ndarray) -> None:
+        """All in place: the gradient becomes the step."""
+        square += gradient * gradient
+        gradient *= self.rate
+        gradient /= np.sqrt(square)
+        values -= gradient
 
     def gradients(self, x: np.ndarray, target: np.ndarray, valid: np.ndarray, move=True) -> tuple[float, dict]:
         """Loss per target, and the gradients of the dense parts and of the embeddings by row.
@@ -149,28 +163,41 @@ class Trainer:
         state, t = last[valid], target[valid]
         n = np.float32(len(t))
         soft = _normed(p["klass"].T @ state.T + p["klass_offset"][:, None])
-        right = c.of[t], np.arange(len(t))
-        loss = -np.log(soft[right] + 1e-30).sum()
-        soft[right] -= 1
+        numbers = np.arange(len(t))
+        right = c.of[t], numbers
+        share = soft[right]
+        loss = -np.log(share + 1e-30).sum()
+        soft[right] = share - 1
         soft /= n
         g = {"klass": (soft @ state).T, "klass_offset": soft.sum(axis=1)}
         d_state = soft.T @ p["klass"].T
-        for kk, mine in by_class(c, t):
+        # Rows of a class lie together, each followed by the one that stands for the offset.
+        outputs = self.outputs if move else np.column_stack([p["next"], p["next_offset"]])
+        order, groups = by_class(c, t)
+        own = np.ones((len(t), d + 1), state.dtype)
+        own[:, :d] = state[order]
+        scaled = own / n
+        place = t[order] - c.begin[c.of[t[order]]]
+        d_own = np.empty_like(own)
+        if not move:
+            g["next"], g["next_offset"] = np.zeros_like(p["next"]), np.zeros_like(p["next_offset"])
+        for kk, lo, hi in groups:
             a, b = c.begin[kk], c.end[kk]
-            own = state[mine]
-            inner = _normed(p["next"][a:b] @ own.T + p["next_offset"][a:b, None])
-            here = t[mine] - a, np.arange(len(mine))
-            loss -= np.log(inner[here] + 1e-30).sum()
-            inner[here] -= 1
-            inner /= n
-            d_state[mine] += inner.T @ p["next"][a:b]
+            inner = _normed(outputs[a:b] @ own[lo:hi].T)
+            here = place[lo:hi] * (hi - lo) + numbers[: hi - lo]
+            cells = inner.reshape(-1)
+            share[lo:hi] = right = cells[here]
+            cells[here] = right - 1
+            np.matmul(inner.T, outputs[a:b], out=d_own[lo:hi])
+            both = inner @ scaled[lo:hi]
             if move:
-                self._move("next", inner @ own, slice(a, b))
-                self._move("next_offset", inner.sum(axis=1), slice(a, b))
-                self.touched["next"][a:b] += len(mine)
+                self._move(outputs[a:b], self.square["outputs"][a:b], both)
+                self.touched["next"][a:b] += hi - lo
             else:
-                g.setdefault("next", np.zeros_like(p["next"]))[a:b] = inner @ own
-                g.setdefault("next_offset", np.zeros_like(p["next_offset"]))[a:b] = inner.sum(axis=1)
+                g["next"][a:b], g["next_offset"][a:b] = both[:, :d], both[:, d]
+        loss -= np.log(share + 1e-30).sum()
+        d_own /= n
+        d_state[order] += d_own[:, :d]
         d_last = np.zeros_like(last)
         d_last[valid] = d_state
         flat = d_last.reshape(-1, d)
@@ -193,17 +220,21 @@ class Trainer:
         g["place"] = np.zeros_like(p["place"])
         g["place"][: x.shape[1]] = d_first.reshape(first.shape).sum(axis=0)
         order = np.argsort(x, axis=None, kind="stable")
-        ids, begin, times = np.unique(x.ravel()[order], return_index=True, return_counts=True)
-        g["seen"] = ids, np.add.reduceat(d_first[order], begin), times
+        sorted_ids = x.ravel()[order]
+        begin = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
+        times = np.diff(np.append(begin, len(order)))
+        g["seen"] = sorted_ids[begin], np.add.reduceat(d_first[order], begin), times
         return float(loss / n), g
 
     def step(self, x: np.ndarray, target: np.ndarray, valid: np.ndarray) -> float:
         loss, g = self.gradients(x, target, valid)
         ids, rows, times = g.pop("seen")
-        self._move("seen", rows, ids)
+        values, square = self.p["seen"][ids], self.square["seen"][ids]
+        self._move(values, square, rows)
+        self.p["seen"][ids], self.square["seen"][ids] = values, square
         self.touched["seen"][ids] += times
         for name, gradient in g.items():
-            self._move(name, gradient)
+            self._move(self.p[name], self.square[name], gradient)
         self.tokens += int(valid.sum())
         return loss
 

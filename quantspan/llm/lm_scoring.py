@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantspan.llm import attention
-from quantspan.llm.batches import Words, bounded, pick, pieces, spans
+from quantspan.llm.batches import PIECE, Words, bounded, pick, pieces, spans
 from quantspan.llm.pieces_bpe import encode_flat, load
 from quantspan.session import materialize
 
@@ -91,6 +91,30 @@ def gathered(batches, limit: int):
         yield ids, np.array(learn, bool), texts
 
 
+def dictionary(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """The different words of `texts`, lower-cased: their hashes in order, and the words;
+    of each word there is its number among them, and of each text how many it has.
+
+    The texts are read in pieces: what goes along with every character is there for one of them only.
+    """
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    hashes, words, at, per_text, start = [], [], [], [], 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PIECE, "right")))
+        w = Words(texts[start:stop])
+        w.codes = np.where((w.codes > 64) & (w.codes < 91), w.codes + np.uint32(32), w.codes)
+        own, sample, place = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        lower = w.codes.tobytes().decode("utf-32-le", "surrogatepass")
+        at.append(place.astype(np.int32) + np.int32(len(words)))
+        words += [lower[a:b] for a, b in zip(w.starts[sample].tolist(), w.ends[sample].tolist())]
+        hashes.append(own)
+        per_text.append(w.counts())
+        start = stop
+    different, sample, place = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    return different, [words[i] for i in sample.tolist()], place.astype(np.int32)[np.concatenate(at)], np.concatenate(per_text)
+
+
 def bundled(rows: DataFrame, model_path: str, s: Settings) -> DataFrame:
     """(id, learn, text) -> bundles"""
     vocabulary = rows.sparkSession.sparkContext.broadcast(load(model_path))  # size bound: the model's
@@ -99,13 +123,9 @@ def bundled(rows: DataFrame, model_path: str, s: Settings) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         kind = token_kind(len(vocabulary.value.pieces))
         for ids, learn, texts in gathered(batches, s.bundle):
-            w = Words(texts)
-            w.codes = np.where((w.codes > 64) & (w.codes < 91), w.codes + np.uint32(32), w.codes)
-            hashes, sample, at = np.unique(w.hashes(), return_index=True, return_inverse=True)
-            lower = w.codes.tobytes().decode("utf-32-le", "surrogatepass")
-            different = [lower[a:b] for a, b in zip(w.starts[sample].tolist(), w.ends[sample].tolist())]
+            hashes, different, at, per_text = dictionary(texts)
             tokens, sizes = encode_flat(vocabulary.value, different)
-            counts = np.bincount(at[learn[w.doc]], minlength=len(hashes))
+            counts = np.bincount(at[np.repeat(learn, per_text)], minlength=len(hashes))
             token_counts = np.bincount(tokens, weights=np.repeat(counts, sizes)).astype(np.int64)
             token_counts = np.pad(token_counts, (0, max(0, END + 1 - len(token_counts))))
             token_counts[END] += learn.sum()
@@ -115,8 +135,8 @@ def bundled(rows: DataFrame, model_path: str, s: Settings) -> DataFrame:
                     pa.array([number], pa.int64()),
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([learn.tobytes()]),
-                    pa.array([w.counts().astype(np.int32).tobytes()]),
-                    pa.array([at.astype(np.int32).tobytes()]),
+                    pa.array([per_text.astype(np.int32).tobytes()]),
+                    pa.array([at.tobytes()]),
                     pa.array([hashes.view(np.int64)], pa.list_(pa.int64())),
                     pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
                     pa.array([tokens.astype(kind).tobytes()]),
@@ -153,6 +173,12 @@ def elsewhere(bundles: DataFrame) -> DataFrame:
     )
 
 
+def one_by_one(batch: pa.RecordBatch):
+    """The rows of a batch; bundles are large, so one at a time is copied."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def token_kind(size: int) -> type:
     """The smallest numbers that name all tokens of a vocabulary."""
     return np.uint16 if size <= 1 << 16 else np.int32
@@ -206,7 +232,7 @@ def learnt(bundles: DataFrame, shared, turn: int, s: Settings) -> DataFrame:
         classes, p = shared.value
         trainer = attention.Trainer(p, classes, s.rate)
         for batch in batches:
-            for row in batch.select(["bundle", "learn", "sizes", "words", "word_tokens", "word_sizes"]).to_pylist():
+            for row in one_by_one(batch.select(["bundle", "learn", "sizes", "words", "word_tokens", "word_sizes"])):
                 learn = np.frombuffer(row["learn"], bool)
                 flat, sizes = sequences(row, len(p["seen"]), learn)
                 cuts = Cuts(classes, flat, sizes, width, width)
@@ -342,13 +368,13 @@ def score(docs: DataFrame, learn: Column, model_path: str, doc_id: str = "doc_id
     def model(batches):
         classes, p = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 flat, per_text = sequences(row, len(p["seen"]))
                 yield pa.RecordBatch.from_pydict({"bundle": [row["bundle"]], "scores": [text_scores(classes, p, flat, per_text, s)]})
 
     def base(batches):
         for batch in batches:
-            for i, row in enumerate(batch.select(["bundle", "ids", "sizes", "words", "scores"]).to_pylist()):
+            for i, row in enumerate(one_by_one(batch.select(["bundle", "ids", "sizes", "words", "scores"]))):
                 counts, slots, totals = (np.asarray(batch.column(c)[i].values, np.int64) if batch.column(c)[i].is_valid else () for c in ("counts", "slots", "totals"))
                 counts = counts.copy()
                 counts[slots if len(slots) else []] = totals
