@@ -31,7 +31,7 @@ from quantspan.session import materialize
 BITS = 14
 SIZE = 1 << BITS
 PARTS = 128  # pieces that sums of products are added up in
-TOGETHER = 64  # passages whose counts are one dense table
+TOGETHER = 24  # passages whose counts are one dense table
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ class Settings:
         return replace(self, rare=min(self.rare, 0.4 * most), common=min(self.common, 0.6 * most))
 
 
-_lower: list[np.ndarray] = []
+_lower: list[np.ndarray] = []  # for each code: that of the small letter, mixed; whether it is part of a word
 
 
 def _words(texts: list[str]) -> tuple[Words, np.ndarray]:
@@ -69,11 +69,13 @@ def _words(texts: list[str]) -> tuple[Words, np.ndarray]:
         for i in range(1 << 16):
             low = chr(i).lower()
             codes[i] = ord(low) if len(low) == 1 else i
-        _lower.append(codes)
+        _lower.append(mix(codes + np.uint64(1)))
         _lower.append(np.array([chr(i).isalnum() for i in range(1 << 16)]))
-    w = Words(texts, lambda c: _lower[1][np.minimum(c, 0xFFFF)])
-    low = np.where(w.codes < (1 << 16), _lower[0][np.minimum(w.codes, 0xFFFF)], w.codes)
-    return w, Rolling(mix(low.astype(np.uint64) + np.uint64(1)))(w.starts, w.ends)
+    w = Words(texts, lambda c: np.take(_lower[1], c, mode="clip"))
+    values = np.take(_lower[0], w.codes, mode="clip")
+    high = np.flatnonzero(w.codes >> np.uint32(16))
+    values[high] = mix(w.codes[high].astype(np.uint64) + np.uint64(1))
+    return w, Rolling(values)(w.starts, w.ends)
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -188,13 +190,30 @@ def add_gram(total: np.ndarray, flat: np.ndarray, sizes: np.ndarray, idf: np.nda
     placed = idf[flat] > 0
     flat, passage = flat[placed], passage[placed]
     edges = np.searchsorted(passage, np.arange(0, len(sizes) + TOGETHER, TOGETHER))
+    there, place = np.zeros(SIZE, bool), np.zeros(SIZE, np.int64)
     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-        feature, at = np.unique(flat[a:b], return_inverse=True)
-        cells = (passage[a:b] - k * TOGETHER) * len(feature) + at
+        there[flat[a:b]] = True
+        feature = np.flatnonzero(there)
+        there[feature] = False
+        place[feature] = np.arange(len(feature))
+        cells = (passage[a:b] - k * TOGETHER) * len(feature) + place[flat[a:b]]
         counts = np.bincount(cells, minlength=TOGETHER * len(feature)).reshape(TOGETHER, -1).astype(np.float32)
         total[feature] += (np.float32(weight) * idf[feature])[:, None] * (counts.T @ (counts @ scaled[feature]))
 
 
+def different(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The buckets of every passage, each once a passage; passages are short."""
+    sizes, first = sizes[sizes > 0], (np.cumsum(sizes) - sizes)[sizes > 0]
+    if not len(sizes):
+        return flat[:0]
+    # As wide as the longest; the others end in repeats of their last.
+    table = flat[first[:, None] + np.minimum(np.arange(sizes.max()), sizes[:, None] - 1)]
+    table.sort(axis=1)
+    new = np.ones(table.shape, bool)
+    np.not_equal(table[:, 1:], table[:, :-1], out=new[:, 1:])
+    return table[new]
+
+
 @dataclass
 class Space:
     idf: np.ndarray
@@ -211,8 +230,7 @@ def fit(docs: DataFrame, items: list[str], s: Settings, rows: DataFrame | None =
         total = np.zeros(SIZE + 1, np.int64)
         for batch in batches:
             flat, sizes = _flat(batch.column(0), "<i4")
-            own = np.unique(np.repeat(np.arange(len(sizes)), sizes) * SIZE + flat) % SIZE
-            total[:SIZE] += np.bincount(own, minlength=SIZE)
+            total[:SIZE] += np.bincount(different(flat, sizes), minlength=SIZE)
             total[SIZE] += len(sizes)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], ["feature", "n"])
@@ -227,11 +245,13 @@ def fit(docs: DataFrame, items: list[str], s: Settings, rows: DataFrame | None =
     weight = s.item_weight * max(1.0, n / s.balance) ** 0.5
     plain, idf = idf, np.where(idf >= s.rare, idf, 0.0)
     rng = np.random.default_rng(s.seed)
-    x = np.linalg.qr(rng.standard_normal((SIZE, s.rank)))[0]
+    x, r = np.linalg.qr(rng.standard_normal((SIZE, s.rank)))
     for _ in range(s.rounds):
-        x = np.linalg.qr(_gram(rows, idf, x, hashed, weight))[0]
-    values, turn = np.linalg.eigh(x.T @ _gram(rows, idf, x, hashed, weight))
-    real = values > 1e-9 * max(values.max(), 1e-9)  # fewer texts than `rank` leave empty directions
+        x, r = np.linalg.qr(_gram(rows, idf, x, hashed, weight))
+    # The last product's own singular values tell its directions from rounding: no further product is
+    # needed, since cosines and contents are the same in any basis of a space.
+    turn, values, _ = np.linalg.svd(r)
+    real = values > 1e-6 * max(values.max(), 1e-9)  # fewer texts than `rank` leave empty directions
     return Space(plain, (idf[:, None] * (x @ turn) * real).astype(np.float32), s)
 
 
@@ -287,6 +307,22 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def block_sums(basis: np.ndarray, bucket: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of every block of words, the sum of its buckets' rows; blocks begin at `first`."""
+    sizes = np.diff(np.append(first, len(bucket)))
+    order = np.argsort(-sizes, kind="stable")  # those that still have a word come first
+    out = np.empty((len(first), basis.shape[1]), basis.dtype)
+    for lo in range(0, len(first), 2_048):
+        mine = order[lo : lo + 2_048]
+        at, size = first[mine], sizes[mine]
+        sums = np.take(basis, bucket[at], axis=0)
+        for k in range(1, size[0]):
+            n = np.searchsorted(-size, -k)  # sizes above k
+            sums[:n] += np.take(basis, bucket[at[:n] + k], axis=0)
+        out[mine] = sums
+    return out
+
+
 def search(texts: list[str], space: Space, items: Items) -> list[tuple[int, int, float, float]]:
     """(text, item id, cosine, covered) of what passes all checks."""
     s = space.settings
@@ -295,16 +331,7 @@ def search(texts: list[str], space: Space, items: Items) -> list[tuple[int, int,
         return []
     bucket = _bucket(h)
     first, doc = cut_blocks(w.doc, w.n_docs, s.block)
-    # Only words with a place in the space are added up.
-    placed = np.flatnonzero(space.idf[bucket] >= s.rare)
-    begin = np.searchsorted(placed, np.append(first, len(h)))
-    latent = np.zeros((len(first), space.basis.shape[1]), np.float32)
-    for lo in range(0, len(first), 2_048):
-        hi = min(lo + 2_048, len(first))
-        filled = lo + np.flatnonzero(begin[lo + 1 : hi + 1] > begin[lo:hi])
-        if len(filled):
-            rows = space.basis[bucket[placed[begin[lo] : begin[hi]]]]
-            latent[filled] = np.add.reduceat(rows, begin[filled] - begin[lo], axis=0)
+    latent = block_sums(space.basis, bucket, first)
     latent = _sums(latent, doc, s.blocks)
     own = np.maximum(np.einsum("ij,ij->i", items.latent, items.latent), 1e-9)
     norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", latent, latent)), 1e-9)
@@ -312,10 +339,13 @@ def search(texts: list[str], space: Space, items: Items) -> list[tuple[int, int,
     step = max(1, min(8_192, 8_192 * s.item_block // len(own)))
     for lo in range(0, len(first), step):
         dots = latent[lo : lo + step] @ items.latent.T
-        near = (dots >= s.content * own) & (dots >= s.cosine * np.sqrt(own) * norm[lo : lo + step, None])
-        for p, k in zip(*np.nonzero(near)):
-            cosine = float(dots[p, k] / np.sqrt(own[k]) / norm[lo + p])
-            found.setdefault((int(doc[lo + p]), int(items.part_of[k])), []).append((int(lo + p), cosine))
+        p_at, k_at = np.nonzero(dots >= s.content * own)
+        near = dots[p_at, k_at] >= s.cosine * np.sqrt(own[k_at]) * norm[lo + p_at]
+        p_at, k_at = p_at[near], k_at[near]
+        cosine = dots[p_at, k_at] / np.sqrt(own[k_at]) / norm[lo + p_at]
+        p_at += lo
+        for d, i, p, c in zip(doc[p_at].tolist(), items.part_of[k_at].tolist(), p_at.tolist(), cosine.tolist()):
+            found.setdefault((d, i), []).append((p, c))
     content = space.idf[bucket] >= s.common
     word_of = np.searchsorted(w.doc, np.arange(w.n_docs + 1))
     out = []

@@ -123,3 +123,47 @@ def test_products_of_passages_equal_those_of_the_matrix():
     total = np.zeros_like(x)
     latent.add_gram(total, flat, sizes, idf, idf[:, None] * x, 2.0)
     np.testing.assert_allclose(total, 2.0 * matrix.T @ (matrix @ x), rtol=1e-3, atol=1e-2)
+
+
+def test_as_many_products_as_rounds(spark, monkeypatch):
+    """The space of the last product needs no other one; few texts leave empty directions out."""
+    calls, gram = [], latent._gram
+    monkeypatch.setattr(latent, "_gram", lambda *a: calls.append(1) or gram(*a))
+    docs, benchmark, _ = setting(spark, 40)
+    texts = [r.text for r in benchmark.collect()]
+    rows = latent.passage_rows(docs.select("text"), latent.Settings())
+    space = latent.fit(docs.select("text"), texts, latent.Settings(), rows)
+    assert len(calls) == latent.Settings().rounds
+    # In the basis that a further product would turn it to, the same cosines.
+    idf = np.where(space.idf >= space.settings.rare, space.idf, 0.0)
+    there = idf > 0
+    x = space.basis[there] / idf[there, None]
+    np.testing.assert_allclose(x.T @ x, np.eye(x.shape[1]), atol=1e-4)
+    few = latent.fit(docs.limit(2).select("text"), texts[:3], latent.Settings())
+    passages = latent.passage_rows(docs.limit(2).select("text"), latent.Settings()).count()
+    assert 0 < (np.abs(few.basis).max(axis=0) > 0).sum() <= passages + 3
+
+
+def test_different_buckets_and_block_sums():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 49, 300)
+    flat = rng.integers(0, 60, sizes.sum()).astype(np.int32)
+    parts = np.split(flat, np.cumsum(sizes)[:-1])
+    want = np.concatenate([np.unique(x) for x in parts])
+    assert latent.different(flat, sizes).tolist() == want.tolist()
+    assert len(latent.different(flat[:0], sizes[:0])) == 0
+    basis = rng.standard_normal((60, 7))
+    first = np.cumsum(sizes[sizes > 0]) - sizes[sizes > 0]
+    got = latent.block_sums(basis, flat, first)
+    np.testing.assert_allclose(got, [basis[x].sum(axis=0) for x in parts if len(x)], atol=1e-9)
+    assert latent.block_sums(basis, flat[:0], first[:0]).shape == (0, 7)
+
+
+def test_words_beyond_the_first_plane():
+    texts = ["Ab\U00010400 \U00010400b, ÉéA\U0001f600", "ab\U00010400 ééa\uffff ÉÉA"]
+    w, h = latent._words(texts)
+    told = [texts[d][a:b] for d, a, b in zip(w.doc, w.starts - w.base[w.doc], w.ends - w.base[w.doc])]
+    by_word = {}
+    for x, v in zip(told, h.tolist()):
+        by_word.setdefault(x.lower() if x.isascii() or "\u00e9" in x.lower() else x, set()).add(v)
+    assert all(len(v) == 1 for v in by_word.values()) and len({v for s in by_word.values() for v in s}) == len(by_word)
