@@ -328,20 +328,22 @@ def text_scores(classes: attention.Classes, p: dict, flat: np.ndarray, sizes: np
     width = s.shape.window
     cuts = Cuts(classes, flat, sizes, width - s.overlap, width)
     out = np.zeros(len(sizes))
-    # Windows of a like length together: short ones need no positions of the long ones.
-    order = np.argsort(cuts.length.astype(np.int16), kind="stable")
-    for k in range(0, len(order), STATES // width):
-        states, targets, texts = [], [], []
-        for j in range(k, min(k + STATES // width, len(order)), BATCH):
-            part = order[j : min(j + BATCH, k + STATES // width)]
-            wide = int(cuts.length[part].max())
-            x, target, valid = cuts(part, wide)
-            valid &= np.arange(wide) >= cuts.new[part, None]
-            states.append(attention.trunk(p, x)[-1][valid])
-            targets.append(target[valid])
-            texts.append(np.repeat(cuts.text[part], valid.sum(axis=1)))
-        logs = attention.log_probabilities(p, classes, np.concatenate(states), np.concatenate(targets))
-        out += np.bincount(np.concatenate(texts), weights=logs, minlength=len(sizes))
+    # Windows of a like length together: short ones need no positions of the long ones. Those that go on
+    # from another one need no states where they overlap it.
+    for new in np.unique(cuts.new):
+        own = np.flatnonzero(cuts.new == new)
+        order = own[np.argsort(cuts.length[own].astype(np.int16), kind="stable")]
+        for k in range(0, len(order), STATES // width):
+            states, targets, texts = [], [], []
+            for j in range(k, min(k + STATES // width, len(order)), BATCH):
+                part = order[j : min(j + BATCH, k + STATES // width)]
+                x, target, valid = cuts(part, int(cuts.length[part].max()))
+                valid = valid[:, new:]
+                states.append(attention.trunk(p, x, int(new))[-1].take(np.flatnonzero(valid), axis=0))
+                targets.append(target[:, new:][valid])
+                texts.append(np.repeat(cuts.text[part], valid.sum(axis=1)))
+            logs = attention.log_probabilities(p, classes, np.concatenate(states), np.concatenate(targets))
+            out += np.bincount(np.concatenate(texts), weights=logs, minlength=len(sizes))
     return out / np.log(10)
 
 

@@ -61,6 +61,66 @@ def test_scores_equal_loops_over_positions():
     assert np.allclose(got, [plain_text(classes, p, t, s) for t in texts], atol=1e-4)
 
 
+def test_places_that_overlap_get_no_states(monkeypatch):
+    """A token's state is computed once, in the window that scores it."""
+    s = lm_scoring.Settings(overlap=2, shape=TINY)
+    classes, p = model()
+    sizes = np.array([5, 8, 14, 14, 20])  # all windows of full length
+    rows, trunk = [], attention.trunk
+
+    def spy(*args):
+        out = trunk(*args)
+        rows.append(out[-1].size // TINY.width)
+        return out
+
+    monkeypatch.setattr(attention, "trunk", spy)
+    lm_scoring.text_scores(classes, p, np.random.default_rng(5).integers(0, 30, sizes.sum()), sizes, s)
+    assert sum(rows) == sizes.sum()
+
+
+def test_large_exponents_stay_finite():
+    """Where powers of e would overflow or vanish, scores and gradients are those of the plain sums."""
+    s = lm_scoring.Settings(overlap=2, shape=TINY)
+    classes, p = model()
+    p |= {"qkv": 12 * p["qkv"], "klass": 10 * p["klass"], "next": 10 * p["next"]}
+    rng = np.random.default_rng(6)
+    first, meeting, *_, last = attention.trunk(p, rng.integers(0, 30, (50, 5)))
+    logits = meeting[:, 5:] @ first.transpose(0, 2, 1), last @ p["klass"], last @ p["next"].T
+    assert all(np.abs(x).max() > 88 for x in logits)
+    texts = [rng.integers(0, 30, n).tolist() for n in (1, 6, 11)]
+    got = lm_scoring.text_scores(classes, p, np.concatenate(texts), np.array([len(t) for t in texts]), s)
+    assert np.allclose(got, [plain_text(classes, {k: v.astype(np.float64) for k, v in p.items()}, t, s) for t in texts], rtol=1e-3)
+    x = rng.integers(0, 30, (4, 5))
+    target, valid = rng.integers(0, 30, x.shape), np.ones(x.shape, bool)
+    small, large = (attention.Trainer({k: v.astype(kind) for k, v in p.items()}, classes, 0.1).gradients(x, target, valid, move=False)[1] for kind in (np.float32, np.float64))
+    for name in set(small) - {"seen"}:
+        assert np.abs(small[name] - large[name]).max() < 1e-3 * max(1, np.abs(large[name]).max()), name
+
+
+def test_steps_with_moved_outputs_equal_plain_updates():
+    """What a step moves in one piece is what the gradients by name give."""
+    classes, p = model(60)
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    rng = np.random.default_rng(7)
+    trainer, square = attention.Trainer(p, classes, 0.1), {k: np.full(v.shape, 1e-6) for k, v in p.items()}
+    times = np.zeros(60)
+    for _ in range(3):
+        x, target = rng.integers(0, 60, (3, 5)), rng.integers(0, 60, (3, 5))
+        valid = np.arange(5) < np.array([5, 4, 2])[:, None]
+        g = attention.Trainer(p, classes, 0.1).gradients(x, target, valid, move=False)[1]
+        ids, rows, _ = g["seen"]
+        g["seen"] = np.zeros_like(p["seen"])
+        g["seen"][ids] = rows
+        for k, v in g.items():
+            square[k] += v * v
+            p[k] = p[k] - 0.1 * v / np.sqrt(square[k])
+        trainer.step(x, target, valid)
+        times += np.bincount(classes.of[target[valid]], minlength=len(classes.begin))[classes.of]
+    assert trainer.tokens == 33 and trainer.touched["seen"].sum() == 45 and (trainer.touched["next"] == times).all()
+    for k, v in p.items():
+        assert np.allclose(trainer.p[k], v, atol=1e-5), k
+
+
 def test_probabilities_sum_to_one():
     classes, p = model(60)
     state = np.random.default_rng(2).standard_normal((3, 6)).astype(np.float32)
